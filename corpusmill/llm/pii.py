@@ -208,12 +208,13 @@ def number_kinds(numbers: DataFrame) -> DataFrame:
     strong_id, strong_phone = F.col("shape").isin("social", "passport"), F.col("shape").isin("intl", "national")
     seeds = numbers.sparkSession.createDataFrame([(w, "id_number") for w in ID_WORDS] + [(w, "phone") for w in PHONE_WORDS], "pattern string, kind string")
     edges = numbers.select("doc_id", "start_pos", "value", "shape", F.posexplode("patterns").alias("k", "pattern"))
-    edges = materialize(edges.withColumn("id_like", (strong_id | (eight & lead)).cast("int")).withColumn("phone_like", (strong_phone | (eight & ~lead)).cast("int")).withColumn("strong", strong_phone.cast("int")).withColumn("sid", strong_id.cast("int")), "pii-edges")
+    edges = materialize(edges.withColumn("id_like", (strong_id | (eight & lead)).cast("int")).withColumn("phone_like", (strong_phone | (eight & ~lead)).cast("int")).withColumn("strong", strong_phone.cast("int")), "pii-edges")
     known = seeds
     for i in range(ROUNDS):
-        believed = edges.join(F.broadcast(known), "pattern").groupBy("value").agg(F.max(F.when(F.col("kind") == "id_number", 1).otherwise(0)).alias("b_id"), F.max(F.when(F.col("kind") == "phone", 1).otherwise(0)).alias("b_phone")) if i == 0 else edges.join(known, "pattern").groupBy("value").agg(F.max(F.when(F.col("kind") == "id_number", 1).otherwise(0)).alias("b_id"), F.max(F.when(F.col("kind") == "phone", 1).otherwise(0)).alias("b_phone"))
+        flags = [F.max((F.col("kind") == k).cast("int")).alias(c) for k, c in (("id_number", "b_id"), ("phone", "b_phone"))]
+        believed = edges.join(known, "pattern").groupBy("value").agg(*flags)
         e = edges.join(believed, "value", "left").fillna(0, ["b_id", "b_phone"])
-        s = e.groupBy("pattern").agg(F.count("*").alias("n"), F.avg(F.greatest("id_like", "b_id")).alias("id"), F.avg(F.greatest("phone_like", "b_phone")).alias("phone"), F.avg(F.greatest("strong", "b_phone")).alias("strong"), F.avg("b_id").alias("told"), F.sum("sid").alias("sids"))
+        s = e.groupBy("pattern").agg(F.count("*").alias("n"), F.avg(F.greatest("id_like", "b_id")).alias("id"), F.avg(F.greatest("phone_like", "b_phone")).alias("phone"), F.avg(F.greatest("strong", "b_phone")).alias("strong"))
         kind = F.when((F.col("id") >= PATTERN_SHARE) & (F.col("strong") < 0.1), F.lit("id_number")).when((F.col("phone") >= PATTERN_SHARE) & (F.col("strong") >= 0.1), F.lit("phone"))
         found = s.where(F.col("n") >= PATTERN_LEAST).select("pattern", kind.alias("kind")).where("kind is not null and pattern <> '^'")
         known = materialize(seeds.unionByName(found.join(seeds.select("pattern"), "pattern", "left_anti")), f"pii-patterns-{i}")
