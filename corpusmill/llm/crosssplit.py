@@ -118,14 +118,15 @@ def overlapping_texts(
     e = texts.select(F.col("text_id").alias("eval_text"), F.col("text").alias("et"))
     both = cand.join(t, "train_text").join(e, "eval_text")
     longer = F.greatest(F.length("tt"), F.length("et"))
-    if max_edit_share is not None:
+    if max_edit_share is None:
+        both = both.withColumn("edits", F.levenshtein("tt", "et"))
+    else:  # the banded distance is far cheaper than the shingle sets, so it goes first
         both = both.where(F.abs(F.length("tt") - F.length("et")) <= longer * max_edit_share)
+        both = both.withColumn("most", F.floor(longer * max_edit_share).cast("int"))
+        both = both.withColumn("edits", F.expr("levenshtein(tt, et, most)")).where("edits >= 0")
     both = both.withColumn("tg", _grams(F.col("tt"), q)).withColumn("eg", _grams(F.col("et"), q))
     common = F.size(F.array_intersect("tg", "eg"))
     both = both.withColumn("jaccard", common / (F.size("tg") + F.size("eg") - common)).where(F.col("jaccard") >= min_jaccard)
-    both = both.withColumn("edits", F.levenshtein("tt", "et"))
-    if max_edit_share is not None:
-        both = both.where(F.col("edits") <= longer * max_edit_share)
     return members, both.select("train_text", "eval_text", "jaccard", "edits")
 
 
