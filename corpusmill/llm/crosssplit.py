@@ -66,14 +66,26 @@ def band_keys(texts: list[str], q: int = SHINGLE, bands: int = BANDS, rows: int
     return out
 
 
+def sketches(texts: list[str], q: int = 2, words: int = 4) -> np.ndarray:
+    """uint64 array (texts, words): which of ``64 * words`` hash values the ``q``-grams of a
+    text take. One edit changes at most ``2 * q`` of the bits, so sketches that differ in
+    more than ``2 * q * k`` bits belong to texts of more than ``k`` edits."""
+    out = np.zeros((len(texts), words), _U)
+    if texts:
+        h, at = shingle_hashes(texts, q)
+        which = np.repeat(np.arange(len(texts)), np.diff(np.append(at, len(h))))
+        bit = (h >> _U(32)) % _U(64 * words)
+        np.bitwise_or.at(out, (which, (bit >> _U(6)).astype(np.int64)), _U(1) << (bit & _U(63)))
+    return out
+
+
 def _bander(q: int, bands: int, rows: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lo in range(0, len(pdf), 2000):
-                part = pdf.iloc[lo : lo + 2000]
-                keys = band_keys(part["text"].tolist(), q, bands, rows)
-                cols = {c: np.repeat(part[c].to_numpy(), bands) for c in ("text_id", "in_train", "in_eval")}
-                yield pd.DataFrame(cols | {"band": np.tile(np.arange(bands, dtype=np.int32), len(part)), "bucket": keys.ravel()})
+                part = pdf.iloc[lo : lo + 2000].reset_index(drop=True)
+                texts = part["text"].tolist()
+                yield part.assign(sketch=list(sketches(texts).view(np.int64)), buckets=list(band_keys(texts, q, bands, rows)))
 
     return run
 
@@ -109,21 +121,20 @@ def overlapping_texts(
     sides = rows.where(F.col("split").isin(*train, *evaluation) & F.col("id").isNotNull() & F.col("text").isNotNull())
     members = materialize(sides.select("id", "split", "text", F.xxhash64("text").alias("text_id")).distinct(), "crosssplit-members")
     texts = members.groupBy("text_id", "text").agg(F.max(F.col("split").isin(*train)).alias("in_train"), F.max(F.col("split").isin(*evaluation)).alias("in_eval"))
-    buckets = texts.mapInPandas(_bander(q, bands, band_rows), "text_id bigint, in_train boolean, in_eval boolean, band int, bucket bigint")
-    buckets = materialize(buckets, "crosssplit-buckets")
-    left = buckets.where("in_train").select("band", "bucket", F.col("text_id").alias("train_text"))
-    right = buckets.where("in_eval").select("band", "bucket", F.col("text_id").alias("eval_text"))
+    texts = materialize(texts.mapInPandas(_bander(q, bands, band_rows), "text_id bigint, text string, in_train boolean, in_eval boolean, sketch array<bigint>, buckets array<bigint>"), "crosssplit-texts")
+    left = texts.where("in_train").select(F.col("text_id").alias("train_text"), F.posexplode("buckets").alias("band", "bucket"))
+    right = texts.where("in_eval").select(F.col("text_id").alias("eval_text"), F.posexplode("buckets").alias("band", "bucket"))
     cand = left.join(right, ["band", "bucket"]).select("train_text", "eval_text").distinct()
-    t = texts.select(F.col("text_id").alias("train_text"), F.col("text").alias("tt"))
-    e = texts.select(F.col("text_id").alias("eval_text"), F.col("text").alias("et"))
+    t = texts.select(F.col("text_id").alias("train_text"), F.col("text").alias("tt"), F.col("sketch").alias("ts"))
+    e = texts.select(F.col("text_id").alias("eval_text"), F.col("text").alias("et"), F.col("sketch").alias("es"))
     both = cand.join(t, "train_text").join(e, "eval_text")
-    longer = F.greatest(F.length("tt"), F.length("et"))
-    if max_edit_share is None:
-        both = both.withColumn("edits", F.levenshtein("tt", "et"))
-    else:  # the banded distance is far cheaper than the shingle sets, so it goes first
-        both = both.where(F.abs(F.length("tt") - F.length("et")) <= longer * max_edit_share)
-        both = both.withColumn("most", F.floor(longer * max_edit_share).cast("int"))
-        both = both.withColumn("edits", F.expr("levenshtein(tt, et, most)")).where("edits >= 0")
+    distance = F.levenshtein("tt", "et")
+    if max_edit_share is not None:  # lengths and sketches rule most candidates out without loss
+        most = F.floor(F.greatest(F.length("tt"), F.length("et")) * max_edit_share)
+        differ = sum((F.bit_count(F.col("ts")[i].bitwiseXOR(F.col("es")[i])) for i in range(4)), F.lit(0))
+        possible = (F.abs(F.length("tt") - F.length("et")) <= most) & ((differ <= 4 * most) | (F.least(F.length("tt"), F.length("et")) < 2))
+        both = both.where(F.when(possible, distance <= most))
+    both = materialize(both.select("train_text", "eval_text", "tt", "et", distance.alias("edits")), "crosssplit-verified")
     both = both.withColumn("tg", _grams(F.col("tt"), q)).withColumn("eg", _grams(F.col("et"), q))
     common = F.size(F.array_intersect("tg", "eg"))
     both = both.withColumn("jaccard", common / (F.size("tg") + F.size("eg") - common)).where(F.col("jaccard") >= min_jaccard)
