@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -76,56 +76,67 @@ def before(text: str, at: int, most: int = 3) -> list[str]:
     return [" ".join(tokens[-n:]) for n in range(1, min(most, len(tokens)) + 1)] or ["^"]
 
 
+AT_HINT = re.compile(rf"@|[\[({{]\s?at|\s{AT_WORD}\s", re.IGNORECASE)
+STREET_HINT = re.compile(rf"{STREET_LATIN}\s|{STREET_ARABIC}\s", re.IGNORECASE)
+
+
 def masked(text: str) -> tuple[str, list[tuple[int, int]]]:
     """The text with ASCII digits, and NULs over its email addresses (given) and URLs."""
     t = text.translate(DIGITS)
-    emails = [m.span() for m in EMAIL.finditer(t)]
+    emails = [m.span() for m in EMAIL.finditer(t)] if AT_HINT.search(t) else []
     t = _blank(t, emails)
     return _blank(t, [m.span() for m in URL.finditer(t)]), emails
 
 
-def names_in(text: str) -> list[tuple[str, str, int, int]]:
+def names_in(text: str, first: Callable[[str, str], bool]) -> Iterator[tuple[str, str, int, int]]:
     """Adjacent words ``(first, second, from, to)`` that could be a given and a family name;
-    ``ben`` and its Arabic form belong to the word after them."""
+    ``ben`` and its Arabic form belong to the word after them. ``first`` says of a word and
+    the one before it, both in lower case, whether a pair may begin with it."""
     w = [(m.group(), m.start(), m.end()) for m in WORD.finditer(text)]
-    near = [0 < w[i + 1][1] - w[i][2] <= 2 and not text[w[i][2] : w[i + 1][1]].strip(" \t\xa0") for i in range(len(w) - 1)]
-    out = []
+    low = [x[0].lower() for x in w]
+
+    def near(i: int) -> bool:
+        return i + 1 < len(w) and 0 < w[i + 1][1] - w[i][2] <= 2 and not text[w[i][2] : w[i + 1][1]].strip(" \t\xa0")
+
     for i in range(len(w) - 1):
-        if not near[i]:
+        if first(low[i], low[i - 1] if i else "") and near(i):
+            second, end = w[i + 1][0], w[i + 1][2]
+            if low[i + 1] in BEN:
+                if not near(i + 1):
+                    continue
+                second, end = f"{second} {w[i + 2][0]}", w[i + 2][2]
+            yield w[i][0], second, w[i][1], end
+
+
+def spots_in(text: str) -> tuple[str, list[dict]]:
+    """The masked text, and its emails, addresses and numbers with their shapes and patterns."""
+    t, emails = masked(text)
+    rows = [("email", a, b, "", []) for a, b in emails]
+    rest = t
+    if STREET_HINT.search(t):
+        streets = [m.span() for m in ADDRESS.finditer(t)]
+        rows += [("address", a, b, "", []) for a, b in streets]
+        rest = _blank(t, streets)
+    for m in NUMBER.finditer(rest):
+        if m.lastgroup == "intl" and not 10 <= len(re.sub(r"\D", "", m.group())) <= 14:
             continue
-        second, end = w[i + 1][0], w[i + 1][2]
-        if second.lower() in BEN:
-            if i + 2 >= len(w) or not near[i + 1]:
-                continue
-            second, end = f"{second} {w[i + 2][0]}", w[i + 2][2]
-        out.append((w[i][0], second, w[i][1], end))
-    return out
+        rows.append((m.lastgroup, m.start(), m.end(), re.sub(r"[ .\-]", "", m.group()), before(rest, m.start())))
+    return t, [dict(zip(("shape", "start_pos", "end_pos", "value", "patterns"), r, strict=True)) for r in rows]
 
 
-def _emails_addresses_numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _spots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = []
-        for d, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-            t, emails = masked(text)
-            rows += [(d, "email", a, b, "", []) for a, b in emails]
-            streets = [m.span() for m in ADDRESS.finditer(t)]
-            rows += [(d, "address", a, b, "", []) for a, b in streets]
-            t = _blank(t, streets)
-            for m in NUMBER.finditer(t):
-                digits = re.sub(r"\D", "", m.group())
-                if m.lastgroup == "intl" and not 10 <= len(digits) <= 14:
-                    continue
-                rows.append((d, m.lastgroup, m.start(), m.end(), re.sub(r"[ .\-]", "", m.group()), before(t, m.start())))
-        yield pd.DataFrame(rows, columns=["doc_id", "shape", "start_pos", "end_pos", "value", "patterns"])
+        got = [spots_in(t) for t in pdf["text"]]
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "masked": [t for t, _ in got], "spots": [x for _, x in got]})
 
 
 def _seed_contexts(given: set[str], family: set[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter[str] = Counter()
         for pdf in batches:
-            for text in pdf["text"]:
-                for g, f, a, _ in names_in(t := masked(text)[0]):
-                    if g.lower() in given and f.lower() in family:
+            for t in pdf["masked"]:
+                for _, f, a, _ in names_in(t, lambda x, _: x in given):
+                    if f.lower() in family:
                         n.update(before(t, a))
         yield pd.DataFrame({"pattern": list(n), "seeds": list(n.values())})
 
@@ -133,26 +144,30 @@ def _seed_contexts(given: set[str], family: set[str]):
 
 
 def _pattern_totals(patterns: set[str]):
+    last = {p.split(" ")[-1] for p in patterns}
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter[str] = Counter()
         for pdf in batches:
-            for text in pdf["text"]:
-                t = masked(text)[0]
+            for t in pdf["masked"]:
                 for line in t.lower().split("\n"):
                     w = [x for x in (y.strip(_OUTER) for y in line.split()) if x]
-                    for i in range(len(w)):
-                        n.update(p for k in (1, 2, 3) if i >= k - 1 and (p := " ".join(w[i - k + 1 : i + 1])) in patterns)
+                    for i, x in enumerate(w):
+                        if x in last:
+                            n.update(p for k in (1, 2, 3) if i >= k - 1 and (p := " ".join(w[i - k + 1 : i + 1])) in patterns)
         yield pd.DataFrame({"pattern": list(n), "total": list(n.values())})
 
     return run
 
 
 def _slots(patterns: set[str]):
+    last = {x[-1] for p in patterns if (x := WORD.findall(p))}
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for d, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                for g, f, a, _ in names_in(t := masked(text)[0]):
+            for d, t in zip(pdf["doc_id"], pdf["masked"], strict=True):
+                for g, f, a, _ in names_in(t, lambda _, y: y in last):
                     p = [x for x in before(t, a) if x in patterns]
                     if p:
                         rows.append((d, a, p[-1], g.lower(), f.lower()))
@@ -170,13 +185,12 @@ def _pairs(given: set[str] | None, counted: set[str]):
         n: Counter[str] = Counter()
         for pdf in batches:
             rows = []
-            for d, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                t = masked(text)[0]
-                n.update(w for m in WORD.finditer(t) if (w := m.group().lower()) in counted)
-                for g, f, a, b in names_in(t):
-                    if given is None or g.lower() in given:
-                        sure = f.split(" ")[0].lower() in BEN and " " in f or (_capital(g) and _capital(f) and len(f) > 2)
-                        rows.append((d, a, b, g.lower(), f.lower(), bool(sure), 0))
+            for d, t in zip(pdf["doc_id"], pdf["masked"], strict=True):
+                if counted:
+                    n.update(w for w in WORD.findall(t.lower()) if w in counted)
+                for g, f, a, b in names_in(t, lambda x, _: given is None or x in given):
+                    sure = (" " in f and f.split(" ")[0].lower() in BEN) or (_capital(g) and _capital(f) and len(f) > 2)
+                    rows.append((d, a, b, g.lower(), f.lower(), sure, 0))
             yield pd.DataFrame(rows, columns=["doc_id", "start_pos", "end_pos", "g", "f", "sure", "total"])
         if n:
             yield pd.DataFrame({"doc_id": 0, "start_pos": -1, "end_pos": -1, "g": "", "f": list(n), "sure": False, "total": list(n.values())})
@@ -186,9 +200,8 @@ def _pairs(given: set[str] | None, counted: set[str]):
 
 def _dictionary(df: DataFrame, column: str) -> set[str] | None:
     """The values of a column if there are at most ``DICTIONARY`` of them, else None."""
-    if df.select(column).distinct().limit(DICTIONARY + 1).count() > DICTIONARY:
-        return None
-    return {r[0] for r in df.select(column).distinct().collect()}
+    rows = df.select(column).distinct().limit(DICTIONARY + 1).collect()
+    return None if len(rows) > DICTIONARY else {r[0] for r in rows}
 
 
 def number_kinds(numbers: DataFrame) -> DataFrame:
@@ -227,7 +240,8 @@ def number_kinds(numbers: DataFrame) -> DataFrame:
 
 
 def name_spans(texts: DataFrame, name_list: DataFrame) -> DataFrame:
-    """``(doc_id, start_pos, end_pos)`` of given names followed by family names.
+    """``(doc_id, start_pos, end_pos)`` of given names followed by family names in
+    ``texts (doc_id, masked)``.
 
     Seeds are pairs of listed names. The words before them are patterns; one is accepted
     if its share of seeds among all its occurrences is high. The pairs that accepted
@@ -239,12 +253,12 @@ def name_spans(texts: DataFrame, name_list: DataFrame) -> DataFrame:
     names = name_list.where("name is not null").select(F.lower(F.trim("name")).alias("name"), "name_kind").distinct()
     rows = [(r[0], r[1]) for r in names.limit(DICTIONARY).collect()]
     given, family = {n for n, k in rows if k == "given"}, {n for n, k in rows if k == "family"}
-    seeds = materialize(texts.select("text").mapInPandas(_seed_contexts(given, family), "pattern string, seeds bigint").groupBy("pattern").agg(F.sum("seeds").alias("seeds")).where(F.col("seeds") >= NAME_LEAST), "pii-seeds")
+    seeds = materialize(texts.select("masked").mapInPandas(_seed_contexts(given, family), "pattern string, seeds bigint").groupBy("pattern").agg(F.sum("seeds").alias("seeds")).where(F.col("seeds") >= NAME_LEAST), "pii-seeds")
     candidates = _dictionary(seeds, "pattern") or set()
-    totals = texts.select("text").mapInPandas(_pattern_totals(candidates), "pattern string, total bigint").groupBy("pattern").agg(F.sum("total").alias("total"))
+    totals = texts.select("masked").mapInPandas(_pattern_totals(candidates), "pattern string, total bigint").groupBy("pattern").agg(F.sum("total").alias("total"))
     good = seeds.join(totals, "pattern").where((F.col("seeds") >= NAME_SHARE * F.col("total")) & (F.col("pattern") != "^"))
     patterns = _dictionary(good, "pattern") or set()
-    slots = materialize(texts.select("doc_id", "text").mapInPandas(_slots(patterns), f"doc_id {dict(texts.dtypes)['doc_id']}, start_pos int, pattern string, g string, f string"), "pii-slots")
+    slots = materialize(texts.select("doc_id", "masked").mapInPandas(_slots(patterns), f"doc_id {dict(texts.dtypes)['doc_id']}, start_pos int, pattern string, g string, f string"), "pii-slots")
     gs = spark.createDataFrame([(n,) for n in sorted(given)], "g string")
     fs = spark.createDataFrame([(n,) for n in sorted(family)], "f string")
     for i in range(ROUNDS):
@@ -255,7 +269,7 @@ def name_spans(texts: DataFrame, name_list: DataFrame) -> DataFrame:
         gs, fs = materialize(gs.union(new_g).distinct(), f"pii-given-{i}"), materialize(fs.union(new_f).distinct(), f"pii-family-{i}")
     new = fs.select(F.col("f").alias("w")).union(gs.select(F.col("g").alias("w"))).join(names.select(F.col("name").alias("w")), "w", "left_anti")
     counted = _dictionary(new, "w")
-    pairs = materialize(texts.select("doc_id", "text").mapInPandas(_pairs(_dictionary(gs, "g"), counted or set()), f"doc_id {dict(texts.dtypes)['doc_id']}, start_pos int, end_pos int, g string, f string, sure boolean, total bigint"), "pii-pairs")
+    pairs = materialize(texts.select("doc_id", "masked").mapInPandas(_pairs(_dictionary(gs, "g"), counted or set()), f"doc_id {dict(texts.dtypes)['doc_id']}, start_pos int, end_pos int, g string, f string, sure boolean, total bigint"), "pii-pairs")
     totals = pairs.where("start_pos < 0").groupBy("f").agg(F.sum("total").alias("total"))
     real = pairs.where("start_pos >= 0").join(gs, "g", "left_semi").join(fs.withColumn("kf", F.lit(True)), "f", "left")
     real = real.where(F.col("sure") | F.col("kf"))
@@ -271,11 +285,12 @@ def entities(documents: DataFrame, name_list: DataFrame) -> DataFrame:
     Null texts and ids are left out, empty texts have none; rows repeated under one id
     count once; texts are read whole; other columns, whatever their names, are not read."""
     texts = documents.where("doc_id is not null and text <> ''").select("doc_id", "text")
-    kind = dict(documents.dtypes)["doc_id"]
-    spots = materialize(texts.mapInPandas(_emails_addresses_numbers, f"doc_id {kind}, shape string, start_pos int, end_pos int, value string, patterns array<string>").distinct(), "pii-spots")
+    spot = "struct<shape string, start_pos int, end_pos int, value string, patterns array<string>>"
+    read = materialize(texts.mapInPandas(_spots, f"doc_id {dict(documents.dtypes)['doc_id']}, masked string, spots array<{spot}>"), "pii-masked")
+    spots = read.select("doc_id", F.explode("spots").alias("x")).select("doc_id", "x.*").distinct()
     plain = spots.where("shape in ('email', 'address')").select("doc_id", F.col("shape").alias("kind"), "start_pos", "end_pos")
     numbers = number_kinds(spots.where("shape not in ('email', 'address')")).select("doc_id", "kind", "start_pos", "end_pos")
-    names = name_spans(texts, name_list).select("doc_id", F.lit("name").alias("kind"), "start_pos", "end_pos")
+    names = name_spans(read.select("doc_id", "masked"), name_list).select("doc_id", F.lit("name").alias("kind"), "start_pos", "end_pos")
     return plain.unionByName(numbers).unionByName(names).distinct()
 
 
