@@ -30,7 +30,7 @@ STREET_LATIN = r"(?:rue|avenue|av\.|bd\.?|boulevard|impasse|allée|chemin|ruelle
 STREET_ARABIC = r"(?:نهج|شارع|زنقة|ممر|زقاق)"
 NUMBER_WORD = r"(?:n\s?°|nº|no\.?|numéro|num|#|عدد|رقم)"
 AT, DOT = r"(?:@|\[\s?at\s?\]|\(\s?at\s?\)|\{\s?at\s?\})", r"(?:\.|\s?(?:\[\s?dot\s?\]|\(\s?dot\s?\)|\{\s?dot\s?\})\s?)"
-AT_WORD, DOT_WORD = r"(?:at|arobase|arrobase|arobas|آت|أروباز|اروباز|على)", r"(?:dot|point|نقطة)"
+AT_WORD, DOT_WORD = r"(?:at|arobase|arrobase|arobas|آت|أروباز|اروباز)", r"(?:dot|point|نقطة)"
 BEN = ("ben", "بن")
 # End of fixed values.
 
@@ -77,12 +77,14 @@ def before(text: str, at: int, most: int = 3) -> list[str]:
 
 
 AT_HINT = re.compile(rf"@|[\[({{]\s?at|\s{AT_WORD}\s", re.IGNORECASE)
+DIGIT_HINT = re.compile(r"[٠-٩۰-۹]")
+NUMBER_HINT = re.compile(r"\d[ .\-]?\d[ .\-]?\d[ .\-]?\d[ .\-]?\d[ .\-]?\d")
 STREET_HINT = re.compile(rf"{STREET_LATIN}\s|{STREET_ARABIC}\s", re.IGNORECASE)
 
 
 def masked(text: str) -> tuple[str, list[tuple[int, int]]]:
     """The text with ASCII digits, and NULs over its email addresses (given) and URLs."""
-    t = text.translate(DIGITS)
+    t = text.translate(DIGITS) if DIGIT_HINT.search(text) else text
     emails = [m.span() for m in EMAIL.finditer(t)] if AT_HINT.search(t) else []
     t = _blank(t, emails)
     return _blank(t, [m.span() for m in URL.finditer(t)]), emails
@@ -117,7 +119,7 @@ def spots_in(text: str) -> tuple[str, list[dict]]:
         streets = [m.span() for m in ADDRESS.finditer(t)]
         rows += [("address", a, b, "", []) for a, b in streets]
         rest = _blank(t, streets)
-    for m in NUMBER.finditer(rest):
+    for m in NUMBER.finditer(rest) if NUMBER_HINT.search(rest) else ():
         if m.lastgroup == "intl" and not 10 <= len(re.sub(r"\D", "", m.group())) <= 14:
             continue
         rows.append((m.lastgroup, m.start(), m.end(), re.sub(r"[ .\-]", "", m.group()), before(rest, m.start())))
@@ -135,6 +137,8 @@ def _seed_contexts(given: set[str], family: set[str]):
         n: Counter[str] = Counter()
         for pdf in batches:
             for t in pdf["masked"]:
+                if given.isdisjoint(WORD.findall(t.lower())):
+                    continue
                 for _, f, a, _ in names_in(t, lambda x, _: x in given):
                     if f.lower() in family:
                         n.update(before(t, a))
@@ -167,6 +171,8 @@ def _slots(patterns: set[str]):
         for pdf in batches:
             rows = []
             for d, t in zip(pdf["doc_id"], pdf["masked"], strict=True):
+                if last.isdisjoint(WORD.findall(t.lower())):
+                    continue
                 for g, f, a, _ in names_in(t, lambda _, y: y in last):
                     p = [x for x in before(t, a) if x in patterns]
                     if p:
@@ -186,8 +192,10 @@ def _pairs(given: set[str] | None, counted: set[str]):
         for pdf in batches:
             rows = []
             for d, t in zip(pdf["doc_id"], pdf["masked"], strict=True):
-                if counted:
-                    n.update(w for w in WORD.findall(t.lower()) if w in counted)
+                words = WORD.findall(t.lower())
+                n.update(w for w in words if w in counted)
+                if given is not None and given.isdisjoint(words):
+                    continue
                 for g, f, a, b in names_in(t, lambda x, _: given is None or x in given):
                     sure = (" " in f and f.split(" ")[0].lower() in BEN) or (_capital(g) and _capital(f) and len(f) > 2)
                     rows.append((d, a, b, g.lower(), f.lower(), sure, 0))
