@@ -63,6 +63,10 @@ def _step(words: Column, flag: str, hit, value) -> Column:
     return F.transform(words, one)
 
 
+def _field(name: str):
+    return lambda x: x[name]
+
+
 def word_layers(c: Column, n: Nota = Nota()) -> Column:
     """Array of ``(w, before, done, override, variant, hamza, waw, taa, alef)`` of the words of ``c``."""
     false = F.lit(False)
@@ -100,7 +104,7 @@ def with_nota(df: DataFrame, text: str, out: str = "transcript_nota", n: Nota =
     d = df.withColumn("__neg", neg).withColumn("__words", word_layers(F.col("__neg"), n))
     d = d.withColumn(out, F.when(blank, c).otherwise(F.array_join(F.transform(words, lambda x: x["w"]), " ")))
     for k in LAYERS[:-1]:
-        d = d.withColumn(f"{k}_applied", F.exists(words, lambda x, k=k: x[k]))
+        d = d.withColumn(f"{k}_applied", F.exists(F.transform(words, _field(k)), lambda x: x))
     d = d.withColumn("negation_applied", ~c.eqNullSafe(F.col("__neg")) & c.isNotNull() if n.on("negation") else F.lit(False))
     if log:
         changed = F.filter(F.transform(words, lambda x, i: F.struct(i.alias("word"), x["before"].alias("before"), x["w"].alias("after"))), lambda x: x["before"] != x["after"])

@@ -1,0 +1,293 @@
+"""One query per operator, over the whole tables, with the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import audio, codeswitch, corpus, metrics, nota
+from ..functions import text as tx
+from ..operators import audit, joins, knowledge, timing
+from ..sources import loaders, sinks
+from ..tables import load, norm_split, rec_of
+from . import pipelines
+from . import sqltext as q
+from .registry import query
+
+T, M, R, D, E = "df_train_clean", "manifest", "recordings", "documents", "expressions"
+SPLIT = "case when lower(trim(split)) in ('valid', 'dev') then 'validation' else lower(trim(split)) end"
+REC = "regexp_replace(audio_id, '_[^_]*$', '')"
+
+
+def reg(name: str, tables: str, sql: str | None, f) -> None:
+    query(name, sql)(lambda spark, d: f(*[load(spark, d, t) for t in tables.split()]))
+
+
+def col(name: str, table: str, key: str, expressions: dict[str, tuple], where: str | None = None) -> None:
+    """A query of scalar columns: name to (function of a Column, SQL)."""
+    cols = ", ".join(f"{s} as {n}" for n, (_, s) in expressions.items())
+    w = f" where {where}" if where else ""
+    reg(name, table, f"select {key}, {cols} from {table}{w}", lambda t: (t.where(where) if where else t).select(key, *[c().alias(n) for n, (c, _) in expressions.items()]))
+
+
+# Transcript cleaning.
+col("t1_remove_diacritics", T, "audio_id", {"t": (lambda: tx.remove_diacritics(F.col("transcript")), q.diacritics("transcript"))})
+col("t3_remove_punctuation", T, "audio_id", {"t": (lambda: tx.remove_punctuation(F.col("transcript")), q.sub("transcript", tx.PUNCTUATION))})
+col("t4_remove_urls_and_noise", D, "doc_id", {"t": (lambda: tx.remove_urls_and_noise(F.col("text")), q.noise("text"))})
+col("t5_normalize_digits", D, "doc_id", {"kept": (lambda: tx.normalize_digits(F.col("text")), q.digits("text")), "gone": (lambda: tx.normalize_digits(F.col("text"), False), q.sub(q.digits("text"), "[0-9]"))})
+col("t6_collapse_whitespace", D, "doc_id", {"t": (lambda: tx.collapse_whitespace(F.col("text")), q.collapse("text"))})
+col("t7_char_substitutions", D, "doc_id", {"t": (lambda: tx.apply_char_substitutions(F.col("text")), q.substitutions("text"))})
+col("t8_transcript_corrections", D, "doc_id", {"t": (lambda: tx.apply_corrections(F.col("text")), q.corrections("text"))})
+reg("t2_normalize_unicode", T, f"select audio_id, {q.unicode_form('transcript')} as t from {T}", lambda t: t.select("audio_id", tx.normalize_unicode("transcript").alias("t")))
+reg("t9_clean_transcript", T, f"select audio_id, {q.clean('transcript', False)} as plain, {q.clean('transcript')} as corrected from {T}", lambda t: t.select("audio_id", tx.clean_transcript("transcript").alias("plain"), tx.clean_transcript("transcript", corrections=tx.CORRECTIONS).alias("corrected")))
+reg("t10_clean_dataframe", T, f"select *, {q.clean('transcript')} as cleaned from {T}".replace("select *", "select audio_id, transcript"), lambda t: t.withColumn("cleaned", tx.clean_transcript("transcript", corrections=tx.CORRECTIONS)).select("audio_id", "transcript", "cleaned"))
+
+# Orthographic normalisation.
+_W = q.nota_words(q.negation("transcript_cs"))
+_NW = f"(select audio_id, transcript_cs as c, {q.negation('transcript_cs')} as g, {_W} as w from {T})"
+_FLAGS = ", ".join(f"len(list_filter(w, lambda x: x.{k})) > 0 as {n}_applied" for k, n in (("o", "override"), ("v", "variant"), ("h", "hamza"), ("y", "waw"), ("a", "alef")))
+col("n1_separate_negation", T, "audio_id", {"t": (lambda: nota.split_negation(F.col("transcript_cs")), q.negation("transcript_cs"))})
+reg(
+    "n2_to_n10_nota_with_flags",
+    T,
+    f"select audio_id, case when len(w) = 0 then c else array_to_string(list_transform(w, lambda x: x.w), ' ') end as nota, {_FLAGS}, g <> c as negation_applied from {_NW} where c is not null",
+    lambda t: nota.with_nota(t.where("transcript_cs is not null").select("audio_id", "transcript_cs"), "transcript_cs", "nota").drop("transcript_cs", "taa_applied"),
+)
+reg(
+    "n11_change_log",
+    T,
+    f"select audio_id, i - 1 as word, w[i].b as before, w[i].w as after from (select *, unnest(range(1, len(w) + 1)) as i from {_NW}) where w[i].b <> w[i].w",
+    lambda t: nota.with_nota(t.select("audio_id", "transcript_cs"), "transcript_cs", "nota", log=True).select("audio_id", F.explode("nota_log").alias("x")).select("audio_id", "x.*"),
+)
+reg(
+    "n13_layers_off",
+    T,
+    f"select audio_id, array_to_string(list_transform({q.tokens('transcript_cs')}, lambda x: coalesce({q.mapping(nota.VARIANTS)}[x], x)), ' ') as nota from {T} where len({q.tokens('transcript_cs')}) > 0",
+    lambda t: nota.with_nota(t.where(F.size(tx.tokens("transcript_cs")) > 0), "transcript_cs", "nota", nota.Nota(off=frozenset({"override", "hamza", "waw", "alef", "negation"}))).select("audio_id", "nota"),
+)
+
+# Code-switching.
+_TABLE = {"internet": "انترنات", "weekend": "ويكاند", "mobile": "موبيل", "école": "مدرسة"}
+_LW = q.latin_word("x")
+_ARAB = f"case when len({q.tokens('transcript_clean')}) = 0 then transcript_clean else array_to_string(list_transform({q.tokens('transcript_clean')}, lambda x: case when {_LW} then coalesce({q.mapping(_TABLE)}[lower(x)], x) else x end), ' ') end"
+_REMO = f"case when len({q.tokens('transcript_clean')}) = 0 then transcript_clean else array_to_string(list_filter({q.tokens('transcript_clean')}, lambda x: not {_LW}), ' ') end"
+col("c3_process_arabize", T, "audio_id", {"t": (lambda: codeswitch.process(F.col("transcript_clean"), "arabize", _TABLE), _ARAB)})
+col("c3_process_remove", T, "audio_id", {"t": (lambda: codeswitch.process(F.col("transcript_clean"), "remove"), _REMO)})
+_DET = f"select audio_id, i - 1 as position, w[i] as word from (select audio_id, w, unnest(range(1, len(w) + 1)) as i from (select audio_id, {q.tokens('transcript')} as w from {T})) where {q.latin_word('w[i]')}"
+_STOP = ", ".join(q.lit(w) for w in codeswitch.FRENCH_STOPWORDS)
+reg("c5_detect_code_switches", T, f"select *, lower(word) in ({_STOP}) as is_french_stopword from ({_DET})", lambda t: codeswitch.detect(t, "audio_id", "transcript").drop("in_table", "arabic_form"))
+reg(
+    "c6_unknown_latin_words",
+    T,
+    f"select lower(word) as word, count(*) as n from ({_DET}) where lower(word) not in ({', '.join(map(q.lit, _TABLE))}) group by 1 order by n desc, word limit 100",
+    lambda t: codeswitch.unknown_latin_words(t, "transcript", t.sparkSession.createDataFrame([(k,) for k in _TABLE], "word string")),
+)
+
+# Audit and evaluation functions.
+reg("a1_classify_char", T, f"select ch, {q.char_class('ch')} as category from (select distinct unnest(string_split(transcript, '')) as ch from {T}) where ch <> ''", lambda t: audit.char_vocab(t, "transcript").select("ch", tx.classify_char("ch").alias("category")))
+col("a2_normalize_light", T, "audio_id", {"t": (lambda: tx.normalize_light(F.col("transcript")), q.light("transcript"))})
+col("a3_text_features", T, "audio_id", {"n_chars": (lambda: tx.text_features("transcript")["char_count"], "length(transcript)"), "n_words": (lambda: tx.text_features("transcript")["word_count"], f"len({q.tokens('transcript')})"), "latin": (lambda: tx.text_features("transcript")["has_latin"], q.has("transcript", "[a-zA-Z]")), "marks": (lambda: tx.text_features("transcript")["has_diacritics"], q.has("transcript", r"[\x{064B}-\x{0652}]"))}, "transcript is not null")
+_WT = f"case when {q.has('w', r'[\x{0600}-\x{06FF}]')} then 'arabic' when {q.has('w', '^[a-zA-Z]*$')} then 'latin' else 'other' end"
+reg("a4_word_type_counts", T, f"select {_WT} as kind, count(*) as n from (select unnest({q.tokens('transcript')}) as w from {T}) group by 1", lambda t: t.select(F.explode(tx.tokens("transcript")).alias("w")).groupBy(tx.word_type(F.col("w")).alias("kind")).agg(F.count("*").alias("n")))
+col("a5_arabic_ratio", T, "audio_id", {"ratio": (lambda: F.round(tx.arabic_ratio(F.col("transcript")), 6), f"round(case when length(transcript) = 0 then 0.0::double else length({q.sub('transcript', r'[^\x{0600}-\x{06FF}]')})::double / length(transcript) end, 6)")})
+_A6 = f"lower({q.sub('text', tx.BENCH_PUNCTUATION)})"
+col("a6_remove_special_characters", D, "doc_id", {"v1": (lambda: tx.remove_special_characters(F.col("text"), False), _A6), "v2": (lambda: tx.remove_special_characters(F.col("text")), q.squeeze(_A6))})
+reg("a7_words_by_pattern", T, f"select w as word, count(*) as n from (select unnest({q.tokens('transcript')}) as w from {T}) where regexp_matches(w, 'ة$') group by 1 order by n desc, word limit 100", lambda t: audit.top_k(audit.word_vocab(t, "transcript").where(F.col("word").rlike("ة$")), 100))
+reg("a8_digit_transcripts", T, f"select count(*) filter ({q.has('transcript', '[0-9]')}) as n_digits from {T}", lambda t: t.agg(F.count_if(F.col("transcript").rlike("[0-9]")).alias("n_digits")))
+reg("a9_format_instruction", "eval_items", "select item_id, 'Instruction: ' || text || chr(10) || 'Response: ' || answer as t from eval_items", lambda t: t.select("item_id", tx.format_instruction("text", "answer").alias("t")))
+reg("a10_ctc_vocabulary", T, f"with c as (select distinct unnest(string_split(transcript, '')) as ch from {T}) select ch, row_number() over (order by hex(encode(ch))) - 1 as id from c where ch <> '' union all select s, (select count(*) from c where ch <> '') + i from (values ('[UNK]', 0), ('[PAD]', 1), ('|', 2)) v(s, i) where s <> '|' or not exists (select 1 from c where ch = '|')", lambda t: _ctc(t))
+reg("a12_embed_text", E, f"select id, concat_ws(' ', {', '.join(f'nullif({f}, {q.lit("")})' for f in knowledge.EMBED)}, case when type = 'expression' then nullif(origin, '') end) as t from {E}", lambda t: t.select("id", knowledge.embed_text(t).alias("t")))
+col("a14_recording_id", M, "audio_id", {"rec": (lambda: rec_of("audio_id"), REC)})
+
+
+def _ctc(t: DataFrame) -> DataFrame:
+    """Distinct characters (bounded by the alphabet) numbered in code point order, then the special ones."""
+    c = audit.char_vocab(t, "transcript").select("ch")
+    n = joins.numbered(c, ["ch"], "id").withColumn("id", F.col("id") - 1)
+    s = t.sparkSession.createDataFrame([("[UNK]", 0), ("[PAD]", 1), ("|", 2)], "ch string, id int")
+    total = c.agg(F.count("*")).scalar()
+    return n.select("ch", F.col("id").cast("bigint")).union(s.join(c.where("ch = '|'"), "ch", "left_anti").select("ch", F.col("id") + total))
+
+
+# Corpus cleaning.
+col("l1_remove_emojis", D, "doc_id", {"t": (lambda: corpus.remove_emojis(F.col("text")), q.sub("text", corpus.EMOJI))})
+col("l2_remove_special_patterns", D, "doc_id", {"t": (lambda: corpus.remove_special_patterns(corpus.remove_emojis(F.col("text"))), q.special("text"))})
+col("l3_normalize_whitespace", D, "doc_id", {"t": (lambda: corpus.normalize_whitespace(F.col("text")), q.squeeze("text"))})
+col("l4_remove_symbols", D, "doc_id", {"t": (lambda: corpus.remove_symbols(F.col("text")), q.symbols("text"))})
+col("l5_clean_text", D, "doc_id", {"t": (lambda: corpus.clean_text(F.col("text")), q.squeeze(q.symbols(q.special("text"))))})
+col("l6_text_lengths", D, "doc_id", {"char_length": (lambda: F.length(F.col("text")), "length(text)"), "word_count": (lambda: F.when(F.col("text").isNotNull(), F.size(tx.tokens(F.col("text")))), f"len({q.tokens('text')})")})
+col("l7_l8_l9_predicates", D, "doc_id", {"latin": (lambda: corpus.has_latin_letters(F.col("text")), q.has("text", r"\p{Latin}")), "numbers": (lambda: corpus.has_numbers(F.col("text")), q.has("text", r"\p{Nd}")), "hashtag": (lambda: corpus.has_hashtag(F.col("text")), q.has("text", r"#[\p{L}\p{N}_]"))})
+col("l10_repeated_chars", D, "doc_id", {"hit": (lambda: corpus.has_repeated_chars(F.col("text")), q.repeated_chars("text"))})
+col("l11_repeated_word", T, "audio_id", {"hit": (lambda: corpus.has_repeated_word(F.col("transcript")), q.repeated_word("transcript"))}, "transcript is not null")
+col("l12_dominant_word_share", D, "doc_id", {"share": (lambda: F.round(corpus.dominant_word_share(F.col("text")), 6), f"round({q.dominant('text')}, 6)")}, "text is not null")
+col("l13_script_type", D, "doc_id", {"type": (lambda: corpus.script_type(F.col("text")), q.script_type("text"))})
+col("l14_dedup_key", D, "doc_id", {"k": (lambda: corpus.dedup_key(F.col("text")), q.dedup_key("text"))})
+_L1 = f"select doc_id, source, {q.special('text')} as t from {D} where text is not null"
+_L2 = f"select doc_id, source, {q.squeeze(q.symbols('t'))} as t from ({_L1}) where not {q.has('t', r'\p{Latin}')} and not {q.has('t', r'#[\p{L}\p{N}_]')}"
+_L3 = f"select doc_id, source, t from ({_L2}) where {q.script_type('t')} = 'arabic' and not {q.has('t', r'\p{Nd}')} and not {q.repeated_chars('t')} and not {q.repeated_word('t')} and {q.dominant('t')} <= 0.5 and length(t) >= 3 and len({q.tokens('t')}) >= 3"
+_L4 = f"select doc_id, t from (select *, row_number() over (partition by {q.dedup_key('t')} order by doc_id) as r from ({_L3})) where r = 1"
+reg("l15_to_l28_cleaning_pipeline", D, f"select doc_id, t as text, length(t) as char_length, len({q.tokens('t')}) as word_count, false as has_french, 'arabic' as type from ({_L4})", lambda t: pipelines.corpus_pipeline(t.select("doc_id", "text", "source")).drop("source"))
+reg("l26_blocked_keywords", D, f"select doc_id from {D} where not contains(coalesce(text, ''), 'برشا')", lambda t: t.where(~F.contains(F.coalesce("text", F.lit("")), F.lit("برشا"))).select("doc_id"))
+reg("l27_shuffle", D, None, lambda t: t.orderBy(F.xxhash64("doc_id", F.lit(7))).select("doc_id"))
+
+# Projections, predicates, gates.
+reg("pr1_text_pipeline_kept", T, f"select {SPLIT} as split, count(*) as n, count(*) filter (length(trim(transcript_nota)) >= 2) as n_kept from {T} group by 1", lambda t: t.groupBy(norm_split("split").alias("split")).agg(F.count("*").alias("n"), F.count_if(F.length(tx.strip("transcript_nota")) >= 2).alias("n_kept")))
+_GATE = "case when duration_s < 0.5 then 'too_short' when duration_s > 20 then 'too_long' when rms < 0.001 then 'too_silent' when silence_ratio > 0.9 then 'mostly_silent' else 'ok' end"
+reg("pr2_quality_gate", M, f"select audio_id, {_GATE} as reason from {M}", lambda t: t.select("audio_id", audio.quality_gate(F.col("duration_s"), F.col("rms"), F.col("silence_ratio")).alias("reason")))
+reg("pr5_drop_unneeded", T, f"select audio_id, split, seg_start, seg_end, transcript_nota from {T}", lambda t: joins.drop_unneeded(t, columns=("transcript", "transcript_raw", "transcript_clean", "transcript_cs", "char_count", "word_count", "has_latin", "has_diacritics", "speech_rate", "seg_duration", "source", "lang", "ingested_at")))
+reg("pr8_changed_rows", T, f"select count(*) filter (transcript is distinct from transcript_clean) as n_clean, count(*) filter (transcript_clean is distinct from transcript_cs) as n_cs, count(*) filter (transcript_cs is distinct from transcript_nota) as n_nota from {T}", lambda t: t.agg(*[F.count_if(~F.col(a).eqNullSafe(F.col(b))).alias(n) for a, b, n in (("transcript", "transcript_clean", "n_clean"), ("transcript_clean", "transcript_cs", "n_cs"), ("transcript_cs", "transcript_nota", "n_nota"))]))
+reg("pr10_length_cap", D, f"select doc_id, least(length(text), greatest(5, (select quantile_cont(length(text)::double, 0.99) from {D})::bigint)) as capped from {D} where text is not null", lambda t: t.where(F.col("text").isNotNull()).select("doc_id", F.least(F.length(F.col("text")).cast("bigint"), F.greatest(F.lit(5), F.round(t.agg(F.percentile(F.length("text").cast("double"), F.lit(0.99))).scalar()).cast("bigint"))).alias("capped")))
+_NW2 = f"len({q.tokens('transcript')})"
+col("pr11_speech_rate", T, "audio_id", {"rate": (lambda: F.round(F.when(F.col("seg_end") - F.col("seg_start") < 1, F.size(tx.tokens(F.col("transcript")))).otherwise(F.size(tx.tokens(F.col("transcript"))) / F.nullif(F.col("seg_end") - F.col("seg_start"), F.lit(0.0))), 4), f"round(case when seg_end - seg_start < 1 then {_NW2} else {_NW2} / nullif(seg_end - seg_start, 0) end, 4)")}, "transcript is not null")
+col("pr12_segment_duration", M, "audio_id", {"seg_duration": (lambda: F.col("seg_end") - F.col("seg_start"), "seg_end - seg_start")})
+reg(
+    "pr13_validate_dataset",
+    f"{M} {T}",
+    f"select count(*) filter (t.transcript_nota is null) as null_text, count(*) filter (trim(t.transcript_nota) = '') as empty_text, count(*) filter (m.duration_s <= 0) as bad_duration from (select distinct audio_id, duration_s from {M} where kept) m join (select distinct audio_id, transcript_nota from {T}) t using (audio_id)",
+    lambda m, t: m.where("kept").select("audio_id", "duration_s").distinct().join(t.select("audio_id", "transcript_nota").distinct(), "audio_id").agg(F.count_if(F.col("transcript_nota").isNull()).alias("null_text"), F.count_if(tx.strip("transcript_nota") == "").alias("empty_text"), F.count_if(F.col("duration_s") <= 0).alias("bad_duration")),
+)
+_REQ = " + ".join(f"({f} is null)::int" for f in knowledge.REQUIRED["expression"])
+reg("pr14_validate_entries", E, f"select id, case when type = 'expression' then {_REQ} else 1 end as n_errors from {E}", lambda t: knowledge.validate(t).select("id", F.size("errors").alias("n_errors")))
+reg("pr14_unknown_type", "code_switching", "select id, false as valid from code_switching", lambda t: knowledge.validate(t).select("id", "valid"))
+_PC = ("audio_id", "split", "drop_reason", "sample_rate", "kept")
+reg("pr15_profile", M, " union all ".join(f"select '{c}' as \"column\", count(*) as n, count(*) - count({c}) as nulls, count(distinct {c}) as \"distinct\" from {M}" for c in _PC), lambda t: audit.profile(t.select(*_PC)).select("column", "n", "nulls", "distinct"))
+
+# Joins and set operations.
+reg("j1_build_dataset", f"{M} {T}", f"select m.audio_id, m.split, m.duration_s, m.seg_start, m.seg_end, t.transcript_nota as text from {M} m join (select distinct audio_id, transcript_nota from {T}) t using (audio_id) where m.kept", lambda m, t: joins.build_dataset(m, t.select("audio_id", "transcript_nota").distinct()).select("audio_id", "split", "duration_s", "seg_start", "seg_end", "text"))
+reg("j2_recording_lookup", f"{M} {R}", f"select m.audio_id, r.audio_id is not null as found, case when r.audio_id is null then 'recording_not_found' end as drop_reason from {M} m left join {R} r on {REC.replace('audio_id', 'm.audio_id')} = r.audio_id", lambda m, r: joins.with_recording(m.select("audio_id", rec_of("audio_id").alias("rec_id")), r).drop("rec_id"))
+_V = f"select w as word, count(*) as n from (select unnest({q.tokens('transcript')}) as w from {T}) group by 1"
+reg("j5_semi_anti_membership", f"{T} {E}", f"with e as (select distinct unnest({q.tokens('term_arabic')}) as word from {E}) select count(*) filter (word in (select word from e)) as known, count(*) filter (word not in (select word from e)) as unknown from ({_V})", lambda t, e: audit.word_vocab(t, "transcript").join(audit.word_vocab(e, "term_arabic").select("word", F.lit(True).alias("k")), "word", "left").agg(F.count_if("k").alias("known"), F.count_if(F.col("k").isNull()).alias("unknown")))
+reg("j6_positional_zip", "eval_items", "select item_id, task as \"left\", answer as \"right\" from eval_items", lambda t: joins.positional_zip(t.select("item_id", F.col("task").alias("value")), t.select("item_id", F.col("answer").alias("value")), "item_id"))
+_ASC = f"select w as word, count(*) as n from (select unnest({q.tokens('lower(text)')}) as w from {D}) where regexp_matches(w, '^[\\x00-\\x7F]+$') group by 1"
+reg("j7_similar_words", D, f"with v as (select * from ({_ASC}) where length(word) = 5 and n >= 5) select a.word as a, b.word as b, 1 as dist, a.n + b.n as n from v a join v b on a.word < b.word and levenshtein(a.word, b.word) = 1", lambda t: joins.similar_words(audit.word_vocab(t.select(F.lower("text").alias("text")), "text").where(F.col("word").rlike(r"^[\x00-\x7F]+$")), 5, 1, 5))
+_TT = f"(select distinct unnest({q.tokens('transcript')}) as w from {T} where {SPLIT} = "
+reg("o1_out_of_vocabulary", T, f"select count(*) as test_words, count(*) filter (w not in (select w from {_TT} 'train'))) as oov_words, round(100.0::double * count(*) filter (w not in (select w from {_TT} 'train'))) / count(*), 2) as oov_pct from {_TT} 'test')", lambda t: audit.out_of_vocabulary(t.where(norm_split("split") == "train"), t.where(norm_split("split") == "test"), "transcript"))
+reg("o2_union_all", f"{D} {T}", f"select text, source, 'documents' as origin from {D} union all select transcript, source, 'segments' from {T}", lambda a, b: audit.union_all(a.select("text", "source", F.lit("documents").alias("origin")), b.select(F.col("transcript").alias("text"), "source", F.lit("segments").alias("origin"))))
+reg("o3_exact_dedup", M, f"select distinct audio_id, split, seg_start, seg_end from {M}", lambda t: t.select("audio_id", "split", "seg_start", "seg_end").dropDuplicates())
+reg("o4_near_dedup_keep_first", D, f"select doc_id, text from (select *, row_number() over (partition by {q.dedup_key('text')} order by doc_id) as r from {D}) where r = 1", lambda t: joins.near_dedup(t.select("doc_id", "text")))
+reg("o5_keep_first", M, f"select audio_id, min(ingested_at) as ingested_at from {M} group by 1", lambda t: joins.keep_first(t.select("audio_id", "ingested_at"), ["audio_id"], ["ingested_at"]))
+
+# Aggregates.
+_tok, _dia = q.tokens("transcript"), q.sub("transcript", r"[\x{064B}-\x{0652}]")
+reg(
+    "g1_basic_text_stats",
+    T,
+    f"""with r as (select length(transcript) as c, len({_tok}) as w, length(transcript) - length({_dia}) as dia, {q.has('transcript', '[a-zA-Z]')}::int as lat, len(list_filter({_tok}, lambda y: {q.has('y', '[a-zA-Z]')})) as lw, len(list_filter({_tok}, lambda y: {q.has('y', r'[\x{0600}-\x{06FF}]')})) as aw from {T} where transcript is not null)
+select count(*) as n_samples, sum(c)::bigint as total_chars, round(avg(c), 2) as avg_chars, round(quantile_cont(c::double, 0.5), 2) as median_chars, max(c) as max_chars, sum(w)::bigint as total_words, round(avg(w), 2) as avg_words, round(quantile_cont(w::double, 0.5), 2) as median_words, max(w) as max_words, count(*) filter (c = 0) as empty_count, sum(dia)::bigint as diacritic_count, round(sum(dia)::double / sum(c), 4) as diacritic_ratio, round(avg(lat) * 100, 2) as has_latin_pct, sum(aw)::bigint as arabic_words, round(sum(aw)::double / sum(w) * 100, 2) as arabic_words_pct, sum(lw)::bigint as latin_words, round(sum(lw)::double / sum(w) * 100, 2) as latin_words_pct from r""",
+    lambda t: audit.basic_text_stats(t, "transcript"),
+)
+reg("g2_char_vocab", T, f"select ch, count(*) as n from (select unnest(string_split(transcript, '')) as ch from {T}) where ch <> '' group by 1", lambda t: audit.char_vocab(t, "transcript"))
+reg("g3_word_vocab", T, _V, lambda t: audit.word_vocab(t, "transcript"))
+reg("g4_vocab_comparison", T, f"select count(distinct a) as before, count(distinct nullif(b, '')) as after, count(distinct a) - count(distinct nullif(b, '')) as reduction from (select a, {q.light('a')} as b from (select distinct unnest(string_split(transcript, '')) as a from {T}) where a <> '')", lambda t: audit.vocab_comparison(t, "transcript"))
+reg("g5_categorize_vocab", T, f"select {q.char_class('ch')} as category, count(*) as n_chars, sum(n)::bigint as n from (select ch, count(*) as n from (select unnest(string_split(transcript, '')) as ch from {T}) where ch <> '' group by 1) group by 1", lambda t: audit.categorize_vocab(t, "transcript"))
+reg("g6_code_switch_ratio", T, f"select round(avg({q.has('transcript', '[a-zA-Z]')}::int), 6) as segments, round(sum(len(list_filter({_tok}, lambda y: {q.has('y', '[a-zA-Z]')})))::double / sum(len({_tok})), 6) as words from {T} where transcript is not null", lambda t: t.where(F.col("transcript").isNotNull()).agg(F.round(F.avg(tx.has_latin(F.col("transcript")).cast("double")), 6).alias("segments"), F.round(F.sum(F.size(F.filter(tx.tokens(F.col("transcript")), lambda y: y.rlike("[a-zA-Z]")))) / F.sum(F.size(tx.tokens(F.col("transcript")))), 6).alias("words")))
+_dur = "case when isnan(duration_s) then null else duration_s end"
+_DS = "count({x}) as n, round(sum({x}) / 3600, 4) as hours, round(avg({x}), 3) as mean_s, round(quantile_cont({x}, 0.5), 3) as median_s, round({sd}({x}), 3) as std_s, round(min({x}), 3) as min_s, round(max({x}), 3) as max_s"
+_P = ", round(quantile_cont({x}, 0.05), 3) as p05_s, round(quantile_cont({x}, 0.95), 3) as p95_s"
+reg("g7_segment_duration_stats", M, f"select {(_DS + _P).format(x='x', sd='stddev_samp')} from (select {_dur} as x from {M})", lambda t: t.agg(*audit.duration_stats(F.nanvl("duration_s", F.lit(None).cast("double")))))
+_RD = f"select audio_id as rec_id, coalesce(list_max(list_transform(segments, lambda s: s['end'])), 0.0::double) as duration_s from {R}"
+reg("g8_recording_duration_stats", R, f"select {_DS.format(x='duration_s', sd='stddev_pop')} from ({_RD})", lambda t: timing.recording_durations(t).agg(*audit.duration_stats(F.col("duration_s"), True, False)))
+reg("g9_recording_durations", R, _RD, timing.recording_durations)
+reg("g10_sample_rates", M, f"select sample_rate, count(*) as n from {M} group by 1", lambda t: t.groupBy("sample_rate").agg(F.count("*").alias("n")))
+_SEG = f"select distinct lower(trim(audio_id)) as audio_id, seg_start, seg_end from {M} where seg_start is not null"
+_GAP = f"select *, lead(seg_start) over (partition by {REC} order by seg_start, seg_end nulls first, audio_id) as nxt, {REC} as rec_id from ({_SEG})"
+
+
+def _segments(m: DataFrame) -> DataFrame:
+    s = m.where("seg_start is not null").select(F.lower(F.trim("audio_id")).alias("audio_id"), "seg_start", "seg_end").distinct()
+    return s.withColumn("rec_id", rec_of("audio_id"))
+
+
+reg("w1_segment_gaps", M, f"select audio_id, nxt - seg_end as gap from ({_GAP})", lambda t: timing.gaps(_segments(t)).select("audio_id", "gap"))
+_NEW = "case when nxt is null or seg_end is null then seg_end when nxt - seg_end < 0.2::double then nxt when nxt - seg_end > 1.0::double then seg_end + 0.3::double else seg_end + (nxt - seg_end) * 0.5::double end"
+reg("w3_gap_smoothing", M, f"select audio_id, {_NEW} as seg_end, coalesce({_NEW} <> seg_end, false) as smoothing_applied from ({_GAP})", lambda t: timing.smooth(_segments(t)).select("audio_id", "seg_end", "smoothing_applied"))
+reg("g11_g12_g13_gap_stats", M, f"select count(*) as n_gaps, round(avg(g), 3) as mean_gap, round(quantile_cont(g, 0.5), 3) as median_gap, round(100 * avg((g < 0.2::double)::int), 2) as pct_short, round(100 * avg((g > 1.0::double)::int), 2) as pct_long, round(max(g), 3) as max_gap, count(*) filter (g > 60) as n_huge, round(sum(g) filter (g > 0), 2) as total_silence_s, round(sum(g), 2) as net_s from (select nxt - seg_end as g from ({_GAP})) where g is not null", lambda t: timing.gap_stats(timing.gaps(_segments(t))))
+reg("g14_smoothing_summary", M, f"with s as (select seg_start, seg_end as e, {_NEW} as n from ({_GAP}) where seg_end is not null) select count(*) as n, count(*) filter (n <> e) as n_smoothed, round(100.0::double * count(*) filter (n <> e) / count(*), 2) as pct_smoothed, round(sum(e - seg_start) / 3600, 4) as hours_before, round(sum(n - seg_start) / 3600, 4) as hours_after, round(sum(n - seg_start) / 3600 - sum(e - seg_start) / 3600, 4) as hours_gained from s", lambda t: timing.smoothing_summary(timing.smooth(_segments(t))))
+_K = "case when kept and not isnan({c}) then {c} end"
+reg(
+    "g15_corpus_stats",
+    M,
+    f"select count(*) as n_total, count(*) filter (kept) as n_kept, round(100.0::double * count(*) filter (kept) / count(*), 2) as pct_kept, round(sum(x) / 3600, 4) as total_hours_kept, round(avg(x), 3) as mean_duration_s, round(quantile_cont(x, 0.5), 3) as median_duration_s, round(stddev_samp(x), 3) as std_duration_s, round(min(x), 3) as min_duration_s, round(max(x), 3) as max_duration_s, round(avg(r), 6) as mean_rms, count(*) - count(*) filter (kept) as n_dropped from (select kept, {_K.format(c='duration_s')} as x, {_K.format(c='rms')} as r from {M})",
+    audit.corpus_stats,
+)
+reg("g15_g17_drop_reasons", M, f"select drop_reason, count(*) as n from {M} where not kept group by 1", audit.drop_reasons)
+reg("g16_final_stats", M, f"select split, count(*) as n_segments, round(sum(x) / 3600, 4) as total_hours, round(avg(x), 3) as mean_s, round(min(x), 3) as min_s, round(max(x), 3) as max_s from (select {SPLIT} as split, {_dur} as x from {M} where kept) group by 1", lambda t: t.where("kept").select(norm_split("split").alias("split"), F.nanvl("duration_s", F.lit(None).cast("double")).alias("x")).groupBy("split").agg(F.count("*").alias("n_segments"), F.round(F.sum("x") / 3600, 4).alias("total_hours"), F.round(F.avg("x"), 3).alias("mean_s"), F.round(F.min("x"), 3).alias("min_s"), F.round(F.max("x"), 3).alias("max_s")))
+_TX = "coalesce(text, '')"
+reg("g18_statistics", D, f"select count(*) as n, count(distinct text) as n_unique, count(*) filter ({q.strip(_TX)} = '') as n_empty, count(*) filter ({q.has(_TX, r'\p{Nd}')}) as n_digits, round(avg(length({_TX})), 4) as avg_chars, round(avg(len({q.tokens(_TX)})), 4) as avg_words from {D}", pipelines.corpus_statistics)
+reg("g19_w9_top_words", D, f"select w as word, count(*) as n from (select unnest({q.tokens('text')}) as w from {D}) group by 1 order by n desc, word limit 100", lambda t: audit.top_k(audit.word_vocab(t, "text"), 100))
+_ST = ("transcript_raw", "transcript_clean", "transcript_cs", "transcript_nota")
+_LONG = " union all ".join(f"select {i} as pos, '{c}' as stage, {c} as text from {T}" for i, c in enumerate(_ST))
+reg("g22_vocab_per_stage", T, f"with l as ({_LONG}), c as (select pos, stage, count(distinct v) as chars from (select pos, stage, unnest(string_split(text, '')) as v from l) where v <> '' group by 1, 2), w as (select pos, count(distinct v) as words from (select pos, unnest({q.tokens('text')}) as v from l) group by 1) select stage, chars, words, chars - lag(chars) over (order by pos) as d_chars, words - lag(words) over (order by pos) as d_words from c join w using (pos)", lambda t: audit.vocab_per_stage(t, list(_ST)))
+reg("g23_length_per_stage", T, f"select stage, round(avg(length(text)), 2) as mean, quantile_cont(length(text)::double, 0.5) as median, round(stddev_samp(length(text)), 2) as std, min(length(text)) as least, max(length(text)) as most, count(*) filter (text = '') as empty from ({_LONG}) where text is not null group by 1", lambda t: audit.length_per_stage(t, list(_ST)))
+reg("g24_hapax", T, f"select count(*) as words, count(*) filter (n = 1) as hapax, count(*) filter (n < 5) as below_5 from ({_V})", lambda t: audit.rare_word_counts(audit.word_vocab(t, "transcript")))
+_CS = "count(*) as n, count(*) filter ({a}) as with_latin, count(*) filter (transcript_clean is distinct from transcript_cs) as changed"
+reg("g25_code_switch_summary", T, f"select {SPLIT} as split, {_CS.format(a=q.has('transcript_clean', '[a-zA-Z]'))} from {T} group by 1", lambda t: t.groupBy(norm_split("split").alias("split")).agg(F.count("*").alias("n"), F.count_if(tx.has_latin("transcript_clean")).alias("with_latin"), F.count_if(~F.col("transcript_clean").eqNullSafe(F.col("transcript_cs"))).alias("changed")))
+_FL = ("waw", "negation", "taa", "alef", "hamza", "variant", "override")
+reg("g26_pr9_rule_impact", T, "select " + ", ".join(f"count(*) filter (coalesce({k}_applied, false)) as {k}" for k in _FL) + f" from {T}", lambda t: t.agg(*[F.count_if(F.coalesce(F.col(f"{k}_applied"), F.lit(False))).alias(k) for k in _FL]))
+reg("g27_segments_per_recording", R, f"select min(n) as least, max(n) as most, round(avg(n), 4) as mean, count(*) filter (n = 1) as single from (select coalesce(len(segments), 0) as n from {R})", lambda t: t.select(F.coalesce(F.when(F.col("segments").isNotNull(), F.size("segments")), F.lit(0)).alias("n")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 4).alias("mean"), F.count_if(F.col("n") == 1).alias("single")))
+reg("g28_describe", M, f"select count(x) as n, round(avg(x), 4) as mean, round(stddev_samp(x), 4) as std, min(x) as least, quantile_cont(x, 0.25) as q1, quantile_cont(x, 0.5) as q2, quantile_cont(x, 0.75) as q3, max(x) as most from (select peak as x from {M} where not isnan(peak))", lambda t: t.where(~F.isnan("peak")).select(F.col("peak").alias("x")).agg(F.count("x").alias("n"), F.round(F.avg("x"), 4).alias("mean"), F.round(F.stddev_samp("x"), 4).alias("std"), F.min("x").alias("least"), *[F.percentile("x", F.lit(p)).alias(n) for p, n in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))], F.max("x").alias("most")))
+reg(
+    "g29_wer",
+    T,
+    f"""with r as (select distinct audio_id, {q.tokens('transcript_nota')} as a, {q.tokens('transcript_raw')} as b from {T} where transcript_nota is not null and transcript_raw is not null),
+s as (select *, list_distinct(list_concat(a, b)) as u from r where len(a) <= 40 and len(b) <= 40),
+e as (select len(a) as n, levenshtein(array_to_string(list_transform(a, lambda t: chr((33 + list_position(u, t))::int)), ''), array_to_string(list_transform(b, lambda t: chr((33 + list_position(u, t))::int)), '')) as e from s)
+select count(*) as n, sum(e)::bigint as edits, round(sum(e)::double / sum(n), 6) as wer from e""",
+    lambda t: t.where("transcript_nota is not null and transcript_raw is not null").select("audio_id", tx.tokens("transcript_nota").alias("a"), tx.tokens("transcript_raw").alias("b")).distinct().where((F.size("a") <= 40) & (F.size("b") <= 40)).select(F.size("a").alias("n"), metrics.word_edits(F.col("a"), F.col("b")).alias("e")).agg(F.count("*").alias("n"), F.sum("e").alias("edits"), F.round(F.sum("e") / F.sum("n"), 6).alias("wer")),
+)
+_ASCII = r"^[\x00-\x7F]+$"
+reg("g29_cer", T, f"with r as (select distinct audio_id, transcript_raw as a, transcript_nota as b from {T} where {q.has('transcript_raw', _ASCII)} and {q.has('transcript_nota', _ASCII)}) select count(*) as n, sum(levenshtein(a, b))::bigint as edits, round(sum(levenshtein(a, b))::double / sum(length(a)), 6) as cer from r", lambda t: t.where(F.col("transcript_raw").rlike(_ASCII) & F.col("transcript_nota").rlike(_ASCII)).select("audio_id", F.col("transcript_raw").alias("a"), F.col("transcript_nota").alias("b")).distinct().agg(F.count("*").alias("n"), F.sum(F.levenshtein("a", "b")).alias("edits"), F.round(F.sum(F.levenshtein("a", "b")) / F.sum(F.length("a")), 6).alias("cer")))
+reg("g30_mean_arabic_ratio", T, f"select round(avg(case when length(transcript_nota) = 0 then 0.0::double else length({q.sub('transcript_nota', r'[^\x{0600}-\x{06FF}]')})::double / length(transcript_nota) end), 6) as ratio from {T}", lambda t: t.agg(F.round(F.avg(tx.arabic_ratio("transcript_nota")), 6).alias("ratio")))
+reg("g31_latency", "events", "select round(sum(value), 2) as total, round(avg(value), 4) as mean, quantile_cont(value, 0.5) as median, round(sum(value) / count(*), 4) as rtf from events", lambda t: t.agg(F.round(F.sum("value"), 2).alias("total"), F.round(F.avg("value"), 4).alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"), F.round(F.sum("value") / F.count("*"), 4).alias("rtf")))
+reg("g32_corpus_hours", M, f"select round(sum(x) / 3600, 4) as hours from (select {_dur} as x from {M})", lambda t: t.agg(F.round(F.sum(F.nanvl("duration_s", F.lit(None).cast("double"))) / 3600, 4).alias("hours")))
+reg("g33_split_share", M, f"select split, count(*) as n, round(100.0::double * count(*) / sum(count(*)) over (), 4) as pct from (select {SPLIT} as split from {M}) group by 1", lambda t: t.groupBy(norm_split("split").alias("split")).agg(F.count("*").alias("n")).withColumn("pct", F.round(100.0 * F.col("n") / t.agg(F.count("*")).scalar(), 4)))
+reg("g34_histogram", M, f"with v as (select duration_s as x from {M} where duration_s is not null and not isnan(duration_s)), b as (select min(x) as lo, max(x) as hi from v) select least(floor((x - lo) / (hi - lo) * 60)::int + 1, 60) as bin, count(*) as n from v, b group by 1", lambda t: audit.histogram(t, "duration_s", 60))
+reg("g36_next_id", E, f"select coalesce(max(try_cast(split_part(id, '_', 2) as int)), 0) as n from {E} where id like 'expr_%'", lambda t: knowledge.next_number(t, "expr_"))
+reg("g38_distinct_recordings", M, f"select count(distinct {REC.replace('audio_id', 'lower(trim(audio_id))')}) as n from {M}", lambda t: t.agg(F.count_distinct(rec_of(F.lower(F.trim("audio_id")))).alias("n")))
+
+# Windows, order, shape.
+reg("w4_w6_explode_segments", R, f"select rec_id || '_' || (i - 1) as audio_id, rec_id, (i - 1)::int as seg_idx, s[i].st as seg_start, s[i].en as seg_end, s[i].tr as transcript from (select rec_id, s, unnest(range(1, len(s) + 1)) as i from (select audio_id as rec_id, list_sort(list_transform(segments, lambda y: {{'st': coalesce(y['start'], 0), 'en': coalesce(y['end'], 0), 'tr': y.transcript, 'ra': coalesce(y.transcript_raw, y.transcript)}})) as s from {R}))", lambda t: timing.explode_segments(t).drop("transcript_raw"))
+reg("w5_sequential_ids", "code_switching expressions", f"with m as (select coalesce(max(try_cast(split_part(id, '_', 2) as int)), 0) as n from {E} where id like 'expr_%') select id as old, 'expr_' || lpad((row_number() over (order by id) + n)::varchar, greatest(3, length((row_number() over (order by id) + n)::varchar))::int, '0') as id from code_switching, m", lambda c, e: _ids(c, e))
+reg("w11_limit", D, f"select doc_id from {D} order by doc_id limit 500", lambda t: t.orderBy("doc_id").limit(500).select("doc_id"))
+reg("w12_hash_sample", D, None, lambda t: audit.hash_sample(t.select("doc_id"), "doc_id", 100))
+reg("w13_wide_to_long", T, " union all ".join(f"select '{m}' as metric, count(*) filter ({c} and {SPLIT} = 'train') as train, count(*) filter ({c} and {SPLIT} = 'test') as test from {T}" for m, c in (("segments", "true"), ("latin", "has_latin"), ("diacritics", "has_diacritics"))), lambda t: _wide(t))
+reg("s23_stride_sample", D, f"with n as (select greatest(1, count(*) // 100) as k from {D}) select doc_id from (select doc_id, row_number() over (order by doc_id) - 1 as i from {D}), n where i % k = 0", lambda t: audit.stride_sample(t.select("doc_id"), ["doc_id"], 100))
+reg("s14_s15_s16_load_all", f"{D} {T}", f"select text, 'documents' as source from {D} union all select audio_id, 'segments' from {T}", lambda a, b: audit.union_all(loaders.with_source(loaders.text_of(a.select("doc_id", "text")), "documents"), loaders.with_source(loaders.text_of(b.select("audio_id")), "segments")))
+reg("s22_synthetic", D, "select 'instruction ' || i as instruction, 'response ' || i as response from range(1000) t(i)", lambda t: loaders.synthetic(t.sparkSession, 1000))
+reg("k4_drop_log", T, f"select split, audio_id, 1 as phase, 'too_short' as reason, transcript_nota, coalesce(length(transcript_nota), 0) as char_len from {T} where coalesce(length(trim(transcript_nota)), 0) < 2", lambda t: sinks.drop_log(t.where(F.coalesce(F.length(tx.strip("transcript_nota")), F.lit(0)) < 2)))
+reg("k7_phase_summary", T, f"select {SPLIT} as split, count(*) as n_in, count(*) filter (length(trim(transcript_nota)) >= 2) as n_kept, round(100.0::double * count(*) filter (length(trim(transcript_nota)) >= 2) / count(*), 2) as pct from {T} group by 1", lambda t: t.groupBy(norm_split("split").alias("split")).agg(F.count("*").alias("n_in"), F.count_if(F.length(tx.strip("transcript_nota")) >= 2).alias("n_kept")).withColumn("pct", F.round(100.0 * F.col("n_kept") / F.col("n_in"), 2)))
+_FLAGSHIP = f"(select split, audio_id, {q.clean('transcript')} as c from {T})"
+_NG = f"(select split, audio_id, c, {q.nota_words(q.negation('c'))} as w from {_FLAGSHIP})"
+reg("text_pipeline", T, f"select split, audio_id, case when len(w) = 0 then c else array_to_string(list_transform(w, lambda y: y.w), ' ') end as nota, coalesce(length(trim(case when len(w) = 0 then c else array_to_string(list_transform(w, lambda y: y.w), ' ') end)) >= 2, false) as kept from {_NG}", lambda t: pipelines.text_pipeline(t.select("audio_id", "split", "transcript")).select("split", "audio_id", F.col("transcript_nota").alias("nota"), "kept"))
+
+
+def _ids(c: DataFrame, e: DataFrame) -> DataFrame:
+    new = knowledge.assign_ids(c.select(F.col("id").alias("old"), F.lit(None).cast("string").alias("id")), e, "expression", "old")
+    return new.select("old", "id")
+
+
+def _wide(t: DataFrame) -> DataFrame:
+    """One aggregate row turned into a row per metric."""
+    s = norm_split("split")
+    conds = (("segments", F.lit(True)), ("latin", F.col("has_latin")), ("diacritics", F.col("has_diacritics")))
+    one = t.agg(*[F.count_if(c & (s == k)).alias(f"{m}_{k}") for m, c in conds for k in ("train", "test")])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{m}_train").alias("train"), F.col(f"{m}_test").alias("test")) for m, _ in conds])).alias("x")).select("x.*")
+
+
+# Arrays of samples.
+_S = "list_sum(list_transform(embedding, lambda v: v::double * v::double))"
+_PK = "list_max(list_transform(embedding, lambda v: abs(v::double)))"
+col("m1_rms", "embeddings", "vec_id", {"rms": (lambda: F.round(audio.rms(F.col("embedding")), 6), f"round(sqrt({_S} / len(embedding)), 6)")})
+col("m2_silence_ratio", "embeddings", "vec_id", {"s": (lambda: F.round(audio.silence_ratio(F.col("embedding")), 6), "round(len(list_filter(embedding, lambda v: abs(v::double) < 0.01::double))::double / len(embedding), 6)")})
+reg("m3_segment_quality", "embeddings", f"select vec_id, round(len(embedding) / 16.0::double, 4) as duration_s, round(sqrt({_S} / len(embedding)), 6) as rms, round({_PK}, 6) as peak, round(len(list_filter(embedding, lambda v: abs(v::double) < 0.01::double))::double / len(embedding), 4) as silence_ratio, len(embedding)::int as n_samples from embeddings", lambda t: t.select("vec_id", audio.segment_quality(F.col("embedding"), F.lit(16)).alias("x")).select("vec_id", "x.*"))
+reg("m4_w7_slice", "embeddings", "select vec_id, len(embedding[9:40]) as n, round(list_sum(list_transform(embedding[9:40], lambda v: v::double)), 6) as total from embeddings", lambda t: t.select("vec_id", audio.slice_segment(F.col("embedding"), F.lit(16), F.lit(0.5), F.lit(2.5)).alias("s")).select("vec_id", F.size("s").alias("n"), F.round(F.aggregate(F.col("s").cast("array<double>"), F.lit(0.0), lambda p, v: p + v), 6).alias("total")))
+reg("m6_to_mono", "embeddings", "select vec_id, round(list_sum(list_transform(range(1, 33), lambda i: (embedding[2 * i - 1]::double + embedding[2 * i]::double) / 2)), 6) as total from embeddings", lambda t: t.select("vec_id", F.aggregate(audio.to_mono(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.slice(F.col("embedding"), i * 2 + 1, 2))), F.lit(0.0), lambda p, v: p + v).alias("t")).select("vec_id", F.round("t", 6).alias("total")))
+reg("m8_peak_normalize", "embeddings", f"select vec_id, round(list_max(list_transform(embedding, lambda v: abs(v::double * 0.95::double / {_PK}))), 6) as peak, round(list_sum(list_transform(embedding, lambda v: v::double * 0.95::double / {_PK})), 6) as total from embeddings", lambda t: t.select("vec_id", audio.peak_normalize(F.col("embedding")).alias("s")).select("vec_id", F.round(audio.peak(F.col("s")), 6).alias("peak"), F.round(F.aggregate("s", F.lit(0.0), lambda p, v: p + v), 6).alias("total")))
+reg("m9_pre_emphasis", "embeddings", "select vec_id, round(embedding[1]::double + list_sum(list_transform(range(2, len(embedding) + 1), lambda i: embedding[i]::double - 0.97::double * embedding[i - 1]::double)), 6) as total from embeddings", lambda t: t.select("vec_id", F.round(F.aggregate(audio.pre_emphasis(F.col("embedding")), F.lit(0.0), lambda p, v: p + v), 6).alias("total")))
+reg(
+    "z1_cosine_top_k",
+    "embeddings",
+    "with n as (select vec_id, embedding::double[] as v from embeddings), p as (select a.vec_id as query_id, b.vec_id, round(list_cosine_similarity(a.v, b.v), 9) as score from n a join n b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0) select query_id, vec_id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from p) where rank <= 5",
+    lambda t: joins.cosine_top_k(t, t.where("vec_id % 20 = 0")).withColumn("score", F.round("score", 6)),
+)
+reg("a11_similarity_score", T, None, lambda t: t.where("transcript is not null and transcript_nota is not null").select(norm_split("split").alias("split"), metrics.indel_ratio("transcript", "transcript_nota").alias("r")).groupBy("split").agg(F.round(F.avg("r"), 4).alias("score")))
