@@ -186,7 +186,7 @@ def _tagger(model: Model, segments: bool):
             table = model.of({w for ws in tokens for w in ws})
             rows = []
             for i, ws in enumerate(tokens):
-                parts = stretches(np.stack([table[w] for w in ws])) if ws else []
+                parts = stretches(np.stack([table[w] for w in ws])) if ws and model.index else []
                 if segments:
                     rows += [(i, a, b, LANGS[k], c, " ".join(ws[a:b])) for a, b, k, c in parts]
                 else:
@@ -227,7 +227,8 @@ def texts_of(train_clean: DataFrame, code_switching: DataFrame) -> DataFrame:
 
 def languages(texts: DataFrame, model: Model) -> DataFrame:
     """``(table_name, record_id, label, words, lang, confidence)`` of each text: no shuffle,
-    words are scored once a batch. A text without words has a null language and confidence 0."""
+    words are scored once a batch. A text without words, or a model without
+    labelled texts, gives a null language and confidence 0."""
     return texts.mapInPandas(_tagger(model, False), "table_name string, record_id string, label string, words int, lang string, confidence double")
 
 

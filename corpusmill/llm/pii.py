@@ -19,7 +19,7 @@ from ..tables import materialize
 PATTERN_SHARE, PATTERN_LEAST, ROUNDS, NAME_SHARE, NAME_LEAST = 0.9, 5, 3, 0.12, 3
 #: Share of all its occurrences that a discovered name must have inside names.
 OWN_SHARE = 0.3
-#: Up to so many entries, dictionaries of patterns and names go to the mappers; beyond, all candidates are joined.
+#: Patterns and names go to the mappers in sets of so many; more take more passes. A name list may have so many names.
 DICTIONARY = 500_000
 
 # Words that announce identity numbers and telephones (seed patterns), currencies, street words, spelled signs.
@@ -37,7 +37,7 @@ BEN = ("ben", "بن")
 DIGITS = {ord(a): str(i % 10) for i, a in enumerate("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹")}
 _LOCAL, _LABEL = r"[A-Za-z0-9_%+\-]+(?:\.[A-Za-z0-9_%+\-]+)*", r"[A-Za-z0-9\-]+"
 EMAIL = re.compile(
-    rf"(?<![A-Za-z0-9_.+\-])(?:{_LOCAL}(?:@|\s{{1,2}}@\s{{1,2}}|\s?(?!@){AT}\s?){_LABEL}(?:{DOT}{_LABEL})*{DOT}[A-Za-z]{{2,}}"
+    rf"(?<![A-Za-z0-9_.+%\-])(?:{_LOCAL}(?:@|\s{{1,2}}@\s{{1,2}}|\s?(?!@){AT}\s?){_LABEL}(?:{DOT}{_LABEL})*{DOT}[A-Za-z]{{2,}}"
     rf"|[A-Za-z0-9_%+\-]+(?:(?:\.|\s{DOT_WORD}\s)[A-Za-z0-9_%+\-]+)*\s{AT_WORD}\s{_LABEL}(?:\s{DOT_WORD}\s{_LABEL})*\s{DOT_WORD}\s[A-Za-z]{{2,}})(?![A-Za-z0-9_])",
     re.IGNORECASE,
 )
@@ -64,9 +64,14 @@ _OUTER = ":,،()[]{}«»\"<>؛;"
 
 
 def _blank(text: str, spans: list[tuple[int, int]]) -> str:
+    """NULs over the spans, which are in order and apart."""
+    if not spans:
+        return text
+    out, at = [], 0
     for a, b in spans:
-        text = text[:a] + "\0" * (b - a) + text[b:]
-    return text
+        out += [text[at:a], "\0" * (b - a)]
+        at = b
+    return "".join([*out, text[at:]])
 
 
 def before(text: str, at: int, most: int = 3) -> list[str]:
@@ -174,10 +179,9 @@ def _slots(patterns: set[str]):
                 if last.isdisjoint(WORD.findall(t.lower())):
                     continue
                 for g, f, a, _ in names_in(t, lambda _, y: y in last):
-                    p = [x for x in before(t, a) if x in patterns]
-                    if p:
-                        rows.append((d, a, p[-1], g.lower(), f.lower()))
-            yield pd.DataFrame(rows, columns=["doc_id", "start_pos", "pattern", "g", "f"])
+                    if any(x in patterns for x in before(t, a)):
+                        rows.append((d, a, g.lower(), f.lower()))
+            yield pd.DataFrame(rows, columns=["doc_id", "start_pos", "g", "f"])
 
     return run
 
@@ -186,30 +190,43 @@ def _capital(word: str) -> bool:
     return word.isascii() and all(x[:1].isupper() for x in word.split())
 
 
-def _pairs(given: set[str] | None, counted: set[str]):
+def _totals(counted: set[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter[str] = Counter()
+        for pdf in batches:
+            for t in pdf["masked"]:
+                n.update(w for w in WORD.findall(t.lower()) if w in counted)
+        yield pd.DataFrame({"f": list(n), "total": list(n.values())})
+
+    return run
+
+
+def _pairs(given: set[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for d, t in zip(pdf["doc_id"], pdf["masked"], strict=True):
-                words = WORD.findall(t.lower())
-                n.update(w for w in words if w in counted)
-                if given is not None and given.isdisjoint(words):
+                if given.isdisjoint(WORD.findall(t.lower())):
                     continue
-                for g, f, a, b in names_in(t, lambda x, _: given is None or x in given):
+                for g, f, a, b in names_in(t, lambda x, _: x in given):
                     sure = (" " in f and f.split(" ")[0].lower() in BEN) or (_capital(g) and _capital(f) and len(f) > 2)
-                    rows.append((d, a, b, g.lower(), f.lower(), sure, 0))
-            yield pd.DataFrame(rows, columns=["doc_id", "start_pos", "end_pos", "g", "f", "sure", "total"])
-        if n:
-            yield pd.DataFrame({"doc_id": 0, "start_pos": -1, "end_pos": -1, "g": "", "f": list(n), "sure": False, "total": list(n.values())})
+                    rows.append((d, a, b, g.lower(), f.lower(), sure))
+            yield pd.DataFrame(rows, columns=["doc_id", "start_pos", "end_pos", "g", "f", "sure"])
 
     return run
 
 
-def _dictionary(df: DataFrame, column: str) -> set[str] | None:
-    """The values of a column if there are at most ``DICTIONARY`` of them, else None."""
-    rows = df.select(column).distinct().limit(DICTIONARY + 1).collect()
-    return None if len(rows) > DICTIONARY else {r[0] for r in rows}
+def _each(words: DataFrame, column: str, run: Callable[[set[str]], DataFrame]) -> DataFrame:
+    """The union of ``run`` over the distinct values of a column, as sets of some
+    ``DICTIONARY`` values at most that go to the mappers; each value is in one set."""
+    own = words.select(column).distinct()
+    blocks = max(1, -(-own.count() // DICTIONARY))
+    block = F.pmod(F.xxhash64(column), F.lit(blocks))
+    parts = [run({r[0] for r in (own if blocks == 1 else own.where(block == i)).collect()}) for i in range(blocks)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def number_kinds(numbers: DataFrame) -> DataFrame:
@@ -259,14 +276,16 @@ def name_spans(texts: DataFrame, name_list: DataFrame) -> DataFrame:
     known given name before ``ben`` and a word, or, in Latin letters, before a capital."""
     spark = texts.sparkSession
     names = name_list.where("name is not null").select(F.lower(F.trim("name")).alias("name"), "name_kind").distinct()
-    rows = [(r[0], r[1]) for r in names.limit(DICTIONARY).collect()]
+    rows = [(r[0], r[1]) for r in names.limit(DICTIONARY + 1).collect()]
+    if len(rows) > DICTIONARY:
+        raise ValueError(f"a name list of more than {DICTIONARY} names")
     given, family = {n for n, k in rows if k == "given"}, {n for n, k in rows if k == "family"}
     seeds = materialize(texts.select("masked").mapInPandas(_seed_contexts(given, family), "pattern string, seeds bigint").groupBy("pattern").agg(F.sum("seeds").alias("seeds")).where(F.col("seeds") >= NAME_LEAST), "pii-seeds")
-    candidates = _dictionary(seeds, "pattern") or set()
-    totals = texts.select("masked").mapInPandas(_pattern_totals(candidates), "pattern string, total bigint").groupBy("pattern").agg(F.sum("total").alias("total"))
-    good = seeds.join(totals, "pattern").where((F.col("seeds") >= NAME_SHARE * F.col("total")) & (F.col("pattern") != "^"))
-    patterns = _dictionary(good, "pattern") or set()
-    slots = materialize(texts.select("doc_id", "masked").mapInPandas(_slots(patterns), f"doc_id {dict(texts.dtypes)['doc_id']}, start_pos int, pattern string, g string, f string"), "pii-slots")
+    totals = _each(seeds, "pattern", lambda w: texts.select("masked").mapInPandas(_pattern_totals(w), "pattern string, total bigint")).groupBy("pattern").agg(F.sum("total").alias("total"))
+    good = materialize(seeds.join(totals, "pattern").where((F.col("seeds") >= NAME_SHARE * F.col("total")) & (F.col("pattern") != "^")), "pii-name-patterns")
+    kind = dict(texts.dtypes)["doc_id"]
+    slots = _each(good, "pattern", lambda w: texts.mapInPandas(_slots(w), f"doc_id {kind}, start_pos int, g string, f string")).distinct()
+    slots = materialize(slots, "pii-slots")
     gs = spark.createDataFrame([(n,) for n in sorted(given)], "g string")
     fs = spark.createDataFrame([(n,) for n in sorted(family)], "f string")
     for i in range(ROUNDS):
@@ -275,12 +294,10 @@ def name_spans(texts: DataFrame, name_list: DataFrame) -> DataFrame:
         new_f = seen.groupBy("f").agg(F.avg("kg").alias("share")).where("share >= 0.5").select("f")
         new_g = seen.groupBy("g").agg(F.avg(F.greatest("kf", ben.cast("int"))).alias("share"), F.sum(F.greatest("kf", ben.cast("int"))).alias("n")).where("share >= 0.3 and n >= 2").select("g")
         gs, fs = materialize(gs.union(new_g).distinct(), f"pii-given-{i}"), materialize(fs.union(new_f).distinct(), f"pii-family-{i}")
-    new = fs.select(F.col("f").alias("w")).union(gs.select(F.col("g").alias("w"))).join(names.select(F.col("name").alias("w")), "w", "left_anti")
-    counted = _dictionary(new, "w")
-    pairs = materialize(texts.select("doc_id", "masked").mapInPandas(_pairs(_dictionary(gs, "g"), counted or set()), f"doc_id {dict(texts.dtypes)['doc_id']}, start_pos int, end_pos int, g string, f string, sure boolean, total bigint"), "pii-pairs")
-    totals = pairs.where("start_pos < 0").groupBy("f").agg(F.sum("total").alias("total"))
-    real = pairs.where("start_pos >= 0").join(gs, "g", "left_semi").join(fs.withColumn("kf", F.lit(True)), "f", "left")
-    real = real.where(F.col("sure") | F.col("kf"))
+    new = materialize(fs.join(names.select(F.col("name").alias("f")), "f", "left_anti").where("f not like '% %'"), "pii-new-names")
+    pairs = _each(gs, "g", lambda w: texts.mapInPandas(_pairs(w), f"doc_id {kind}, start_pos int, end_pos int, g string, f string, sure boolean"))
+    totals = _each(new, "f", lambda w: texts.select("masked").mapInPandas(_totals(w), "f string, total bigint")).groupBy("f").agg(F.sum("total").alias("total"))
+    real = materialize(pairs.join(fs.withColumn("kf", F.lit(True)), "f", "left").where(F.col("sure") | F.col("kf")), "pii-pairs")
     inside = real.groupBy("f").agg(F.count("*").alias("inside"))
     doubtful = totals.join(inside, "f").where(F.col("inside") < OWN_SHARE * F.col("total")).select("f")
     return real.join(doubtful, "f", "left_anti").select("doc_id", "start_pos", "end_pos")
