@@ -83,5 +83,5 @@ def script_type(c: Column) -> Column:
 
 def dedup_key(c: Column) -> Column:
     """The form by which near copies are equal: marks gone, letters unified, signs as blanks."""
-    c = F.translate(F.regexp_replace(c, DEDUP_MARKS, ""), f"{ALEFS}ىة", "ااااي" + "ه")
+    c = F.translate(F.regexp_replace(c, DEDUP_MARKS, ""), f"{ALEFS}ىة", "اااايه")
     return normalize_whitespace(F.regexp_replace(c, rf"[^\p{{L}}\p{{N}}_\s\x0B\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}\x{{0600}}-\x{{06FF}}]", " "))

@@ -129,7 +129,7 @@ def classify_char(c: Column | str) -> Column:
 
 def normalize_light(c: Column | str) -> Column:
     """The audit's light Arabic form."""
-    return F.translate(F.regexp_replace(_c(c), r"[\x{064B}-\x{0652}]", ""), "أإآىؤئة", "اااي" + "ويه")
+    return F.translate(F.regexp_replace(_c(c), r"[\x{064B}-\x{0652}]", ""), "أإآىؤئة", "ااايويه")
 
 
 def has_latin(c: Column | str) -> Column:

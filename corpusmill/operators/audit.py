@@ -120,12 +120,13 @@ def profile(df: DataFrame) -> DataFrame:
 
 
 def histogram(df: DataFrame, x: str, bins: int) -> DataFrame:
-    """``(bin, n)`` of ``bins`` equal bins between the least and the greatest value (1 to ``bins``)."""
+    """``(bin, n)`` of ``bins`` equal bins between the least and the greatest value (1 to
+    ``bins``); all in the first if there is one value. Null and NaN are left out."""
     d = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).select(F.col(x).cast("double").alias("x"))
     b = d.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     lo, hi = b.select("lo").scalar(), b.select("hi").scalar()
-    at = F.least(F.floor((F.col("x") - lo) / F.nullif(hi - lo, F.lit(0.0)) * bins).cast("int") + 1, F.lit(bins))
-    return d.groupBy(F.coalesce(at, F.lit(1)).alias("bin")).agg(F.count("*").alias("n"))
+    share = F.coalesce((F.col("x") - lo) / F.nullif(hi - lo, F.lit(0.0)), F.lit(0.0))
+    return d.groupBy(F.least(F.floor(share * bins).cast("int") + 1, F.lit(bins)).alias("bin")).agg(F.count("*").alias("n"))
 
 
 def stride_sample(df: DataFrame, order: list[str], n: int) -> DataFrame:
