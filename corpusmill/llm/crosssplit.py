@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..tables import materialize, norm_key, norm_split, strip_ws
 
 #: Characters per shingle, bands, and minwise hashes per band. A pair of Jaccard
-#: similarity s shares a bucket with probability 1-(1-s^ROWS)^BANDS: 0.95 at 0.55, 0.99 at 0.63.
-SHINGLE, BANDS, ROWS = 3, 32, 4
+#: similarity s shares a bucket with probability 1-(1-s^ROWS)^BANDS: 0.95 at 0.5, 0.99 at 0.55.
+SHINGLE, BANDS, ROWS = 3, 48, 4
 _U = np.uint64
 
 
@@ -122,18 +122,21 @@ def overlapping_texts(
     members = materialize(sides.select("id", "split", "text", F.xxhash64("text").alias("text_id")).distinct(), "crosssplit-members")
     texts = members.groupBy("text_id", "text").agg(F.max(F.col("split").isin(*train)).alias("in_train"), F.max(F.col("split").isin(*evaluation)).alias("in_eval"))
     texts = materialize(texts.mapInPandas(_bander(q, bands, band_rows), "text_id bigint, text string, in_train boolean, in_eval boolean, sketch array<bigint>, buckets array<bigint>"), "crosssplit-texts")
-    left = texts.where("in_train").select(F.col("text_id").alias("train_text"), F.posexplode("buckets").alias("band", "bucket"))
-    right = texts.where("in_eval").select(F.col("text_id").alias("eval_text"), F.posexplode("buckets").alias("band", "bucket"))
-    cand = left.join(right, ["band", "bucket"]).select("train_text", "eval_text").distinct()
-    t = texts.select(F.col("text_id").alias("train_text"), F.col("text").alias("tt"), F.col("sketch").alias("ts"))
-    e = texts.select(F.col("text_id").alias("eval_text"), F.col("text").alias("et"), F.col("sketch").alias("es"))
-    both = cand.join(t, "train_text").join(e, "eval_text")
-    distance = F.levenshtein("tt", "et")
-    if max_edit_share is not None:  # lengths and sketches rule most candidates out without loss
-        most = F.floor(F.greatest(F.length("tt"), F.length("et")) * max_edit_share)
+    left = texts.where("in_train").select(F.col("text_id").alias("train_text"), F.explode("buckets").alias("bucket"))
+    right = texts.where("in_eval").select(F.col("text_id").alias("eval_text"), F.explode("buckets").alias("bucket"))
+    cand = left.join(right, "bucket").select("train_text", "eval_text").distinct()  # a bucket's number holds its band
+    n = F.length("text")
+    t = texts.where("in_train").select(F.col("text_id").alias("train_text"), F.col("text").alias("tt"), n.alias("tn"), F.col("sketch").alias("ts"))
+    e = texts.where("in_eval").select(F.col("text_id").alias("eval_text"), F.col("text").alias("et"), n.alias("en"), F.col("sketch").alias("es"))
+    if max_edit_share is not None:  # lengths and sketches rule most candidates out without loss, before any text is fetched
+        most = F.floor(F.greatest("tn", "en") * max_edit_share)
         differ = sum((F.bit_count(F.col("ts")[i].bitwiseXOR(F.col("es")[i])) for i in range(4)), F.lit(0))
-        possible = (F.abs(F.length("tt") - F.length("et")) <= most) & ((differ <= 4 * most) | (F.least(F.length("tt"), F.length("et")) < 2))
-        both = both.where(F.when(possible, distance <= most))
+        cand = cand.join(t.drop("tt"), "train_text").join(e.drop("et"), "eval_text").where(F.abs(F.col("tn") - F.col("en")) <= most)
+        cand = cand.where((differ <= 4 * most) | (F.least("tn", "en") < 2)).select("train_text", "eval_text")
+    both = cand.join(t.drop("ts"), "train_text").join(e.drop("es"), "eval_text")
+    distance = F.levenshtein("tt", "et")
+    if max_edit_share is not None:
+        both = both.where(distance <= F.floor(F.greatest("tn", "en") * max_edit_share))
     both = materialize(both.select("train_text", "eval_text", "tt", "et", distance.alias("edits")), "crosssplit-verified")
     both = both.withColumn("tg", _grams(F.col("tt"), q)).withColumn("eg", _grams(F.col("et"), q))
     common = F.size(F.array_intersect("tg", "eg"))

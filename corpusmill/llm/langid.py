@@ -191,6 +191,8 @@ def _tagger(model: Model, segments: bool):
                     rows += [(i, a, b, LANGS[k], c, " ".join(ws[a:b])) for a, b, k, c in parts]
                 else:
                     rows.append((i, len(ws), *label(parts)))
+            if not rows:
+                continue
             at = [r[0] for r in rows]
             out = pdf.drop(columns="text").iloc[at].reset_index(drop=True)
             names = ("first_word", "end_word", "lang", "confidence", "stretch") if segments else ("words", "lang", "confidence")

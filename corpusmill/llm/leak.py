@@ -121,7 +121,9 @@ def _verifier(edits: int):
         for pdf in batches:
             d = [0 if a == b else edit_distance(a.split(" "), b.split(" ")) for a, b in zip(pdf["a"], pdf["b"], strict=True)]
             out = pd.DataFrame({"item_id": pdf["item_id"], "doc_id": pdf["doc_id"], "item_pos": pdf["item_pos"], "doc_pos": pdf["doc_pos"], "edits": np.array(d, np.int32)})
-            yield out[out["edits"] <= edits]
+            out = out[out["edits"] <= edits]
+            if len(out):
+                yield out
 
     return run
 

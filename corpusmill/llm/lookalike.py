@@ -26,8 +26,6 @@ YEH, YEH_FINAL, YEH_INNER = "ی", "ى", "ي"
 #: Characters that show nothing, besides those of category Cf and the variation selectors.
 BLANKS = "­͏ᅟᅠ឴឵⠀ㅤﾠ"
 # End of fixed values.
-#: The collation ignores the stretching sign, which readers see; a private sign stands for it in the key.
-STRETCH, STRETCH_KEY = "\u0640", "\ue640"
 
 
 @functools.cache
@@ -74,11 +72,20 @@ def canonical_look(text: str) -> str:
     return " ".join(unicodedata.normalize("NFC", s).split())
 
 
-@F.pandas_udf(T.StringType())
-def look_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """``canonical_look`` of each text; null stays null."""
+@functools.cache
+def _key_table() -> dict[int, int]:
+    """What readers tell apart and the collation doesn't, to signs of private use: the
+    stretching sign, which it ignores, and decimal digits of other scripts."""
+    apart = [0x0640, *(c for c in range(0x80, 0x20000) if unicodedata.category(chr(c)) == "Nd")]
+    return {c: 0xF0000 + i for i, c in enumerate(apart)}
+
+
+@F.pandas_udf(T.StructType([T.StructField("look", T.StringType()), T.StructField("key", T.StringType())]))
+def look_of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """``canonical_look`` of each text and its key for grouping."""
     for s in parts:
-        yield s.map(canonical_look, na_action="ignore")
+        look = s.map(canonical_look, na_action="ignore")
+        yield pd.DataFrame({"look": look, "key": look.map(lambda t: t.translate(_key_table()), na_action="ignore")})
 
 
 def equivalence_classes(rows: DataFrame) -> DataFrame:
@@ -94,7 +101,7 @@ def equivalence_classes(rows: DataFrame) -> DataFrame:
     aggregate before grouping, so no class is ordered or collected in one task."""
     spark = rows.sparkSession
     one = materialize(rows.select("id", "text").where("id is not null and text is not null").distinct(), "lookalike-rows")
-    texts = materialize(one.select("text").distinct().withColumn("look", look_of("text")).withColumn("key", F.translate("look", STRETCH, STRETCH_KEY)), "lookalike-texts")
+    texts = materialize(one.select("text").distinct().select("text", look_of("text").alias("x")).select("text", "x.*"), "lookalike-texts")
     view = f"lookalike_{id(texts)}"
     texts.createOrReplaceTempView(view)
     classes = spark.sql(

@@ -133,6 +133,8 @@ def spots_in(text: str) -> tuple[str, list[dict]]:
 
 def _spots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
+        if not len(pdf):
+            continue
         got = [spots_in(t) for t in pdf["text"]]
         yield pd.DataFrame({"doc_id": pdf["doc_id"], "masked": [t for t, _ in got], "spots": [x for _, x in got]})
 
@@ -147,7 +149,8 @@ def _seed_contexts(given: set[str], family: set[str]):
                 for _, f, a, _ in names_in(t, lambda x, _: x in given):
                     if f.lower() in family:
                         n.update(before(t, a))
-        yield pd.DataFrame({"pattern": list(n), "seeds": list(n.values())})
+        if n:
+            yield pd.DataFrame({"pattern": list(n), "seeds": list(n.values())})
 
     return run
 
@@ -164,7 +167,8 @@ def _pattern_totals(patterns: set[str]):
                     for i, x in enumerate(w):
                         if x in last:
                             n.update(p for k in (1, 2, 3) if i >= k - 1 and (p := " ".join(w[i - k + 1 : i + 1])) in patterns)
-        yield pd.DataFrame({"pattern": list(n), "total": list(n.values())})
+        if n:
+            yield pd.DataFrame({"pattern": list(n), "total": list(n.values())})
 
     return run
 
@@ -181,7 +185,8 @@ def _slots(patterns: set[str]):
                 for g, f, a, _ in names_in(t, lambda _, y: y in last):
                     if any(x in patterns for x in before(t, a)):
                         rows.append((d, a, g.lower(), f.lower()))
-            yield pd.DataFrame(rows, columns=["doc_id", "start_pos", "g", "f"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "start_pos", "g", "f"])
 
     return run
 
@@ -196,7 +201,8 @@ def _totals(counted: set[str]):
         for pdf in batches:
             for t in pdf["masked"]:
                 n.update(w for w in WORD.findall(t.lower()) if w in counted)
-        yield pd.DataFrame({"f": list(n), "total": list(n.values())})
+        if n:
+            yield pd.DataFrame({"f": list(n), "total": list(n.values())})
 
     return run
 
@@ -211,7 +217,8 @@ def _pairs(given: set[str]):
                 for g, f, a, b in names_in(t, lambda x, _: x in given):
                     sure = (" " in f and f.split(" ")[0].lower() in BEN) or (_capital(g) and _capital(f) and len(f) > 2)
                     rows.append((d, a, b, g.lower(), f.lower(), sure))
-            yield pd.DataFrame(rows, columns=["doc_id", "start_pos", "end_pos", "g", "f", "sure"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "start_pos", "end_pos", "g", "f", "sure"])
 
     return run
 
