@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import tokens
+from .text import WS, tokens
 
 # Fixed values.
 OVERRIDES = {w: w for w in ("احنا", "انا", "انت", "انتي", "عالسلامة", "هاذا", "هاذاكه", "هاذي", "هاذيكه", "هو", "هوما", "هي")} | {"كانطريبرنور": "كانطروبرونور"}
@@ -50,7 +50,7 @@ def _map(m: Mapping[str, str]) -> Column:
 
 def split_negation(c: Column) -> Column:
     """``ma``-verb-``sh`` written as one word becomes three; the verb has two letters or more."""
-    return F.regexp_replace(c, r"(ما)(\S{2,})(ش)(?=\s|$)", "$1 $2 $3")
+    return F.regexp_replace(c, rf"(ما)([^{WS[1:-1]}]{{2,}})(ش)(?={WS}|$)", "$1 $2 $3")
 
 
 def _step(words: Column, flag: str, hit, value) -> Column:

@@ -211,7 +211,7 @@ reg(
     audit.corpus_stats,
 )
 reg("g15_g17_drop_reasons", M, f"select drop_reason, count(*) as n from {M} where not kept group by 1", audit.drop_reasons)
-reg("g16_final_stats", M, f"select split, count(*) as n_segments, round(sum(x) / 3600, 4) as total_hours, round(avg(x), 3) as mean_s, round(min(x), 3) as min_s, round(max(x), 3) as max_s from (select {SPLIT} as split, {_dur} as x from {M} where kept) group by 1", lambda t: t.where("kept").select(norm_split("split").alias("split"), F.nanvl("duration_s", F.lit(None).cast("double")).alias("x")).groupBy("split").agg(F.count("*").alias("n_segments"), F.round(F.sum("x") / 3600, 4).alias("total_hours"), F.round(F.avg("x"), 3).alias("mean_s"), F.round(F.min("x"), 3).alias("min_s"), F.round(F.max("x"), 3).alias("max_s")))
+reg("g16_final_stats", M, f"select split, count(*) as n_segments, round(sum(x) / 3600, 4) as total_hours, round(avg(x), 3) as mean_s, min(x) as min_s, max(x) as max_s from (select {SPLIT} as split, {_dur} as x from {M} where kept) group by 1", lambda t: t.where("kept").select(norm_split("split").alias("split"), F.nanvl("duration_s", F.lit(None).cast("double")).alias("x")).groupBy("split").agg(F.count("*").alias("n_segments"), F.round(F.sum("x") / 3600, 4).alias("total_hours"), F.round(F.avg("x"), 3).alias("mean_s"), F.min("x").alias("min_s"), F.max("x").alias("max_s")))
 _TX = "coalesce(text, '')"
 reg("g18_statistics", D, f"select count(*) as n, count(distinct text) as n_unique, count(*) filter ({q.strip(_TX)} = '') as n_empty, count(*) filter ({q.has(_TX, r'\p{Nd}')}) as n_digits, round(avg(length({_TX})), 4) as avg_chars, round(avg(len({q.tokens(_TX)})), 4) as avg_words from {D}", pipelines.corpus_statistics)
 reg("g19_w9_top_words", D, f"select w as word, count(*) as n from (select unnest({q.tokens('text')}) as w from {D}) group by 1 order by n desc, word limit 100", lambda t: audit.top_k(audit.word_vocab(t, "text"), 100))

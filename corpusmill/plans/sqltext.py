@@ -76,7 +76,7 @@ def light(c: str) -> str:
 
 
 def negation(c: str) -> str:
-    return sub(c, r"(ما)(\S{2,})(ش)(\s|$)", r"\1 \2 \3\4")
+    return sub(c, rf"(ما)([^{WS[1:-1]}]{{2,}})(ش)({WS}|$)", r"\1 \2 \3\4")
 
 
 def nota_words(c: str) -> str:
