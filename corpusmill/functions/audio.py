@@ -128,6 +128,12 @@ def decoded(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"samples": [x for x, _ in got], "rate": [r for _, r in got]})
 
 
+@F.pandas_udf(T.BinaryType())
+def encoded(samples: pd.Series, rates: pd.Series) -> pd.Series:
+    """16-bit mono WAV bytes of samples; null for null."""
+    return pd.Series([None if x is None else encode_wav(np.asarray(x, np.float32), int(r)) for x, r in zip(samples, rates, strict=True)], dtype=object)
+
+
 def preprocess(rate: int = 16_000, trim: bool = True, normalize: bool = True, emphasis: bool = True):
     """An Arrow function from (samples, rate) to samples: resampled, trimmed, normalised, emphasised."""
 

@@ -20,12 +20,6 @@ def explode_segments(recordings: DataFrame, key: str = "audio_id") -> DataFrame:
     return d.select(F.concat_ws("_", "rec_id", F.col("seg_idx").cast("string")).alias("audio_id"), "rec_id", "seg_idx", "s.*")
 
 
-def slice_arrays(df: DataFrame, array: str, start: str, end: str, rate: Column) -> Column:
-    from ..functions.audio import slice_segment
-
-    return slice_segment(F.col(array), rate, F.col(start), F.col(end))
-
-
 def with_next_start(segments: DataFrame, rec: str = "rec_id", block_s: float = 3600.0) -> DataFrame:
     """``segments`` with ``next_start``, the start of the recording's next segment in the
     order (seg_start, seg_end, audio_id); null for its last. Rows without a start have none.
@@ -58,6 +52,17 @@ def smooth(segments: DataFrame, rec: str = "rec_id", small_gap: float = 0.2, lar
     return d.withColumn("seg_duration", F.col("seg_end") - F.col("seg_start")).drop("_new", "next_start", "gap")
 
 
+def smooth_array(segments: Column, small_gap: float = 0.2, large_gap: float = 1.0, max_extension: float = 0.3, fill_ratio: float = 0.5) -> Column:
+    """The same rule within an array of segments, in the array's own order."""
+
+    def one(s: Column, i: Column) -> Column:
+        nxt = F.get(segments, i + 1)["start"]
+        g = nxt - s["end"]
+        return s.withField("end", F.when(g.isNull(), s["end"]).when(g < small_gap, nxt).when(g > large_gap, s["end"] + F.lit(max_extension)).otherwise(s["end"] + g * F.lit(fill_ratio)))
+
+    return F.transform(segments, one)
+
+
 def gap_stats(gapped: DataFrame, short: float = 0.2, long: float = 1.0, huge: float = 60.0) -> DataFrame:
     """One row of gap statistics; ``total_silence_s`` sums the positive gaps, ``net_s`` all."""
     g = F.col("gap")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import audio, codeswitch, corpus, metrics, nota
 from ..functions import text as tx
-from ..operators import audit, joins, knowledge, timing
+from ..operators import audit, joins, knowledge, timing, waveforms
 from ..sources import loaders, sinks
 from ..tables import load, norm_split, rec_of
 from . import pipelines
@@ -291,3 +291,27 @@ reg(
     lambda t: joins.cosine_top_k(t, t.where("vec_id % 20 = 0")).withColumn("score", F.round("score", 6)),
 )
 reg("a11_similarity_score", T, None, lambda t: t.where("transcript is not null and transcript_nota is not null").select(norm_split("split").alias("split"), metrics.indel_ratio("transcript", "transcript_nota").alias("r")).groupBy("split").agg(F.round(F.avg("r"), 4).alias("score")))
+reg("w2_smooth_array", R, f"select audio_id, list_transform(list_transform(range(1, len(segments) + 1), lambda i: case when segments[i + 1]['start'] - segments[i]['end'] is null then segments[i]['end'] when segments[i + 1]['start'] - segments[i]['end'] < 0.2::double then segments[i + 1]['start'] when segments[i + 1]['start'] - segments[i]['end'] > 1.0::double then segments[i]['end'] + 0.3::double else segments[i]['end'] + (segments[i + 1]['start'] - segments[i]['end']) * 0.5::double end), lambda e: round(e, 6)) as ends from {R} where segments is not null", lambda t: t.where("segments is not null").select("audio_id", F.transform(timing.smooth_array(F.col("segments")), lambda s: F.round(s["end"], 6)).alias("ends")))
+reg("w8_segment_audio_rounded", "embeddings", "select vec_id, len(embedding[9:40]) as n from embeddings", lambda t: t.select("vec_id", F.size(audio.slice_segment(F.col("embedding"), F.lit(16), F.lit(0.48), F.lit(2.52), True)).alias("n")))
+reg("g20_count_tokens", D, f"select sum(len({q.tokens('text')}))::bigint as n from {D}", lambda t: t.agg(F.sum(F.when(F.col("text").isNotNull(), F.size(tx.tokens("text")))).alias("n")))
+_PROF = "select {s} as stage, type, count(*) as n, count(*) filter (digits) as n_digits from (select {k} as type, {h} as digits from {f}) group by all"
+reg(
+    "g21_before_after_profile",
+    D,
+    _PROF.format(s="'before'", k=q.script_type("text"), h=q.has("text", r"\p{Nd}"), f=D) + " union all " + _PROF.format(s="'after'", k=q.script_type("t"), h=q.has("t", r"\p{Nd}"), f=f"({_L4})"),
+    lambda t: audit.union_all(t.select(F.lit("before").alias("stage"), "text"), pipelines.corpus_pipeline(t.select("doc_id", "text")).select(F.lit("after").alias("stage"), "text")).groupBy("stage", corpus.script_type(F.col("text")).alias("type")).agg(F.count("*").alias("n"), F.count_if(corpus.has_numbers(F.col("text"))).alias("n_digits")),
+)
+reg("l24_filter_by_script_type", D, f"select doc_id from {D} where {q.script_type('text')} = 'mixed'", lambda t: t.where(corpus.script_type(F.col("text")) == "mixed").select("doc_id"))
+reg("pr4_valid_audio", "embeddings", "select vec_id, len(embedding) > 0 as ok from embeddings", lambda t: t.select("vec_id", audio.is_valid(F.col("embedding"), F.lit(16)).alias("ok")))
+reg("k14_sorted_lexicon", E, f"select distinct term_arabic as k, meaning as v from {E} where term_arabic is not null", lambda t: loaders.sorted_lexicon(t.where("term_arabic is not null").select(F.lit(0).alias("ord"), F.col("term_arabic").alias("k"), F.col("meaning").alias("v"))))
+reg("s12_nested_json", R, f"select unnest(list_transform(segments, lambda s: s.transcript)) as text from {R}", lambda t: loaders.nested_json_texts(t.select(F.to_json(F.transform("segments", lambda s: F.struct(s["transcript"].alias("text")))).alias("data"))))
+
+
+def _cut(t: DataFrame) -> DataFrame:
+    """Vectors written as WAV bytes at 16 samples a second and cut into two segments each."""
+    rec = t.select(F.col("vec_id").cast("string").alias("rec_id"), audio.encoded(F.col("embedding"), F.lit(16)).alias("bytes"))
+    seg = rec.select("rec_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("i")).select(F.concat_ws("_", "rec_id", F.col("i").cast("string")).alias("audio_id"), "rec_id", (F.col("i") * 2.0).alias("seg_start"), (F.col("i") * 2.0 + 1.5).alias("seg_end"))
+    return waveforms.extract_segments(rec, seg, 16, {"trim": False, "normalize": False}).drop("waveform")
+
+
+reg("m12_extract_segments", "embeddings", None, _cut)

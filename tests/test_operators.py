@@ -170,3 +170,19 @@ def test_stream_equals_batch(spark, tmp_path):
     s = transforms.read_segments(spark, str(tmp_path / "in"), d.schema)
     transforms.clean_stream(s, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {tuple(r) for r in pipelines.text_pipeline(d).collect()}
+
+
+def test_extract_segments(spark):
+    import numpy as np
+
+    from corpusmill.functions import audio
+    from corpusmill.operators import waveforms
+
+    x = np.sin(np.arange(32_000) / 10).astype(np.float32) * 0.5
+    rec = spark.createDataFrame([("a", bytearray(audio.encode_wav(x, 16_000))), ("bad", bytearray(b"junk")), ("e", None)], "rec_id string, bytes binary")
+    seg = spark.createDataFrame([("a_0", "a", 0.0, 1.0), ("a_1", "a", 1.9, 2.4), ("a_2", "a", None, 1.0), ("bad_0", "bad", 0.0, 1.0), ("no_0", "no", 0.0, 1.0)] + [(f"a_{i}", "a", 0.0, 0.6) for i in range(3, 1203)], "audio_id string, rec_id string, seg_start double, seg_end double")
+    got = {r["audio_id"]: r for r in waveforms.extract_segments(rec, seg).collect()}
+    assert len(got) == 1205
+    assert got["a_0"]["kept"] and got["a_0"]["duration_s"] == 1.0 and abs(got["a_0"]["peak"] - 0.95) < 1e-3
+    assert [got[k]["drop_reason"] for k in ("a_1", "a_2", "bad_0", "no_0")] == ["too_short", "no_bounds", "decode_failed", "recording_not_found"]
+    assert {tuple(r) for r in waveforms.channel_census(waveforms.wav_info(rec, "rec_id", "bytes")).collect()} == {("mono", 1), ("invalid", 2)}
