@@ -22,10 +22,11 @@ OWN_SHARE = 0.3
 #: Patterns and names go to the mappers in sets of so many; more take more passes. A name list may have so many names.
 DICTIONARY = 500_000
 
-# Words that announce identity numbers and telephones (seed patterns), currencies, street words, spelled signs.
+# Words that announce identity numbers and telephones (seed patterns), numbering plans, currencies, street words, spelled signs.
 ID_WORDS = ("cin", "id card", "carte d'identité", "carte d'identité n°", "passport", "passeport", "passeport n°", "cnss", "sécurité sociale", "بطاقة تعريف عدد", "بطاقة التعريف الوطنية", "بطاقة تعريف", "جواز سفر عدد", "الجواز", "جواز السفر", "ب.ت.و", "الضمان الاجتماعي عدد")
 PHONE_WORDS = ("tél", "tel", "téléphone", "phone", "mobile", "call", "numéro", "تلفون", "هاتف", "كلمني", "اتصل بيا على", "رقم الهاتف")
 CURRENCY = r"(?:دينار|دنانير|مليم|dinars?|dt\b|tnd\b|€|euros?)"
+PLANS = r"(?:\(\+216\)|\+216|00216)[ .\-]?\d{2}[ .\-]?\d{3}[ .\-]?\d{3}(?!\d)|(?:\(\+33\)|\+33|0033)[ .\-]?\d(?:[ .\-]?\d{2}){4}(?!\d)"
 STREET_LATIN = r"(?:rue|avenue|av\.|bd\.?|boulevard|impasse|allée|chemin|ruelle|nahj|chara3|street)"
 STREET_ARABIC = r"(?:نهج|شارع|زنقة|ممر|زقاق)"
 NUMBER_WORD = r"(?:n\s?°|nº|no\.?|numéro|num|#|عدد|رقم)"
@@ -44,12 +45,12 @@ EMAIL = re.compile(
 URL = re.compile(r"(?:https?://|www\.)\S+", re.IGNORECASE)
 NUMBER = re.compile(
     r"(?<![\w/.+#@\-])(?<!\d[ .\-])(?:"
-    r"(?P<intl>(?:\(\+\d{2,3}\)|\+\d{2,3}|00\d{2,3})[ .\-]?\d{1,3}(?:[ .\-]?\d{2,4}){2,5})"
+    r"(?P<social>\d{8}-\d{2})"
+    rf"|(?P<intl>{PLANS}|(?:\(\+\d{{2,3}}\)|\+\d{{2,3}}|00\d{{2,3}})[ .\-]?\d{{1,3}}(?:[ .\-]?\d{{2,4}}){{2,5}})"
     r"|(?P<national>0\d(?:[ .\-]\d{2}){4})"
-    r"|(?P<social>\d{8}-\d{2})"
     r"|(?P<passport>[A-Z]{1,2}\d{6,7})"
     r"|(?P<grouped>\d{2}[ .\-]\d{3}[ .\-]\d{3})"
-    r"|(?P<plain>\d{8}))(?!\w|[.\-/:]\d)(?!\s*" + CURRENCY + ")",
+    r"|(?P<plain>\d{8}))(?!\w|[.\-/:]\d)(?P<money>\s*" + CURRENCY + ")?",
     re.IGNORECASE,
 )
 _W = r"[^\W\d_]+(?:['’\-][^\W\d_]+)*"
@@ -60,6 +61,7 @@ ADDRESS = re.compile(
     re.IGNORECASE,
 )
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+SHAPES = ("social", "intl", "national", "passport", "grouped", "plain")
 _OUTER = ":,،()[]{}«»\"<>؛;"
 
 
@@ -125,9 +127,11 @@ def spots_in(text: str) -> tuple[str, list[dict]]:
         rows += [("address", a, b, "", []) for a, b in streets]
         rest = _blank(t, streets)
     for m in NUMBER.finditer(rest) if NUMBER_HINT.search(rest) else ():
-        if m.lastgroup == "intl" and not 10 <= len(re.sub(r"\D", "", m.group())) <= 14:
+        shape = next(k for k in SHAPES if m[k] is not None)
+        if shape == "intl" and not 10 <= len(re.sub(r"\D", "", m[shape])) <= 14:
             continue
-        rows.append((m.lastgroup, m.start(), m.end(), re.sub(r"[ .\-]", "", m.group()), before(rest, m.start())))
+        value = re.sub(r"[ .\-]", "", m[shape])
+        rows.append((shape if m["money"] is None or shape != "grouped" else "amount", m.start(), m.end(shape), value, before(rest, m.start())))
     return t, [dict(zip(("shape", "start_pos", "end_pos", "value", "patterns"), r, strict=True)) for r in rows]
 
 
@@ -247,9 +251,10 @@ def number_kinds(numbers: DataFrame) -> DataFrame:
     belief of its instances, and instances of accepted patterns are believed of the kind.
     Phones also need strong shapes among a pattern's instances, as numbers of orders and
     bills look like plain phones. The longest accepted pattern decides; without any, only
-    unmistakable phone shapes count, unless a frequent other pattern announces the number."""
+    unmistakable phone shapes count, unless a frequent other pattern announces the number or
+    a currency follows it."""
     lead = F.substring("value", 1, 1).isin("0", "1")
-    eight = F.col("shape").isin("grouped", "plain")
+    eight = F.col("shape").isin("grouped", "plain", "amount")
     strong_id, strong_phone = F.col("shape").isin("social", "passport"), F.col("shape").isin("intl", "national")
     seeds = numbers.sparkSession.createDataFrame([(w, "id_number") for w in ID_WORDS] + [(w, "phone") for w in PHONE_WORDS], "pattern string, kind string")
     edges = numbers.select("doc_id", "start_pos", "value", "shape", F.posexplode("patterns").alias("k", "pattern"))
