@@ -86,7 +86,7 @@ def before(text: str, at: int, most: int = 3) -> list[str]:
 AT_HINT = re.compile(rf"@|[\[({{]\s?at|\s{AT_WORD}\s", re.IGNORECASE)
 DIGIT_HINT = re.compile(r"[٠-٩۰-۹]")
 NUMBER_HINT = re.compile(r"\d[ .\-]?\d[ .\-]?\d[ .\-]?\d[ .\-]?\d[ .\-]?\d")
-STREET_HINT = re.compile(rf"{STREET_LATIN}\s|{STREET_ARABIC}\s", re.IGNORECASE)
+STREET_HINT = (*re.findall(r"[^\W_]{2,}", STREET_LATIN), *re.findall(r"\w{2,}", STREET_ARABIC))
 
 
 def masked(text: str) -> tuple[str, list[tuple[int, int]]]:
@@ -94,7 +94,7 @@ def masked(text: str) -> tuple[str, list[tuple[int, int]]]:
     t = text.translate(DIGITS) if DIGIT_HINT.search(text) else text
     emails = [m.span() for m in EMAIL.finditer(t)] if AT_HINT.search(t) else []
     t = _blank(t, emails)
-    return _blank(t, [m.span() for m in URL.finditer(t)]), emails
+    return (_blank(t, [m.span() for m in URL.finditer(t)]) if "://" in t or "ww." in t.lower() else t), emails
 
 
 def names_in(text: str, first: Callable[[str, str], bool]) -> Iterator[tuple[str, str, int, int]]:
@@ -122,7 +122,8 @@ def spots_in(text: str) -> tuple[str, list[dict]]:
     t, emails = masked(text)
     rows = [("email", a, b, "", []) for a, b in emails]
     rest = t
-    if STREET_HINT.search(t):
+    low = t.lower()
+    if any(word in low for word in STREET_HINT):
         streets = [m.span() for m in ADDRESS.finditer(t)]
         rows += [("address", a, b, "", []) for a, b in streets]
         rest = _blank(t, streets)
@@ -167,7 +168,7 @@ def _pattern_totals(patterns: set[str]):
         for pdf in batches:
             for t in pdf["masked"]:
                 for line in t.lower().split("\n"):
-                    w = [x for x in (y.strip(_OUTER) for y in line.split()) if x]
+                    w = [x for y in line.split() if (x := y.strip(_OUTER))]
                     for i, x in enumerate(w):
                         if x in last:
                             n.update(p for k in (1, 2, 3) if i >= k - 1 and (p := " ".join(w[i - k + 1 : i + 1])) in patterns)
