@@ -160,25 +160,37 @@ def _seed_contexts(given: set[str], family: set[str]):
     return run
 
 
-def _pattern_totals(patterns: set[str]):
-    last = {p.split(" ")[-1] for p in patterns}
+def _pattern_totals(limits: dict[str, int]):
+    """Counts of patterns. A mapper stops counting a pattern beyond its limit, as that
+    many occurrences rule it out whatever the other mappers count."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter[str] = Counter()
+        left = dict(limits)
+        last = Counter(p.split(" ")[-1] for p in left)
         for pdf in batches:
             for t in pdf["masked"]:
                 for line in t.lower().split("\n"):
                     w = [x for y in line.split() if (x := y.strip(_OUTER))]
                     for i, x in enumerate(w):
-                        if x in last:
-                            n.update(p for k in (1, 2, 3) if i >= k - 1 and (p := " ".join(w[i - k + 1 : i + 1])) in patterns)
+                        if x not in last:
+                            continue
+                        for k in range(1, min(3, i + 1) + 1):
+                            p = " ".join(w[i - k + 1 : i + 1])
+                            if p in left:
+                                n[p] += 1
+                                if n[p] > left[p]:
+                                    del left[p]
+                                    last[x] -= 1
+                        if not last[x]:
+                            del last[x]
         if n:
             yield pd.DataFrame({"pattern": list(n), "total": list(n.values())})
 
     return run
 
 
-def _slots(patterns: set[str]):
+def _slots(patterns: dict[str, int]):
     last = {x[-1] for p in patterns if (x := WORD.findall(p))}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,7 +212,7 @@ def _capital(word: str) -> bool:
     return word.isascii() and all(x[:1].isupper() for x in word.split())
 
 
-def _totals(counted: set[str]):
+def _totals(counted: dict[str, int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter[str] = Counter()
         for pdf in batches:
@@ -212,12 +224,12 @@ def _totals(counted: set[str]):
     return run
 
 
-def _pairs(given: set[str]):
+def _pairs(given: dict[str, int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for d, t in zip(pdf["doc_id"], pdf["masked"], strict=True):
-                if given.isdisjoint(WORD.findall(t.lower())):
+                if given.keys().isdisjoint(WORD.findall(t.lower())):
                     continue
                 for g, f, a, b in names_in(t, lambda x, _: x in given):
                     sure = (" " in f and f.split(" ")[0].lower() in BEN) or (_capital(g) and _capital(f) and len(f) > 2)
@@ -228,13 +240,14 @@ def _pairs(given: set[str]):
     return run
 
 
-def _each(words: DataFrame, column: str, run: Callable[[set[str]], DataFrame]) -> DataFrame:
-    """The union of ``run`` over the distinct values of a column, as sets of some
-    ``DICTIONARY`` values at most that go to the mappers; each value is in one set."""
-    own = words.select(column).distinct()
+def _each(words: DataFrame, column: str, run: Callable[[dict[str, int]], DataFrame], value: str | None = None) -> DataFrame:
+    """The union of ``run`` over the distinct values of a column, as dictionaries of some
+    ``DICTIONARY`` values at most that go to the mappers; each value is in one of them,
+    with the greatest ``value`` of its rows."""
+    own = words.groupBy(column).agg(F.max(value or F.lit(0)).alias("_v"))
     blocks = max(1, -(-own.count() // DICTIONARY))
     block = F.pmod(F.xxhash64(column), F.lit(blocks))
-    parts = [run({r[0] for r in (own if blocks == 1 else own.where(block == i)).collect()}) for i in range(blocks)]
+    parts = [run({r[0]: r[1] for r in (own if blocks == 1 else own.where(block == i)).collect()}) for i in range(blocks)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -294,7 +307,7 @@ def name_spans(texts: DataFrame, name_list: DataFrame) -> DataFrame:
         raise ValueError(f"a name list of more than {DICTIONARY} names")
     given, family = {n for n, k in rows if k == "given"}, {n for n, k in rows if k == "family"}
     seeds = materialize(texts.select("masked").mapInPandas(_seed_contexts(given, family), "pattern string, seeds bigint").groupBy("pattern").agg(F.sum("seeds").alias("seeds")).where(F.col("seeds") >= NAME_LEAST), "pii-seeds")
-    totals = _each(seeds, "pattern", lambda w: texts.select("masked").mapInPandas(_pattern_totals(w), "pattern string, total bigint")).groupBy("pattern").agg(F.sum("total").alias("total"))
+    totals = _each(seeds.withColumn("limit", F.ceil(F.col("seeds") / NAME_SHARE)), "pattern", lambda w: texts.select("masked").mapInPandas(_pattern_totals(w), "pattern string, total bigint"), "limit").groupBy("pattern").agg(F.sum("total").alias("total"))
     good = materialize(seeds.join(totals, "pattern").where((F.col("seeds") >= NAME_SHARE * F.col("total")) & (F.col("pattern") != "^")), "pii-name-patterns")
     kind = dict(texts.dtypes)["doc_id"]
     slots = _each(good, "pattern", lambda w: texts.mapInPandas(_slots(w), f"doc_id {kind}, start_pos int, g string, f string")).distinct()
