@@ -19,7 +19,7 @@ def plain(v):
 def test_queries_match_sql(spark):
     import duckdb
 
-    from corpusmill.plans import reference, registry  # noqa: F401
+    from corpusmill.plans import catalogue, registry  # noqa: F401
 
     con = duckdb.connect()
     con.execute("set timezone='UTC'")
