@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ..tables import materialize
 
 #: Share of a pattern's instances that must be of a kind for the pattern to announce it; its least
-#: instances; rounds of scoring; least share of seed pairs after a name pattern and its least seeds.
-PATTERN_SHARE, PATTERN_LEAST, ROUNDS, NAME_SHARE, NAME_LEAST = 0.9, 5, 3, 0.12, 3
+#: instances (more for identity numbers, whose leading digits orders share by chance); rounds of scoring; least share of seed pairs after a name pattern and its least seeds.
+PATTERN_SHARE, PATTERN_LEAST, ID_LEAST, ROUNDS, NAME_SHARE, NAME_LEAST = 0.9, 5, 8, 3, 0.12, 3
 #: Share of all its occurrences that a discovered name must have inside names.
 OWN_SHARE = 0.3
 #: Patterns and names go to the mappers in sets of so many; more take more passes. A name list may have so many names.
@@ -146,28 +146,28 @@ def _spots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _seed_contexts(given: set[str], family: set[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n: Counter[str] = Counter()
+        seen: set[tuple[str, str]] = set()
         for pdf in batches:
             for t in pdf["masked"]:
                 if given.isdisjoint(WORD.findall(t.lower())):
                     continue
-                for _, f, a, _ in names_in(t, lambda x, _: x in given):
+                for g, f, a, _ in names_in(t, lambda x, _: x in given):
                     if f.lower() in family:
-                        n.update(before(t, a))
-        if n:
-            yield pd.DataFrame({"pattern": list(n), "seeds": list(n.values())})
+                        seen.update((p, f"{g} {f}".lower()) for p in before(t, a))
+        if seen:
+            yield pd.DataFrame(sorted(seen), columns=["pattern", "instance"])
 
     return run
 
 
-def _pattern_totals(limits: dict[str, int]):
-    """Counts of patterns. A mapper stops counting a pattern beyond its limit, as that
-    many occurrences rule it out whatever the other mappers count."""
+def _followers(limits: dict[str, int]):
+    """The different word pairs that follow a pattern. A mapper stops collecting beyond the
+    pattern's limit, as so many rule it out whatever the other mappers find."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n: Counter[str] = Counter()
-        left = dict(limits)
-        last = Counter(p.split(" ")[-1] for p in left)
+        found: dict[str, set[str]] = {}
+        full: set[str] = set()
+        last = Counter(p.split(" ")[-1] for p in limits)
         for pdf in batches:
             for t in pdf["masked"]:
                 for line in t.lower().split("\n"):
@@ -177,15 +177,16 @@ def _pattern_totals(limits: dict[str, int]):
                             continue
                         for k in range(1, min(3, i + 1) + 1):
                             p = " ".join(w[i - k + 1 : i + 1])
-                            if p in left:
-                                n[p] += 1
-                                if n[p] > left[p]:
-                                    del left[p]
+                            if p in limits and p not in full:
+                                own = found.setdefault(p, set())
+                                own.add(" ".join(w[i + 1 : i + 3]))
+                                if len(own) > limits[p]:
+                                    full.add(p)
                                     last[x] -= 1
                         if not last[x]:
                             del last[x]
-        if n:
-            yield pd.DataFrame({"pattern": list(n), "total": list(n.values())})
+        if found:
+            yield pd.DataFrame([(p, x) for p, own in found.items() for x in own], columns=["pattern", "instance"])
 
     return run
 
@@ -278,8 +279,9 @@ def number_kinds(numbers: DataFrame) -> DataFrame:
         flags = [F.max((F.col("kind") == k).cast("int")).alias(c) for k, c in (("id_number", "b_id"), ("phone", "b_phone"))]
         believed = edges.join(known, "pattern").groupBy("value").agg(*flags)
         e = edges.join(believed, "value", "left").fillna(0, ["b_id", "b_phone"])
+        e = e.groupBy("pattern", "value").agg(*[F.max(c).alias(c) for c in ("id_like", "phone_like", "strong", "b_id", "b_phone")])  # copies count once
         s = e.groupBy("pattern").agg(F.count("*").alias("n"), F.avg(F.greatest("id_like", "b_id")).alias("id"), F.avg(F.greatest("phone_like", "b_phone")).alias("phone"), F.avg(F.greatest("strong", "b_phone")).alias("strong"))
-        kind = F.when((F.col("id") >= PATTERN_SHARE) & (F.col("strong") < 0.1), F.lit("id_number")).when((F.col("phone") >= PATTERN_SHARE) & (F.col("strong") >= 0.1), F.lit("phone"))
+        kind = F.when((F.col("id") >= PATTERN_SHARE) & (F.col("strong") < 0.1) & (F.col("n") >= ID_LEAST), F.lit("id_number")).when((F.col("phone") >= PATTERN_SHARE) & (F.col("strong") >= 0.1), F.lit("phone"))
         found = s.where(F.col("n") >= PATTERN_LEAST).select("pattern", kind.alias("kind")).where("kind is not null and pattern <> '^'")
         known = materialize(seeds.unionByName(found.join(seeds.select("pattern"), "pattern", "left_anti")), f"pii-patterns-{i}")
     frequent = edges.groupBy("pattern").agg(F.count("*").alias("n")).where((F.col("n") >= PATTERN_LEAST) & (F.col("pattern") != "^")).join(known, "pattern", "left_anti").select("pattern", F.lit("other").alias("kind"))
@@ -295,7 +297,7 @@ def name_spans(texts: DataFrame, name_list: DataFrame) -> DataFrame:
     ``texts (doc_id, masked)``.
 
     Seeds are pairs of listed names. The words before them are patterns; one is accepted
-    if its share of seeds among all its occurrences is high. The pairs that accepted
+    if its share of seeds among the different word pairs after it is high (copies count once). The pairs that accepted
     patterns announce form the graph: a word after a known given name becomes a family
     name, a word before known family names a given name, over ``ROUNDS`` rounds. Pairs of
     known names count anywhere, if a discovered name mostly stands in names; so does a
@@ -306,8 +308,8 @@ def name_spans(texts: DataFrame, name_list: DataFrame) -> DataFrame:
     if len(rows) > DICTIONARY:
         raise ValueError(f"a name list of more than {DICTIONARY} names")
     given, family = {n for n, k in rows if k == "given"}, {n for n, k in rows if k == "family"}
-    seeds = materialize(texts.select("masked").mapInPandas(_seed_contexts(given, family), "pattern string, seeds bigint").groupBy("pattern").agg(F.sum("seeds").alias("seeds")).where(F.col("seeds") >= NAME_LEAST), "pii-seeds")
-    totals = _each(seeds.withColumn("limit", F.ceil(F.col("seeds") / NAME_SHARE)), "pattern", lambda w: texts.select("masked").mapInPandas(_pattern_totals(w), "pattern string, total bigint"), "limit").groupBy("pattern").agg(F.sum("total").alias("total"))
+    seeds = materialize(texts.select("masked").mapInPandas(_seed_contexts(given, family), "pattern string, instance string").groupBy("pattern").agg(F.count_distinct("instance").alias("seeds")).where(F.col("seeds") >= NAME_LEAST), "pii-seeds")
+    totals = _each(seeds.withColumn("limit", F.ceil(F.col("seeds") / NAME_SHARE)), "pattern", lambda w: texts.select("masked").mapInPandas(_followers(w), "pattern string, instance string"), "limit").groupBy("pattern").agg(F.count_distinct("instance").alias("total"))
     good = materialize(seeds.join(totals, "pattern").where((F.col("seeds") >= NAME_SHARE * F.col("total")) & (F.col("pattern") != "^")), "pii-name-patterns")
     kind = dict(texts.dtypes)["doc_id"]
     slots = _each(good, "pattern", lambda w: texts.mapInPandas(_slots(w), f"doc_id {kind}, start_pos int, g string, f string")).distinct()
@@ -315,7 +317,7 @@ def name_spans(texts: DataFrame, name_list: DataFrame) -> DataFrame:
     gs = spark.createDataFrame([(n,) for n in sorted(given)], "g string")
     fs = spark.createDataFrame([(n,) for n in sorted(family)], "f string")
     for i in range(ROUNDS):
-        seen = slots.join(gs.withColumn("kg", F.lit(1)), "g", "left").join(fs.withColumn("kf", F.lit(1)), "f", "left").fillna(0, ["kg", "kf"])
+        seen = slots.select("g", "f").distinct().join(gs.withColumn("kg", F.lit(1)), "g", "left").join(fs.withColumn("kf", F.lit(1)), "f", "left").fillna(0, ["kg", "kf"])
         ben = F.col("f").rlike(r"^(?:ben|بن)\s")
         new_f = seen.groupBy("f").agg(F.avg("kg").alias("share")).where("share >= 0.5").select("f")
         new_g = seen.groupBy("g").agg(F.avg(F.greatest("kf", ben.cast("int"))).alias("share"), F.sum(F.greatest("kf", ben.cast("int"))).alias("n")).where("share >= 0.3 and n >= 2").select("g")

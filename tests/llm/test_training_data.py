@@ -375,6 +375,9 @@ def test_personal_data(spark):
     assert len(found) == len({(r["doc_id"], r["kind"], r["start_pos"]) for r in found})
     red = {r["doc_id"]: r["text"] for r in pii.redacted(d, n).collect()}
     assert red[0] == "mail : [EMAIL] ok" and red[400] is None and red[401] == "" and red[200] == "انا اسمي [NAME] ok"
+    hot = spark.createDataFrame([(1000 + i, "اسمي وليد المجهولي كلمني 61 222 333") for i in range(300)], "doc_id bigint, text string")
+    many = pii.entities(d.select("doc_id", "text").union(hot), n).where("doc_id >= 1000").groupBy("kind").count().collect()
+    assert {r["kind"]: r["count"] for r in many} == {"name": 300, "phone": 300}  # a hot unseen name doesn't hide its pattern
     assert pii.found(d.limit(0), n).count() == 0 and pii.found(d, n.limit(0)).count() > 0
 
 
