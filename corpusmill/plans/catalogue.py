@@ -237,6 +237,8 @@ select count(*) as n, sum(e)::bigint as edits, round(sum(e)::double / sum(n), 6)
 )
 _ASCII = r"^[\x00-\x7F]+$"
 reg("g29_cer", T, f"with r as (select distinct audio_id, transcript_raw as a, transcript_nota as b from {T} where {q.has('transcript_raw', _ASCII)} and {q.has('transcript_nota', _ASCII)}) select count(*) as n, sum(levenshtein(a, b))::bigint as edits, round(sum(levenshtein(a, b))::double / sum(length(a)), 6) as cer from r", lambda t: t.where(F.col("transcript_raw").rlike(_ASCII) & F.col("transcript_nota").rlike(_ASCII)).select("audio_id", F.col("transcript_raw").alias("a"), F.col("transcript_nota").alias("b")).distinct().agg(F.count("*").alias("n"), F.sum(F.levenshtein("a", "b")).alias("edits"), F.round(F.sum(F.levenshtein("a", "b")) / F.sum(F.length("a")), 6).alias("cer")))
+# The whole of g29_cer, whose SQL counts bytes and so takes ASCII texts only.
+reg("g29_cer_all", T, None, lambda t: t.where("transcript_raw is not null and transcript_nota is not null").select("audio_id", F.col("transcript_raw").alias("a"), F.col("transcript_nota").alias("b")).distinct().select(F.length("a").alias("n"), F.levenshtein("a", "b").alias("e")).agg(F.count("*").alias("n"), F.sum("e").alias("edits"), F.round(F.sum("e") / F.nullif(F.sum("n"), F.lit(0)), 6).alias("cer")))
 reg("g30_mean_arabic_ratio", T, f"select round(avg(case when length(transcript_nota) = 0 then 0.0::double else length({q.sub('transcript_nota', r'[^\x{0600}-\x{06FF}]')})::double / length(transcript_nota) end), 6) as ratio from {T}", lambda t: t.agg(F.round(F.avg(tx.arabic_ratio("transcript_nota")), 6).alias("ratio")))
 reg("g31_latency", "events", "select round(sum(value), 2) as total, round(avg(value), 4) as mean, quantile_cont(value, 0.5) as median, round(sum(value) / count(*), 4) as rtf from events", lambda t: t.agg(F.round(F.sum("value"), 2).alias("total"), F.round(F.avg("value"), 4).alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"), F.round(F.sum("value") / F.count("*"), 4).alias("rtf")))
 reg("g32_corpus_hours", M, f"select round(sum(x) / 3600, 4) as hours from (select {_dur} as x from {M})", lambda t: t.agg(F.round(F.sum(F.nanvl("duration_s", F.lit(None).cast("double"))) / 3600, 4).alias("hours")))
