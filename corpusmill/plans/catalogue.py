@@ -160,6 +160,8 @@ reg("j5_semi_anti_membership", f"{T} {E}", f"with e as (select distinct unnest({
 reg("j6_positional_zip", "eval_items", "select item_id, task as \"left\", answer as \"right\" from eval_items", lambda t: joins.positional_zip(t.select("item_id", F.col("task").alias("value")), t.select("item_id", F.col("answer").alias("value")), "item_id"))
 _ASC = f"select w as word, count(*) as n from (select unnest({q.tokens('lower(text)')}) as w from {D}) where regexp_matches(w, '^[\\x00-\\x7F]+$') group by 1"
 reg("j7_similar_words", D, f"with v as (select * from ({_ASC}) where length(word) = 5 and n >= 5) select a.word as a, b.word as b, 1 as dist, a.n + b.n as n from v a join v b on a.word < b.word and levenshtein(a.word, b.word) = 1", lambda t: joins.similar_words(audit.word_vocab(t.select(F.lower("text").alias("text")), "text").where(F.col("word").rlike(r"^[\x00-\x7F]+$")), 5, 1, 5))
+# The whole of j7_similar_words, whose SQL counts bytes and so takes ASCII words only.
+reg("j7_similar_words_all", D, None, lambda t: joins.similar_words(audit.word_vocab(t.select(F.lower("text").alias("text")), "text"), 5, 1, 5))
 _TT = f"(select distinct unnest({q.tokens('transcript')}) as w from {T} where {SPLIT} = "
 reg("o1_out_of_vocabulary", T, f"select count(*) as test_words, count(*) filter (w not in (select w from {_TT} 'train'))) as oov_words, round(100.0::double * count(*) filter (w not in (select w from {_TT} 'train'))) / count(*), 2) as oov_pct from {_TT} 'test')", lambda t: audit.out_of_vocabulary(t.where(norm_split("split") == "train"), t.where(norm_split("split") == "test"), "transcript"))
 reg("o2_union_all", f"{D} {T}", f"select text, source, 'documents' as origin from {D} union all select transcript, source, 'segments' from {T}", lambda a, b: audit.union_all(a.select("text", "source", F.lit("documents").alias("origin")), b.select(F.col("transcript").alias("text"), "source", F.lit("segments").alias("origin"))))

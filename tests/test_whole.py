@@ -1,5 +1,9 @@
 """Queries that do the whole of a job whose SQL covers a part, against brute force."""
 
+import random
+from collections import Counter
+from itertools import combinations
+
 from corpusmill.plans import catalogue, registry  # noqa: F401
 
 
@@ -24,3 +28,14 @@ def test_character_errors_of_all_scripts(spark, tmp_path):
     got = run(spark, tmp_path, "g29_cer_all", "df_train_clean", [*rows, rows[0], ("x", None, "نعم"), ("y", "نعم", None)], "audio_id string, transcript_raw string, transcript_nota string")
     e = sum(edits(a, b) for a, b in pairs)
     assert [tuple(r) for r in got] == [(len(pairs), e, round(e / sum(len(a) for a, _ in pairs), 6))]
+
+
+def test_similar_words_of_all_scripts(spark, tmp_path):
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("ابت") for _ in range(5)) for _ in range(60)] + ["hedha", "hedhi", "école", "ecole", "مرحبا", "مرحبه", "مرحب"]
+    rows = [(" ".join(rnd.choice(words) for _ in range(12)),) for _ in range(60)] + [(None,), ("",), ("مرحبا مرحبه Hedha hedhi école ecole",)] * 5
+    n = Counter(w for (t,) in rows for w in (t or "").lower().split())
+    v = sorted(w for w in n if len(w) == 5 and n[w] >= 5)
+    want = sorted((a, b, 1, n[a] + n[b]) for a, b in combinations(v, 2) if edits(a, b) == 1)
+    got = sorted(tuple(r) for r in run(spark, tmp_path, "j7_similar_words_all", "documents", rows, "text string"))
+    assert got == want and {("مرحبا", "مرحبه"), ("ecole", "école"), ("hedha", "hedhi")} <= {x[:2] for x in got}
