@@ -237,6 +237,8 @@ e as (select len(a) as n, levenshtein(array_to_string(list_transform(a, lambda t
 select count(*) as n, sum(e)::bigint as edits, round(sum(e)::double / sum(n), 6) as wer from e""",
     lambda t: t.where("transcript_nota is not null and transcript_raw is not null").select("audio_id", tx.tokens("transcript_nota").alias("a"), tx.tokens("transcript_raw").alias("b")).distinct().where((F.size("a") <= 40) & (F.size("b") <= 40)).select(F.size("a").alias("n"), metrics.word_edits(F.col("a"), F.col("b")).alias("e")).agg(F.count("*").alias("n"), F.sum("e").alias("edits"), F.round(F.sum("e") / F.sum("n"), 6).alias("wer")),
 )
+# The whole of g29_wer, whose SQL has one ASCII character per word and so takes texts of up to 40 words only.
+reg("g29_wer_all", T, None, lambda t: t.where("transcript_nota is not null and transcript_raw is not null").select("audio_id", tx.tokens("transcript_nota").alias("a"), tx.tokens("transcript_raw").alias("b")).distinct().select(F.size("a").alias("n"), metrics.word_edits_long("a", "b").alias("e")).agg(F.count("*").alias("n"), F.sum("e").alias("edits"), F.round(F.sum("e") / F.nullif(F.sum("n"), F.lit(0)), 6).alias("wer")))
 _ASCII = r"^[\x00-\x7F]+$"
 reg("g29_cer", T, f"with r as (select distinct audio_id, transcript_raw as a, transcript_nota as b from {T} where {q.has('transcript_raw', _ASCII)} and {q.has('transcript_nota', _ASCII)}) select count(*) as n, sum(levenshtein(a, b))::bigint as edits, round(sum(levenshtein(a, b))::double / sum(length(a)), 6) as cer from r", lambda t: t.where(F.col("transcript_raw").rlike(_ASCII) & F.col("transcript_nota").rlike(_ASCII)).select("audio_id", F.col("transcript_raw").alias("a"), F.col("transcript_nota").alias("b")).distinct().agg(F.count("*").alias("n"), F.sum(F.levenshtein("a", "b")).alias("edits"), F.round(F.sum(F.levenshtein("a", "b")) / F.sum(F.length("a")), 6).alias("cer")))
 # The whole of g29_cer, whose SQL counts bytes and so takes ASCII texts only.

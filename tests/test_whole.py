@@ -39,3 +39,15 @@ def test_similar_words_of_all_scripts(spark, tmp_path):
     want = sorted((a, b, 1, n[a] + n[b]) for a, b in combinations(v, 2) if edits(a, b) == 1)
     got = sorted(tuple(r) for r in run(spark, tmp_path, "j7_similar_words_all", "documents", rows, "text string"))
     assert got == want and {("مرحبا", "مرحبه"), ("ecole", "école"), ("hedha", "hedhi")} <= {x[:2] for x in got}
+
+
+def test_word_errors_of_long_texts(spark, tmp_path):
+    rnd = random.Random(4)
+    rows = []
+    for i, n in enumerate([0, 1, 5, 39, 40, 41, 60, 150, 400]):
+        a = [rnd.choice(["نعم", "لا", "ok", "برشة", "c'est"]) for _ in range(n)]
+        b = [w for w in a if rnd.random() < 0.9] + ["زايد"] * (i % 3)
+        rows.append((f"a_{i}", " ".join(a), " ".join(b)))
+    got = run(spark, tmp_path, "g29_wer_all", "df_train_clean", [*rows, rows[8], ("x", None, "نعم"), ("y", "نعم", None)], "audio_id string, transcript_nota string, transcript_raw string")
+    e = sum(edits(a.split(), b.split()) for _, a, b in rows)
+    assert [tuple(r) for r in got] == [(len(rows), e, round(e / sum(len(a.split()) for _, a, _ in rows), 6))]
