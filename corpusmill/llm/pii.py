@@ -215,12 +215,12 @@ def _capital(word: str) -> bool:
 
 def _totals(counted: dict[str, int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n: Counter[str] = Counter()
         for pdf in batches:
-            for t in pdf["masked"]:
-                n.update(w for w in WORD.findall(t.lower()) if w in counted)
-        if n:
-            yield pd.DataFrame({"f": list(n), "total": list(n.values())})
+            rows = []
+            for h, t in zip(pdf["h"], pdf["masked"], strict=True):
+                rows += [(w, h, n) for w, n in Counter(w for w in WORD.findall(t.lower()) if w in counted).items()]
+            if rows:
+                yield pd.DataFrame(rows, columns=["f", "h", "total"])
 
     return run
 
@@ -229,14 +229,14 @@ def _pairs(given: dict[str, int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for d, t in zip(pdf["doc_id"], pdf["masked"], strict=True):
+            for d, h, t in zip(pdf["doc_id"], pdf["h"], pdf["masked"], strict=True):
                 if given.keys().isdisjoint(WORD.findall(t.lower())):
                     continue
                 for g, f, a, b in names_in(t, lambda x, _: x in given):
                     sure = (" " in f and f.split(" ")[0].lower() in BEN) or (_capital(g) and _capital(f) and len(f) > 2)
-                    rows.append((d, a, b, g.lower(), f.lower(), sure))
+                    rows.append((d, h, a, b, g.lower(), f.lower(), sure))
             if rows:
-                yield pd.DataFrame(rows, columns=["doc_id", "start_pos", "end_pos", "g", "f", "sure"])
+                yield pd.DataFrame(rows, columns=["doc_id", "h", "start_pos", "end_pos", "g", "f", "sure"])
 
     return run
 
@@ -266,8 +266,8 @@ def number_kinds(numbers: DataFrame) -> DataFrame:
     belief of its instances, and instances of accepted patterns are believed of the kind.
     Phones also need strong shapes among a pattern's instances, as numbers of orders and
     bills look like plain phones. The longest accepted pattern decides; without any, only
-    unmistakable phone shapes count, unless a frequent other pattern announces the number or
-    a currency follows it."""
+    unmistakable phone shapes count, unless a currency follows the number or the pattern next
+    to it announces numbers that too seldom have the shape of a phone (distinct ones count)."""
     lead = F.substring("value", 1, 1).isin("0", "1")
     eight = F.col("shape").isin("grouped", "plain", "amount")
     strong_id, strong_phone = F.col("shape").isin("social", "passport"), F.col("shape").isin("intl", "national")
@@ -284,8 +284,10 @@ def number_kinds(numbers: DataFrame) -> DataFrame:
         kind = F.when((F.col("id") >= PATTERN_SHARE) & (F.col("strong") < 0.1) & (F.col("n") >= ID_LEAST), F.lit("id_number")).when((F.col("phone") >= PATTERN_SHARE) & (F.col("strong") >= 0.1), F.lit("phone"))
         found = s.where(F.col("n") >= PATTERN_LEAST).select("pattern", kind.alias("kind")).where("kind is not null and pattern <> '^'")
         known = materialize(seeds.unionByName(found.join(seeds.select("pattern"), "pattern", "left_anti")), f"pii-patterns-{i}")
-    frequent = edges.groupBy("pattern").agg(F.count("*").alias("n")).where((F.col("n") >= PATTERN_LEAST) & (F.col("pattern") != "^")).join(known, "pattern", "left_anti").select("pattern", F.lit("other").alias("kind"))
-    judged = edges.join(known.unionByName(frequent), "pattern", "left").groupBy("doc_id", "start_pos").agg(F.max(F.when(F.col("kind") != "other", F.struct("k", "kind"))).alias("best"), F.max((F.col("kind") == "other") & (F.col("k") == 0)).alias("other"))
+    values = edges.groupBy("pattern", "value").agg(F.max(F.when(F.col("shape") == "amount", 0).otherwise(F.col("phone_like"))).alias("phone"))  # copies count once
+    others = values.groupBy("pattern").agg(F.count("*").alias("n"), F.avg("phone").alias("phone")).where((F.col("n") >= PATTERN_LEAST) & (F.col("phone") < PATTERN_SHARE) & (F.col("pattern") != "^"))
+    others = others.join(known, "pattern", "left_anti").select("pattern", F.lit("other").alias("kind"))
+    judged = edges.join(known.unionByName(others), "pattern", "left").groupBy("doc_id", "start_pos").agg(F.max(F.when(F.col("kind") != "other", F.struct("k", "kind"))).alias("best"), F.max((F.col("kind") == "other") & (F.col("k") == 0)).alias("other"))
     r = numbers.join(judged, ["doc_id", "start_pos"])
     kind = F.col("best.kind")
     out = F.when(strong_phone, F.when(kind == "id_number", F.lit(None)).otherwise(F.lit("phone"))).when(strong_id, F.when(kind == "id_number", F.lit("id_number"))).when(kind.isNotNull(), kind).when((F.col("shape") == "grouped") & ~lead & ~F.coalesce("other", F.lit(False)), F.lit("phone"))
@@ -323,10 +325,11 @@ def name_spans(texts: DataFrame, name_list: DataFrame) -> DataFrame:
         new_g = seen.groupBy("g").agg(F.avg(F.greatest("kf", ben.cast("int"))).alias("share"), F.sum(F.greatest("kf", ben.cast("int"))).alias("n")).where("share >= 0.3 and n >= 2").select("g")
         gs, fs = materialize(gs.union(new_g).distinct(), f"pii-given-{i}"), materialize(fs.union(new_f).distinct(), f"pii-family-{i}")
     new = materialize(fs.join(names.select(F.col("name").alias("f")), "f", "left_anti").where("f not like '% %'"), "pii-new-names")
-    pairs = _each(gs, "g", lambda w: texts.mapInPandas(_pairs(w), f"doc_id {kind}, start_pos int, end_pos int, g string, f string, sure boolean"))
-    totals = _each(new, "f", lambda w: texts.select("masked").mapInPandas(_totals(w), "f string, total bigint")).groupBy("f").agg(F.sum("total").alias("total"))
+    hashed = texts.select("doc_id", "masked", F.xxhash64("masked").alias("h"))  # copies count once
+    pairs = _each(gs, "g", lambda w: hashed.mapInPandas(_pairs(w), f"doc_id {kind}, h bigint, start_pos int, end_pos int, g string, f string, sure boolean"))
+    totals = _each(new, "f", lambda w: hashed.select("h", "masked").mapInPandas(_totals(w), "f string, h bigint, total bigint")).distinct().groupBy("f").agg(F.sum("total").alias("total"))
     real = materialize(pairs.join(fs.withColumn("kf", F.lit(True)), "f", "left").where(F.col("sure") | F.col("kf")), "pii-pairs")
-    inside = real.groupBy("f").agg(F.count("*").alias("inside"))
+    inside = real.select("f", "h", "start_pos").distinct().groupBy("f").agg(F.count("*").alias("inside"))
     doubtful = totals.join(inside, "f").where(F.col("inside") < OWN_SHARE * F.col("total")).select("f")
     return real.join(doubtful, "f", "left_anti").select("doc_id", "start_pos", "end_pos")
 
