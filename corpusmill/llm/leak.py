@@ -45,8 +45,8 @@ def words_of(text: str) -> list[str]:
 @functools.cache
 def _walks(repeats: int, samples: int, window: int) -> list[tuple[int, np.ndarray]]:
     rng = np.random.default_rng(77_003)
-    # every repetition samples early steps more densely: the walk has passed a window
-    # of n symbols after 1.5 n steps on average, and later steps only see the padding
+    # steps are sampled uniformly from 2 n; the walk has passed a window of n symbols
+    # after that many on average, and later steps only see the padding
     return [(int(rng.integers(1, 1 << 62)), np.sort(rng.choice(2 * window, min(samples, 2 * window), replace=False))) for _ in range(repeats)]
 
 
@@ -71,6 +71,25 @@ def cgk_keys(symbols: np.ndarray, first: np.ndarray, window: int = WINDOW, repea
     return out
 
 
+def part_keys(symbols: np.ndarray, first: np.ndarray, window: int, edits: int, shifts: int) -> np.ndarray:
+    """uint64 keys (windows, parts and shifts) of the ``edits + 1`` parts of each window, each
+    at its own place and up to ``shifts`` words beside it, within the window.
+
+    Of two windows of one length within ``edits`` edits, one part of the first stands whole
+    in the second, at most ``edits // 2`` words from its place, as each insertion before it
+    is made up for by a deletion after it, or the other way round."""
+    bounds = [window * i // (edits + 1) for i in range(edits + 2)]
+    out = []
+    for j, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        for s in range(max(-shifts, -lo), min(shifts, window - hi) + 1):
+            key = np.full(len(first), 1_000_003 + j, _U)
+            for i in range(lo + s, hi + s):
+                key = (key ^ symbols[first + i]) * _U(0x9E3779B97F4A7C15)
+                key ^= key >> _U(32)
+            out.append(key)
+    return np.stack(out, 1)
+
+
 def _windows(words_per_text: list[list[str]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Symbols of all texts, and of each window its beginning, text and word position."""
     flat = [w for ws in words_per_text for w in ws]
@@ -83,7 +102,7 @@ def _windows(words_per_text: list[list[str]], window: int) -> tuple[np.ndarray,
     return sym, begin[text] + pos, text, pos
 
 
-def _keyer(window: int, repeats: int, samples: int, known: np.ndarray | None):
+def _keyer(window: int, repeats: int, samples: int, known: np.ndarray | None, edits: int = 0, shifts: int = 0):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lo in range(0, len(pdf), 500):
@@ -93,6 +112,8 @@ def _keyer(window: int, repeats: int, samples: int, known: np.ndarray | None):
                 if not len(first):
                     continue
                 keys = cgk_keys(sym, first, window, repeats, samples)
+                if edits:
+                    keys = np.concatenate([keys, part_keys(sym, first, window, edits, shifts)], 1)
                 hit = np.ones(keys.shape, bool)
                 if known is not None:
                     at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
@@ -132,9 +153,9 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, edits: i
     """``(item_id, doc_id, item_pos, doc_pos, edits)``: windows of ``window`` words of
     ``items (item_id, text)`` and of ``documents (doc_id, text)`` within ``edits`` edits.
 
-    With no edits the recall is 1, as equal windows share every key. With edits it is
-    that of the sampling: a share s of equal embedded positions is found with
-    probability 1-(1-s**samples)**repeats, over all windows that cover the passage.
+    The recall is 1: with no edits, equal windows share every key of the embedding; with
+    edits, the parts of the windows are keys too, of which one is left whole (``part_keys``).
+    Fewer edits than words of a window are allowed.
     Texts are used whole; null texts and texts of fewer words than a window have no
     window. Repeated rows of one id and position count once. Item keys go to the
     mappers as a filter only while there are at most ``FILTER_KEYS`` of them; beyond
@@ -142,15 +163,18 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, edits: i
     side = lambda df, k: df.select(df[k].alias("id"), df["text"].alias("text")).where("id is not null and text is not null")
     kind = dict(items.dtypes)["item_id"], dict(documents.dtypes)["doc_id"]
     schema = "id {}, pos int, key bigint, content string"
-    it = materialize(side(items, "item_id").mapInPandas(_keyer(window, repeats, samples, None), schema.format(kind[0])), "leak-items")
+    it = materialize(side(items, "item_id").mapInPandas(_keyer(window, repeats, samples, None, edits), schema.format(kind[0])), "leak-items")
     keys = it.select("key").distinct()
     known = None
     if keys.limit(FILTER_KEYS + 1).count() <= FILTER_KEYS:
         known = np.sort(np.array([r[0] for r in keys.collect()], np.int64).view(_U))
-    docs = side(documents, "doc_id").mapInPandas(_keyer(window, repeats, samples, known), schema.format(kind[1]))
+    docs = side(documents, "doc_id").mapInPandas(_keyer(window, repeats, samples, known, edits, edits // 2), schema.format(kind[1]))
     a = it.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "key", F.col("content").alias("a"))
     b = docs.select(F.col("id").alias("doc_id"), F.col("pos").alias("doc_pos"), "key", F.col("content").alias("b"))
-    cand = b.join(a, "key").select("item_id", "doc_id", "item_pos", "doc_pos", "a", "b").distinct()
+    cand = b.join(a, "key")
+    if edits:  # an edit takes one word away at most, so this loses nothing
+        cand = cand.where(F.size(F.array_except(F.split("a", " "), F.split("b", " "))) <= edits)
+    cand = cand.select("item_id", "doc_id", "item_pos", "doc_pos", "a", "b").distinct()
     if edits == 0:
         return cand.where("a = b").select("item_id", "doc_id", "item_pos", "doc_pos", F.lit(0).alias("edits"))
     return cand.mapInPandas(_verifier(edits), f"item_id {kind[0]}, doc_id {kind[1]}, item_pos int, doc_pos int, edits int")
@@ -163,6 +187,6 @@ def found(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 def near(documents: DataFrame, items: DataFrame) -> DataFrame:
     """``(item_id, doc_id, edits)``: the same with up to two edits of words in a window, the
-    fewest over the windows; more and shorter samples give the recall."""
+    fewest over the windows."""
     r = leaks(documents, items, edits=2, repeats=16, samples=5)
     return r.groupBy("item_id", "doc_id").agg(F.min("edits").alias("edits"))

@@ -1,10 +1,11 @@
 """Training-data operators on texts that a cut would lose."""
 
+import random
 import sys
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent.parent))
-from corpusmill.llm import pii  # noqa: E402
+from corpusmill.llm import leak, pii  # noqa: E402
 
 
 def test_personal_data_in_copies(spark):
@@ -21,3 +22,28 @@ def test_personal_data_in_copies(spark):
     assert all(got.get(100 + i) == [("phone", 6)] for i in range(7))
     assert not any(200 + i in got for i in range(9))
     assert all(got.get(i) == [("name", p)] for i, p in ((304, 5), (305, 5), (400, 0)))
+
+
+def test_leaks_with_two_edits_brute_force(spark):
+    rnd = random.Random(8)
+    voc = [f"w{i}" for i in range(400)]
+    items = [(i, [rnd.choice(voc) for _ in range(14)]) for i in range(40)]
+    docs = []
+    for i in range(1200):
+        w = list(items[i % 40][1][:12])
+        for _ in range(2):
+            how, at = rnd.choice("rid"), rnd.randrange(len(w))
+            w[at : at + (how != "i")] = [] if how == "d" else [rnd.choice(voc)]
+        docs.append((i, w + [rnd.choice(voc) for _ in range(rnd.randrange(3))]))
+    windows = lambda w: [w[i : i + 12] for i in range(len(w) - 11)]
+    want = {}
+    for i, a in items:
+        for d, b in docs:
+            if len(set(a) & set(b)) >= 6:
+                e = min((leak.edit_distance(x, y) for x in windows(a) for y in windows(b)), default=9)
+                if e <= 2:
+                    want[i, d] = e
+    dd = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id bigint, text string")
+    ii = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
+    got = {(r["item_id"], r["doc_id"]): r["edits"] for r in leak.near(dd, ii).collect()}
+    assert got == want and len(want) > 500
