@@ -45,7 +45,7 @@ def words_of(text: str) -> list[str]:
 
 def grams(word: str) -> set[str]:
     """The blended spectrum: all n-grams up to ``NGRAM`` of the word between its bounds."""
-    w = f"^{word[:60]}$"
+    w = f"^{word}$"
     return {w[i : i + n] for n in range(1, NGRAM + 1) for i in range(len(w) - n + 1)} - {"^", "$"}
 
 

@@ -5,7 +5,7 @@ import sys
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent.parent))
-from corpusmill.llm import leak, pii  # noqa: E402
+from corpusmill.llm import langid, leak, pii  # noqa: E402
 
 
 def test_personal_data_in_copies(spark):
@@ -47,3 +47,8 @@ def test_leaks_with_two_edits_brute_force(spark):
     ii = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
     got = {(r["item_id"], r["doc_id"]): r["edits"] for r in leak.near(dd, ii).collect()}
     assert got == want and len(want) > 500
+
+
+def test_grams_of_long_words():
+    g = langid.grams("a" * 100 + "xyz")
+    assert {"xyz", "yz$", "axyz"} <= g and "aaa$" not in g
