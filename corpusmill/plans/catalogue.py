@@ -151,6 +151,9 @@ reg("pr14_validate_entries", E, f"select id, case when type = 'expression' then
 reg("pr14_unknown_type", "code_switching", "select id, false as valid from code_switching", lambda t: knowledge.validate(t).select("id", "valid"))
 _PC = ("audio_id", "split", "drop_reason", "sample_rate", "kept")
 reg("pr15_profile", M, " union all ".join(f"select '{c}' as \"column\", count(*) as n, count(*) - count({c}) as nulls, count(distinct {c}) as \"distinct\" from {M}" for c in _PC), lambda t: audit.profile(t.select(*_PC)).select("column", "n", "nulls", "distinct"))
+# The whole of pr15_profile: all columns, with type and share of nulls.
+_PT = dict.fromkeys(("audio_id", "transcript", "split", "drop_reason"), "string") | dict.fromkeys(("seg_start", "seg_end", "duration_s", "rms", "peak", "silence_ratio"), "double") | dict.fromkeys(("kept", "smoothing_applied"), "boolean") | {"sample_rate": "int", "ingested_at": "timestamp"}
+reg("pr15_profile_all", M, " union all ".join(f"select '{c}' as \"column\", '{k}' as type, count(*) as n, count(*) - count({c}) as nulls, count(distinct {c}) as \"distinct\", round(100.0::double * (count(*) - count({c})) / nullif(count(*), 0), 2) as null_pct from {M}" for c, k in _PT.items()), audit.profile)
 
 # Joins and set operations.
 reg("j1_build_dataset", f"{M} {T}", f"select m.audio_id, m.split, m.duration_s, m.seg_start, m.seg_end, t.transcript_nota as text from {M} m join (select distinct audio_id, transcript_nota from {T}) t using (audio_id) where m.kept", lambda m, t: joins.build_dataset(m, t.select("audio_id", "transcript_nota").distinct()).select("audio_id", "split", "duration_s", "seg_start", "seg_end", "text"))

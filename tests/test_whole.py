@@ -3,6 +3,9 @@
 import random
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
+
+import pytest
 
 from corpusmill.plans import catalogue, registry  # noqa: F401
 
@@ -51,3 +54,16 @@ def test_word_errors_of_long_texts(spark, tmp_path):
     got = run(spark, tmp_path, "g29_wer_all", "df_train_clean", [*rows, rows[8], ("x", None, "نعم"), ("y", "نعم", None)], "audio_id string, transcript_nota string, transcript_raw string")
     e = sum(edits(a.split(), b.split()) for _, a, b in rows)
     assert [tuple(r) for r in got] == [(len(rows), e, round(e / sum(len(a.split()) for _, a, _ in rows), 6))]
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables")
+def test_profile_of_all_columns(spark):
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view manifest as select * from '{folder}/manifest.parquet'")
+    cols = ["column", "type", "n", "nulls", "distinct", "null_pct"]
+    got = sorted(tuple(r) for r in registry.QUERIES["pr15_profile_all"](spark, folder).select(*cols).collect())
+    want = sorted(con.execute(registry.SQL["pr15_profile_all"]).df()[cols].itertuples(index=False, name=None))
+    assert got == want and len(got) == 14
