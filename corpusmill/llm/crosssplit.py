@@ -109,9 +109,10 @@ def overlapping_texts(
     ``rows``: ``(id, split, text)``. Returns ``(members, pairs)``: ``members`` is
     ``(id, split, text, text_id)`` of all rows of either side, written to the
     shared folder; ``pairs`` is ``(train_text, eval_text, jaccard, edits)`` by
-    ``text_id``, each confirmed by the exact Jaccard similarity of the shingle
-    sets (``min_jaccard``; 0.2 lies below what 20 % of edits can leave) and,
-    unless ``max_edit_share`` is None, by the exact edit distance in code points.
+    ``text_id``, each confirmed by the exact edit distance in code points or, if
+    ``max_edit_share`` is None, by the exact Jaccard similarity of the shingle sets
+    (``min_jaccard``). Edits can leave repetitive texts less than 0.2 of it, and a
+    bucket seldom holds such a pair.
 
     Copies are collapsed before hashing, so a text that holds a third of all rows
     is one entry; buckets join train with evaluation entries only, and AQE splits
@@ -140,7 +141,9 @@ def overlapping_texts(
     both = materialize(both.select("train_text", "eval_text", "tt", "et", distance.alias("edits")), "crosssplit-verified")
     both = both.withColumn("tg", _grams(F.col("tt"), q)).withColumn("eg", _grams(F.col("et"), q))
     common = F.size(F.array_intersect("tg", "eg"))
-    both = both.withColumn("jaccard", common / (F.size("tg") + F.size("eg") - common)).where(F.col("jaccard") >= min_jaccard)
+    both = both.withColumn("jaccard", common / (F.size("tg") + F.size("eg") - common))
+    if max_edit_share is None:  # a confirmed edit distance stands at any similarity: repetitive texts have few shingles
+        both = both.where(F.col("jaccard") >= min_jaccard)
     return members, both.select("train_text", "eval_text", "jaccard", "edits")
 
 

@@ -5,7 +5,7 @@ import sys
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent.parent))
-from corpusmill.llm import langid, leak, pii  # noqa: E402
+from corpusmill.llm import crosssplit, langid, leak, pii  # noqa: E402
 
 
 def test_personal_data_in_copies(spark):
@@ -52,3 +52,11 @@ def test_leaks_with_two_edits_brute_force(spark):
 def test_grams_of_long_words():
     g = langid.grams("a" * 100 + "xyz")
     assert {"xyz", "yz$", "axyz"} <= g and "aaa$" not in g
+
+
+def test_edited_repetitive_texts(spark):
+    a = " ".join(["la"] * 14)
+    b = "".join("bcdfghjk"[i // 5] if i % 5 == 0 and i < 40 else c for i, c in enumerate(a))
+    rows = spark.createDataFrame([("a", "train", a), ("b", "test", b)], "id string, split string, text string")
+    _, pairs = crosssplit.overlapping_texts(rows, band_rows=1)  # so that they share a bucket
+    assert [(r["edits"], r["jaccard"] < 0.2) for r in pairs.collect()] == [(8, True)]
