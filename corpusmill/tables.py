@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
 _shipped: set[str] = set()
+_written: list[str] = []
 
 
 def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -53,31 +54,49 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session,
-    or, only where that is unset (single machine, tests), an own temporary folder."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session. Where that is
+    unset, an own temporary folder on a local master (tests), an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="corpusmill-"))
         atexit.register(shutil.rmtree, _own_dir[0], True)
     return f"file://{_own_dir[0]}"
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    It cuts the lineage: the files survive the loss of any executor. They are
-    removed when the driver's JVM ends."""
+    It cuts the lineage: the files survive the loss of any executor. They are removed by
+    ``drop_intermediates`` or when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpusmill/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    p, fs = _hadoop(spark, path)
+    fs.deleteOnExit(p)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_intermediates(spark: SparkSession) -> int:
+    """Removes the tables that ``materialize`` has written so far, and says how many. To be
+    called once the results that read them have been written; they can't be read again."""
+    n = len(_written)
+    while _written:
+        p, fs = _hadoop(spark, _written.pop())
+        fs.delete(p, True)
+    return n
+
+
 def strip_ws(c: Column) -> Column:
     """``c`` without white space of any kind at either end."""
     return F.regexp_replace(c, r"^[\s\x{1C}-\x{1F}\x{85}\p{Z}]+|[\s\x{1C}-\x{1F}\x{85}\p{Z}]+$", "")
