@@ -5,7 +5,7 @@ variant collapse, initial hamza, plural waw, taa marbuta, alef maqsura."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -13,8 +13,22 @@ from pyspark.sql import functions as F
 
 from .text import WS, tokens
 
-# Fixed values.
-OVERRIDES = {w: w for w in ("احنا", "انا", "انت", "انتي", "عالسلامة", "هاذا", "هاذاكه", "هاذي", "هاذيكه", "هو", "هوما", "هي")} | {"كانطريبرنور": "كانطروبرونور"}
+# Canonical forms that no other layer touches, and spelling variants.
+OVERRIDES = {
+    "احنا": "احنا",
+    "انا": "انا",
+    "انت": "انت",
+    "انتي": "انتي",
+    "عالسلامة": "عالسلامة",
+    "كانطريبرنور": "كانطروبرونور",
+    "هاذا": "هاذا",
+    "هاذاكه": "هاذاكه",
+    "هاذي": "هاذي",
+    "هاذيكه": "هاذيكه",
+    "هو": "هو",
+    "هوما": "هوما",
+    "هي": "هي",
+}
 VARIANTS = {
     "احنا": "احنا", "اش": "آش", "انا": "انا", "انت": "انت", "انترنت": "انترنات", "انترنيت": "انترنات", "انتي": "انتي", "برشا": "برشا",
     "بوستا": "بوسطة", "بوستة": "بوسطة", "بوسته": "بوسطة", "ثما": "ثمة", "ثمة": "فمة", "ثمه": "ثمة", "دجى": "ديجا", "ديجى": "ديجا",
@@ -22,91 +36,101 @@ VARIANTS = {
     "ماش": "ما", "متاع": "متاع", "مش": "مش", "موش": "مش", "ميش": "مش", "هاذاك": "هاذاكه", "هاذه": "هاذي", "هاذيك": "هاذيكه",
     "هذا": "هاذا", "هذاك": "هاذاكه", "هذه": "هاذي", "هذي": "هاذي", "هذيك": "هاذيكه", "واتسب": "واتساب", "وواتساب": "واتساب",
 }
+#: Layers of words in their order: name, number and rule name in change logs.
+WORD_LAYERS = (("override", 10, "canonical_override"), ("variant", 9, "variant_map"), ("hamza", 7, "hamza_drop"), ("waw", 6, "waw_plurality"), ("taa", 5, "taa_marbuta"), ("alef", 4, "alef_maqsura"))
+NEGATION = (8, "negation_separation")
+#: Layers that are off unless a configuration turns them on, as they depend on lexicons.
+OFF_BY_DEFAULT = frozenset({"waw", "taa", "alef"})
 # End of fixed values.
 
-LAYERS = ("override", "variant", "hamza", "waw", "taa", "alef", "negation")
+LAYERS = (*(k for k, _, _ in WORD_LAYERS), "negation")
 
 
 @dataclass(frozen=True)
 class Nota:
-    """Lexicons and layer switches. ``taa`` and the sets are parameters (see ``sources.lexicons``)."""
+    """Lexicons and layer switches. The large lexicons are parameters (see
+    ``sources.loaders.nota_lexicons``); ``gaf`` is kept for callers, as no layer uses it."""
 
     overrides: Mapping[str, str] = field(default_factory=lambda: OVERRIDES)
     variants: Mapping[str, str] = field(default_factory=lambda: VARIANTS)
     taa: Mapping[str, str] = field(default_factory=dict)
     keep_alef: Sequence[str] = ()
     waw_exceptions: Sequence[str] = ()
-    off: frozenset[str] = frozenset()
+    gaf: Sequence[str] = ()
+    off: frozenset[str] = OFF_BY_DEFAULT
 
     def on(self, layer: str) -> bool:
         return layer not in self.off
 
 
-def _map(m: Mapping[str, str]) -> Column:
-    if not m:
-        return F.create_map().cast("map<string,string>")
-    return F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
-
-
 def split_negation(c: Column) -> Column:
     """``ma``-verb-``sh`` written as one word becomes three; the verb has two letters or more."""
     return F.regexp_replace(c, rf"(ما)([^{WS[1:-1]}]{{2,}})(ش)(?={WS}|$)", "$1 $2 $3")
 
 
-def _step(words: Column, flag: str, hit, value) -> Column:
-    """One layer over structs ``(w, done, <flags>)``."""
+def _among(x: Column, words) -> Column:
+    """Membership; beyond ten words Spark looks them up in a hash set."""
+    return x.isin(*words) if len(words) else F.lit(False)
+
+
+def _lookup(m: Mapping[str, str]) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+    """Whether a word is a key, and its value, which is only searched for words that are keys."""
+    table = F.create_map(*[F.lit(x) for kv in m.items() for x in kv]).cast("map<string,string>") if m else F.create_map().cast("map<string,string>")
+    return (lambda x: _among(x, list(m))), (lambda x: table[x])
 
-    def one(x: Column) -> Column:
-        ok = ~x["done"] & hit(x["w"])
-        return x.withField("w", F.when(ok, value(x["w"])).otherwise(x["w"])).withField(flag, ok)
 
-    return F.transform(words, one)
+def _rules(n: Nota) -> dict[str, tuple[Callable[[Column], Column], Callable[[Column], Column]]]:
+    """Of each layer that is on and not empty: the test of a word and its new form."""
+    all_ = {
+        "override": _lookup(n.overrides),
+        "variant": _lookup(n.variants),
+        "hamza": (lambda x: x.rlike("^[أإ]"), lambda x: F.regexp_replace(x, "^[أإ]", "ا")),
+        "waw": (lambda x: (F.length(x) >= 3) & x.endswith("و") & ~_among(x, n.waw_exceptions), lambda x: F.concat(x, F.lit("ا"))),
+        "taa": _lookup(n.taa),
+        "alef": (lambda x: x.endswith("ى") & ~_among(x, n.keep_alef), lambda x: F.regexp_replace(x, "ى$", "ي")),
+    }
+    empty = {k for k, m in (("override", n.overrides), ("variant", n.variants), ("taa", n.taa)) if not m}
+    return {k: v for k, v in all_.items() if n.on(k) and k not in empty}
 
 
-def _field(name: str):
-    return lambda x: x[name]
+def word_layers(c: Column, n: Nota = Nota(), log: bool = False) -> Column:
+    """Array of ``(w, hits[, log])`` of the words of ``c``: the new form, the bits of the layers
+    that applied (the first layer's is 1) and the changes ``(layer, rule, before, after)``."""
+    empty = F.array().cast("array<struct<layer:int,rule:string,before:string,after:string>>")
+    words = F.transform(tokens(c), lambda x: F.struct(x.alias("w"), F.lit(0).alias("hits"), *([empty.alias("log")] if log else [])))
+    for i, (name, number, rule) in enumerate(WORD_LAYERS):
+        if name not in (rules := _rules(n)):
+            continue
+        hit, value = rules[name]
 
+        def one(x: Column) -> Column:
+            ok = (x["hits"].bitwiseAND(F.lit(1)) == 0) & hit(x["w"])  # noqa: B023
+            new = [value(x["w"]).alias("w"), (x["hits"] + (1 << i)).alias("hits")]  # noqa: B023
+            if log:
+                entry = F.struct(F.lit(number).alias("layer"), F.lit(rule).alias("rule"), x["w"].alias("before"), value(x["w"]).alias("after"))  # noqa: B023
+                new.append(F.array_append(x["log"], entry).alias("log"))
+            return F.when(ok, F.struct(*new)).otherwise(x)
 
-def word_layers(c: Column, n: Nota = Nota()) -> Column:
-    """Array of ``(w, before, done, override, variant, hamza, waw, taa, alef)`` of the words of ``c``."""
-    false = F.lit(False)
-    w = F.transform(tokens(c), lambda x: F.struct(x.alias("w"), x.alias("before"), false.alias("done"), *[false.alias(k) for k in LAYERS[:-1]]))
-    if n.on("override") and n.overrides:
-        m = _map(n.overrides)
-        w = _step(w, "override", lambda x: F.map_contains_key(m, x), lambda x: m[x])
-        w = F.transform(w, lambda x: x.withField("done", x["override"]))
-    if n.on("variant") and n.variants:
-        v = _map(n.variants)
-        w = _step(w, "variant", lambda x: F.map_contains_key(v, x), lambda x: v[x])
-    if n.on("hamza"):
-        w = _step(w, "hamza", lambda x: x.rlike("^[أإ]"), lambda x: F.regexp_replace(x, "^[أإ]", "ا"))
-    if n.on("waw"):
-        ex = F.array(*[F.lit(x) for x in n.waw_exceptions]).cast("array<string>")
-        w = _step(w, "waw", lambda x: (F.length(x) >= 3) & x.endswith("و") & ~F.array_contains(ex, x), lambda x: F.concat(x, F.lit("ا")))
-    if n.on("taa") and n.taa:
-        t = _map(n.taa)
-        w = _step(w, "taa", lambda x: F.map_contains_key(t, x), lambda x: t[x])
-    if n.on("alef"):
-        keep = F.array(*[F.lit(x) for x in n.keep_alef]).cast("array<string>")
-        w = _step(w, "alef", lambda x: x.endswith("ى") & ~F.array_contains(keep, x), lambda x: F.regexp_replace(x, "ى$", "ي"))
-    return w
+        words = F.transform(words, one)
+    return words
 
 
 def with_nota(df: DataFrame, text: str, out: str = "transcript_nota", n: Nota = Nota(), log: bool = False) -> DataFrame:
     """``df`` with the normalised text, a flag ``<layer>_applied`` per layer and, with
-    ``log``, ``<out>_log``: ``array<struct<word, before, after>>`` of the changed words.
+    ``log``, ``<out>_log``: ``array<struct<layer, rule, before, after>>`` of all changes in
+    their order, the split of negations first, over the whole text.
 
     Null stays null with null flags; blank text is left untouched with false flags."""
     c = F.col(text)
     neg = split_negation(c) if n.on("negation") else c
-    blank = F.size(tokens(c)) == 0
     words = F.col("__words")
-    d = df.withColumn("__neg", neg).withColumn("__words", word_layers(F.col("__neg"), n))
-    d = d.withColumn(out, F.when(blank, c).otherwise(F.array_join(F.transform(words, lambda x: x["w"]), " ")))
-    for k in LAYERS[:-1]:
-        d = d.withColumn(f"{k}_applied", F.exists(F.transform(words, _field(k)), lambda x: x))
-    d = d.withColumn("negation_applied", ~c.eqNullSafe(F.col("__neg")) & c.isNotNull() if n.on("negation") else F.lit(False))
+    d = df.withColumn("__neg", neg).withColumn("__words", word_layers(F.col("__neg"), n, log))
+    d = d.withColumn(out, F.when(F.size(words) == 0, c).otherwise(F.array_join(F.transform(words, lambda x: x["w"]), " ")))
+    d = d.withColumn("__hits", F.when(c.isNotNull(), F.aggregate(words, F.lit(0), lambda a, x: a.bitwiseOR(x["hits"]))))
+    d = d.withColumns({f"{k}_applied": F.col("__hits").bitwiseAND(F.lit(1 << i)) != 0 for i, (k, _, _) in enumerate(WORD_LAYERS)})
+    d = d.withColumn("negation_applied", F.when(c.isNotNull(), c != F.col("__neg")))
     if log:
-        changed = F.filter(F.transform(words, lambda x, i: F.struct(i.alias("word"), x["before"].alias("before"), x["w"].alias("after"))), lambda x: x["before"] != x["after"])
-        d = d.withColumn(f"{out}_log", changed)
-    return d.drop("__neg", "__words")
+        split = F.struct(F.lit(NEGATION[0]).alias("layer"), F.lit(NEGATION[1]).alias("rule"), c.alias("before"), F.col("__neg").alias("after"))
+        first = F.when(c != F.col("__neg"), F.array(split)).otherwise(F.array().cast("array<struct<layer:int,rule:string,before:string,after:string>>"))
+        d = d.withColumn(f"{out}_log", F.when(c.isNotNull(), F.concat(first, F.flatten(F.transform(words, lambda x: x["log"])))))
+    return d.drop("__neg", "__words", "__hits")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions import codeswitch, corpus, nota
+from ..functions import codeswitch, corpus
 from ..functions import text as tx
 
 WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]"
@@ -57,7 +57,7 @@ def substitutions(c: str) -> str:
 
 
 def corrections(c: str) -> str:
-    for a, b in tx.CORRECTIONS:
+    for a, b in CORRECTION_RULES:
         c = f"replace({c}, {lit(a)}, {lit(b)})"
     return c
 
@@ -79,14 +79,51 @@ def negation(c: str) -> str:
     return sub(c, rf"(ما)([^{WS[1:-1]}]{{2,}})(ش)({WS}|$)", r"\1 \2 \3\4")
 
 
-def nota_words(c: str) -> str:
-    """List of structs (w, b, o, v, h, y): word, word before, override, variant, hamza and waw hits."""
-    over, var = mapping(nota.OVERRIDES), mapping(nota.VARIANTS)
-    w = f"list_transform({tokens(c)}, lambda x: {{'b': x, 'o': map_contains({over}, x), 'w': coalesce({over}[x], x)}})"
-    w = f"list_transform({w}, lambda x: {{'b': x.b, 'o': x.o, 'v': not x.o and map_contains({var}, x.w), 'w': case when x.o then x.w else coalesce({var}[x.w], x.w) end}})"
-    w = f"list_transform({w}, lambda x: {{'b': x.b, 'o': x.o, 'v': x.v, 'h': not x.o and x.w[1] in ('أ', 'إ'), 'w': case when not x.o and x.w[1] in ('أ', 'إ') then 'ا' || x.w[2:] else x.w end}})"
-    w = f"list_transform({w}, lambda x: {{'b': x.b, 'o': x.o, 'v': x.v, 'h': x.h, 'y': not x.o and length(x.w) >= 3 and x.w[-1] = 'و', 'w': case when not x.o and length(x.w) >= 3 and x.w[-1] = 'و' then x.w || 'ا' else x.w end}})"
-    return f"list_transform({w}, lambda x: {{'b': x.b, 'o': x.o, 'v': x.v, 'h': x.h, 'y': x.y, 'a': not x.o and x.w[-1] = 'ى', 'w': case when not x.o and x.w[-1] = 'ى' then x.w[:-2] || 'ي' else x.w end}})"
+# Fixed values, stated here again so that the SQL does not depend on the engine's tables.
+NOTA_OVERRIDES = "احنا احنا,انا انا,انت انت,انتي انتي,عالسلامة عالسلامة,كانطريبرنور كانطروبرونور,هاذا هاذا,هاذاكه هاذاكه,هاذي هاذي,هاذيكه هاذيكه,هو هو,هوما هوما,هي هي"
+NOTA_VARIANTS = (
+    "احنا احنا,اش آش,انا انا,انت انت,انترنت انترنات,انترنيت انترنات,انتي انتي,برشا برشا,بوستا بوسطة,بوستة بوسطة,بوسته بوسطة,ثما ثمة,ثمة فمة,ثمه ثمة,دجى ديجا,ديجى ديجا,"
+    "رصول رسول,زادا زادة,زادة زادة,زدة زادة,فمةى فمة,فمه فمة,فمى فمة,فمّا فمة,ماش ما,متاع متاع,مش مش,موش مش,ميش مش,هاذاك هاذاكه,هاذه هاذي,هاذيك هاذيكه,"
+    "هذا هاذا,هذاك هاذاكه,هذه هاذي,هذي هاذي,هذيك هاذيكه,واتسب واتساب,وواتساب واتساب"
+)
+NOTA_RULES = {"o": (10, "canonical_override"), "v": (9, "variant_map"), "h": (7, "hamza_drop"), "y": (6, "waw_plurality"), "t": (5, "taa_marbuta"), "a": (4, "alef_maqsura")}
+NOTA_FLAGS = {"o": "override", "v": "variant", "h": "hamza", "y": "waw", "t": "taa", "a": "alef"}
+CORRECTION_RULES = (("و ہ", "وه"), ("اLي", "ايلي"), ("اتs", ""), ("ايm v", "ايم قانا"), ("الفرحةd", "الفرحة"), ("دارك اتs ليكه و الي حاجة ياسر", "ولي حاجة ياسر دارك و اتس لايك"), ("كيفYou", "You"), ("cاي", "س"), ("60", "ستين"), ("18", "ثمنطاش"), ("11", "حداش"), ("3", "ثلاثة"))
+# End of fixed values.
+
+
+def pairs_map(pairs: str) -> str:
+    return mapping(dict(x.split(" ") for x in pairs.split(",")))
+
+
+def nota_words(c: str, layers: str = "ovh", keep: str = "[]", waw: str = "[]", taa: str = "MAP {}") -> str:
+    """List of structs of the words of ``c``: w (new form), one flag per layer, l (changes). The
+    lists of words to leave and the map are SQL expressions."""
+    over, var = pairs_map(NOTA_OVERRIDES), pairs_map(NOTA_VARIANTS)
+    rules = {
+        "o": (f"map_contains({over}, x.w)", f"{over}[x.w]"),
+        "v": (f"map_contains({var}, x.w)", f"{var}[x.w]"),
+        "h": ("x.w[1] in ('أ', 'إ')", "'ا' || x.w[2:]"),
+        "y": (f"length(x.w) >= 3 and x.w[-1] = 'و' and not list_contains({waw}, x.w)", "x.w || 'ا'"),
+        "t": (f"map_contains({taa}, x.w)", f"{taa}[x.w]"),
+        "a": (f"x.w[-1] = 'ى' and not list_contains({keep}, x.w)", "x.w[:-2] || 'ي'"),
+    }
+    w = f"list_transform({tokens(c)}, lambda x: {{'w': x, 'l': [{{'layer': 0, 'rule': '', 'before': '', 'after': ''}}], {', '.join(f"'{k}': false" for k in rules)}}})"
+    for k in layers:
+        cond, value = rules[k]
+        hit = f"(not x.o and {cond})"
+        number, rule = NOTA_RULES[k]
+        rest = ", ".join(f"'{f}': {hit if f == k else f'x.{f}'}" for f in rules)
+        w = f"list_transform({w}, lambda x: {{'w': case when {hit} then {value} else x.w end, 'l': case when {hit} then list_append(x.l, {{'layer': {number}, 'rule': '{rule}', 'before': x.w, 'after': {value}}}) else x.l end, {rest}}})"
+    return w
+
+
+def nota_flags(w: str = "w", layers: str = "ovhyta") -> str:
+    return ", ".join(f"case when {w} is not null then len(list_filter({w}, lambda x: x.{k})) > 0 end as {NOTA_FLAGS[k]}_applied" for k in layers)
+
+
+def nota_text(c: str, w: str = "w") -> str:
+    return f"case when len({w}) = 0 then {c} else array_to_string(list_transform({w}, lambda x: x.w), ' ') end"
 
 
 def latin_word(w: str) -> str:
