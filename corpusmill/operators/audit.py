@@ -8,15 +8,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .joins import numbered
+from .ranks import beside, exact_percentiles
 
 
-def duration_stats(x: Column, population: bool = False, percentiles: bool = True) -> list[Column]:
-    """Aggregates: number, hours, mean, median, deviation, least, greatest, 5th and 95th percentile."""
-    out = [F.count(x).alias("n"), F.round(F.sum(x) / 3600, 4).alias("hours"), F.round(F.avg(x), 3).alias("mean_s"), F.round(F.percentile(x, F.lit(0.5)), 3).alias("median_s")]
-    out += [F.round((F.stddev_pop if population else F.stddev_samp)(x), 3).alias("std_s"), F.round(F.min(x), 3).alias("min_s"), F.round(F.max(x), 3).alias("max_s")]
-    if percentiles:
-        out += [F.round(F.percentile(x, F.lit(p / 100)), 3).alias(f"p{p:02d}_s") for p in (5, 95)]
-    return out
+def no_nan(c: Column | str) -> Column:
+    """NaN as null."""
+    return F.nanvl(F.col(c) if isinstance(c, str) else c, F.lit(None).cast("double"))
+
+
+def duration_stats(df: DataFrame, x: Column, by: list[str] | None = None, population: bool = False, percentiles: bool = True) -> DataFrame:
+    """Number, hours, mean, median, deviation, least, greatest and 5th and 95th percentile of
+    ``x`` in seconds, per group of ``by``; NaN counts as null."""
+    by = by or []
+    d = df.select(*by, no_nan(x).alias("x"))
+    shares = {"median_s": 0.5} | ({"p05_s": 0.05, "p95_s": 0.95} if percentiles else {})
+    v = F.col("x")
+    base = d.groupBy(*by).agg(F.count(v).alias("n"), F.round(F.sum(v) / 3600, 4).alias("hours"), F.round(F.avg(v), 3).alias("mean_s"), F.round((F.stddev_pop if population else F.stddev_samp)(v), 3).alias("std_s"), F.round(F.min(v), 3).alias("min_s"), F.round(F.max(v), 3).alias("max_s"))
+    out = beside(base, exact_percentiles(d, {"x": v}, shares, by), {k: ("x", k) for k in shares}, by)
+    names = ["n", "hours", "mean_s", "median_s", "std_s", "min_s", "max_s", *([k for k in shares if k != "median_s"])]
+    return out.select(*by, *[F.round(k, 3).alias(k) if k in shares else F.col(k) for k in names])
 
 
 def basic_text_stats(df: DataFrame, text: str, by: list[str] | None = None) -> DataFrame:
@@ -32,15 +43,13 @@ def basic_text_stats(df: DataFrame, text: str, by: list[str] | None = None) -> D
         F.size(F.filter(w, lambda x: x.rlike(r"[\x{0600}-\x{06FF}]"))).alias("aw"),
     )
     total_w, total_c = F.greatest(F.sum("words"), F.lit(1)), F.greatest(F.sum("chars"), F.lit(1))
-    return d.groupBy(*(by or [])).agg(
+    base = d.groupBy(*(by or [])).agg(
         F.count("*").alias("n_samples"),
         F.sum("chars").alias("total_chars"),
         F.round(F.avg("chars"), 2).alias("avg_chars"),
-        F.round(F.percentile("chars", F.lit(0.5)), 2).alias("median_chars"),
         F.max("chars").alias("max_chars"),
         F.sum("words").alias("total_words"),
         F.round(F.avg("words"), 2).alias("avg_words"),
-        F.round(F.percentile("words", F.lit(0.5)), 2).alias("median_words"),
         F.max("words").alias("max_words"),
         F.count_if(F.col("chars") == 0).alias("empty_count"),
         F.sum("dia").alias("diacritic_count"),
@@ -51,6 +60,9 @@ def basic_text_stats(df: DataFrame, text: str, by: list[str] | None = None) -> D
         F.sum("lw").alias("latin_words"),
         F.round(F.sum("lw") / total_w * 100, 2).alias("latin_words_pct"),
     )
+    middle = exact_percentiles(d, {"chars": F.col("chars"), "words": F.col("words")}, {"p50": 0.5}, by or [])
+    out = beside(base, middle, {"median_chars": ("chars", "p50"), "median_words": ("words", "p50")}, by or [])
+    return out.withColumns({k: F.round(k, 2) for k in ("median_chars", "median_words")})
 
 
 def char_vocab(df: DataFrame, text: str) -> DataFrame:
@@ -75,8 +87,9 @@ def vocab_comparison(df: DataFrame, text: str) -> DataFrame:
 
 
 def categorize_vocab(df: DataFrame, text: str) -> DataFrame:
-    """``(category, n_chars, n)`` of the distinct characters and their occurrences."""
-    return char_vocab(df, text).groupBy(tx.classify_char("ch").alias("category")).agg(F.count("*").alias("n_chars"), F.sum("n").alias("n"))
+    """``(category, chars, n_chars, n)``: the distinct characters of each category in code point
+    order (bounded by the alphabet), their number and their occurrences."""
+    return char_vocab(df, text).groupBy(tx.classify_char("ch").alias("category")).agg(F.array_join(F.sort_array(F.collect_set("ch")), "").alias("chars"), F.count("*").alias("n_chars"), F.sum("n").alias("n"))
 
 
 def out_of_vocabulary(train: DataFrame, test: DataFrame, text: str) -> DataFrame:
@@ -104,19 +117,25 @@ def vocab_per_stage(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def length_per_stage(df: DataFrame, columns: list[str]) -> DataFrame:
-    n = F.length("text")
-    return stages_long(df, columns).where("text is not null").groupBy("stage").agg(
-        F.round(F.avg(n), 2).alias("mean"), F.percentile(n, F.lit(0.5)).alias("median"), F.round(F.stddev_samp(n), 2).alias("std"), F.min(n).alias("least"), F.max(n).alias("most"), F.count_if(n == 0).alias("empty")
-    )
+    """Mean, median, deviation, least and greatest length of each stage, and its empty texts."""
+    d = stages_long(df, columns).where("text is not null").select("stage", F.length("text").alias("n"))
+    base = d.groupBy("stage").agg(F.round(F.avg("n"), 2).alias("mean"), F.round(F.stddev_samp("n"), 2).alias("std"), F.min("n").alias("least"), F.max("n").alias("most"), F.count_if(F.col("n") == 0).alias("empty"))
+    return beside(base, exact_percentiles(d, {"n": F.col("n")}, {"median": 0.5}, ["stage"]), {"median": ("n", "median")}, ["stage"])
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """``(column, type, n, nulls, null_pct, distinct)`` of every atomic column; distinct values
-    are counted exactly, a column at a time by an own aggregate."""
-    cols = [(c, t) for c, t in df.dtypes if not t.startswith(("array", "map", "struct"))]
-    aggs = df.agg(F.count("*").alias("n"), *[F.count(c).alias(f"c{i}") for i, (c, _) in enumerate(cols)], *[F.count_distinct(c).alias(f"d{i}") for i, (c, _) in enumerate(cols)])
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.col("n"), (F.col("n") - F.col(f"c{i}")).alias("nulls"), F.col(f"d{i}").alias("distinct")) for i, (c, t) in enumerate(cols)])
-    return aggs.select(F.explode(rows).alias("x")).select("x.*").withColumn("null_pct", F.round(100 * F.col("nulls") / F.nullif("n", F.lit(0)), 2))
+    """``(column, type, n, nulls, null_pct, distinct)`` of every atomic column. Each column has
+    an aggregate of its own that reads it alone: values are counted, then the counts summed,
+    so distinct values are exact and nothing is multiplied by the number of columns."""
+    out = None
+    for name, kind in df.dtypes:
+        if kind.startswith(("array", "map", "struct")):
+            continue
+        c = df.select(F.col(f"`{name}`").alias("v")).groupBy("v").agg(F.count("*").alias("n"))
+        one = c.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.count("v").alias("distinct"))
+        one = one.select(F.lit(name).alias("column"), F.lit(kind).alias("type"), "n", "nulls", "distinct", F.round(100 * F.col("nulls") / F.nullif("n", F.lit(0)), 2).alias("null_pct"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def histogram(df: DataFrame, x: str, bins: int) -> DataFrame:
@@ -130,15 +149,14 @@ def histogram(df: DataFrame, x: str, bins: int) -> DataFrame:
 
 
 def stride_sample(df: DataFrame, order: list[str], n: int) -> DataFrame:
-    """Every ``max(1, rows // n)``-th row in the given total order. Positions come from
-    range-partitioned sorted partitions and their offsets, not from one global window."""
-    d = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order]).sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order]).withColumn("_m", F.monotonically_increasing_id())
-    d = d.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = d.groupBy("_p").agg(F.count("*").alias("_n"))
-    offs = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))  # one row per partition
-    total = sizes.agg(F.sum("_n")).scalar()
-    step = F.greatest(F.lit(1), F.floor(total / F.lit(n)))
-    return d.join(offs, "_p").where((F.col("_off") + F.col("_i")) % step == 0).drop("_m", "_p", "_i", "_off")
+    """Every ``max(1, rows // n)``-th row in the given total order, the first one included."""
+    d = numbered(df, order, "_row")
+    return d.where((F.col("_row") - 1) % max(1, df.count() // n) == 0).drop("_row")
+
+
+def shuffled(df: DataFrame, key: str, seed: int = 7) -> DataFrame:
+    """All rows in the order of the seeded hashes of a key: the same order at any partitioning."""
+    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -152,22 +170,27 @@ def union_all(*dfs: DataFrame) -> DataFrame:
 
 
 def corpus_stats(manifest: DataFrame) -> DataFrame:
-    """One row of kept and dropped counts, hours and durations of a manifest, with
-    ``drop_reasons`` as a map sorted by reason. NaN durations and levels count as null."""
-    dur, lvl = (F.when(F.col("kept"), F.nanvl(c, F.lit(None).cast("double"))) for c in ("duration_s", "rms"))
-    one = manifest.agg(
+    """One row of kept and dropped counts, hours and durations of a manifest, and
+    ``drop_reasons``, the counts by reason as ``reason=n`` in the order of the reasons. NaN
+    durations and levels count as null."""
+    d = manifest.select("kept", *[F.when(F.col("kept"), no_nan(c)).alias(c) for c in ("duration_s", "rms")])
+    dur = F.col("duration_s")
+    one = d.agg(
         F.count("*").alias("n_total"),
         F.count_if("kept").alias("n_kept"),
         F.round(100 * F.count_if("kept") / F.greatest(F.count("*"), F.lit(1)), 2).alias("pct_kept"),
         F.coalesce(F.round(F.sum(dur) / 3600, 4), F.lit(0.0)).alias("total_hours_kept"),
         F.coalesce(F.round(F.avg(dur), 3), F.lit(0.0)).alias("mean_duration_s"),
-        F.coalesce(F.round(F.percentile(dur, F.lit(0.5)), 3), F.lit(0.0)).alias("median_duration_s"),
         F.round(F.stddev_samp(dur), 3).alias("std_duration_s"),
         F.round(F.min(dur), 3).alias("min_duration_s"),
         F.round(F.max(dur), 3).alias("max_duration_s"),
-        F.round(F.avg(lvl), 6).alias("mean_rms"),
+        F.round(F.avg("rms"), 6).alias("mean_rms"),
     )
-    return one.withColumn("n_dropped", F.col("n_total") - F.col("n_kept"))
+    one = beside(one, exact_percentiles(d, {"d": dur}, {"p50": 0.5}), {"median_duration_s": ("d", "p50")})
+    one = one.withColumn("median_duration_s", F.coalesce(F.round("median_duration_s", 3), F.lit(0.0))).withColumn("n_dropped", F.col("n_total") - F.col("n_kept"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("drop_reason", F.lit("")).alias("r"), "n"))), lambda x: F.concat_ws("=", x["r"], x["n"].cast("string"))), ", ")
+    reasons = drop_reasons(manifest).agg(text.alias("drop_reasons"))
+    return one.withColumn("_k", F.lit(0)).join(reasons.withColumn("_k", F.lit(0)), "_k").drop("_k")
 
 
 def drop_reasons(manifest: DataFrame) -> DataFrame:

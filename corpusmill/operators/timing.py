@@ -5,19 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import beside, exact_percentiles
+
 ORDER = ("seg_start", "seg_end", "audio_id")
 
 
-def explode_segments(recordings: DataFrame, key: str = "audio_id") -> DataFrame:
-    """One row ``(audio_id, rec_id, seg_idx, seg_start, seg_end, transcript, transcript_raw)``
-    per segment, in the order of the starts; missing bounds are 0.0, a missing raw text
-    is the text. Recordings with null or empty segments give no row."""
+def explode_segments(recordings: DataFrame, key: str = "audio_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row ``(audio_id, rec_id, seg_idx, seg_start, seg_end, transcript, transcript_raw,
+    *carry)`` per segment, in the order of the starts; missing bounds are 0.0, a missing raw
+    text is the text; the columns ``carry`` of the recording are kept. Recordings with null or
+    empty segments give no row (``skipped_recordings`` counts them)."""
     fixed = F.transform(
         "segments",
         lambda s: F.struct(F.coalesce(s["start"], F.lit(0.0)).alias("seg_start"), F.coalesce(s["end"], F.lit(0.0)).alias("seg_end"), s["transcript"].alias("transcript"), F.coalesce(s["transcript_raw"], s["transcript"]).alias("transcript_raw")),
     )
-    d = recordings.select(F.col(key).alias("rec_id"), F.posexplode(F.array_sort(fixed)).alias("seg_idx", "s"))
-    return d.select(F.concat_ws("_", "rec_id", F.col("seg_idx").cast("string")).alias("audio_id"), "rec_id", "seg_idx", "s.*")
+    d = recordings.select(F.col(key).alias("rec_id"), *carry, F.posexplode(F.array_sort(fixed)).alias("seg_idx", "s"))
+    return d.select(F.concat_ws("_", "rec_id", F.col("seg_idx").cast("string")).alias("audio_id"), "rec_id", "seg_idx", "s.*", *carry)
+
+
+def skipped_recordings(recordings: DataFrame) -> DataFrame:
+    """``(n_recordings, n_skipped)``: all recordings and those without segments."""
+    return recordings.agg(F.count("*").alias("n_recordings"), F.count_if(F.coalesce(F.size("segments"), F.lit(0)) <= 0).alias("n_skipped"))
 
 
 def with_next_start(segments: DataFrame, rec: str = "rec_id", block_s: float = 3600.0) -> DataFrame:
@@ -65,11 +73,10 @@ def smooth_array(segments: Column, small_gap: float = 0.2, large_gap: float = 1.
 
 def gap_stats(gapped: DataFrame, short: float = 0.2, long: float = 1.0, huge: float = 60.0) -> DataFrame:
     """One row of gap statistics; ``total_silence_s`` sums the positive gaps, ``net_s`` all."""
-    g = F.col("gap")
-    return gapped.where(g.isNotNull()).agg(
+    g, d = F.col("gap"), gapped.where("gap is not null").select("gap")
+    base = d.agg(
         F.count("*").alias("n_gaps"),
         F.round(F.avg(g), 3).alias("mean_gap"),
-        F.round(F.percentile(g, F.lit(0.5)), 3).alias("median_gap"),
         F.round(100 * F.avg((g < short).cast("double")), 2).alias("pct_short"),
         F.round(100 * F.avg((g > long).cast("double")), 2).alias("pct_long"),
         F.round(F.max(g), 3).alias("max_gap"),
@@ -77,6 +84,7 @@ def gap_stats(gapped: DataFrame, short: float = 0.2, long: float = 1.0, huge: fl
         F.round(F.sum(F.when(g > 0, g)), 2).alias("total_silence_s"),
         F.round(F.sum(g), 2).alias("net_s"),
     )
+    return beside(base, exact_percentiles(d, {"g": g}, {"p50": 0.5}), {"median_gap": ("g", "p50")}).withColumn("median_gap", F.round("median_gap", 3))
 
 
 def smoothing_summary(smoothed: DataFrame) -> DataFrame:
