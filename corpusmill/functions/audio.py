@@ -72,7 +72,8 @@ def pre_emphasis(a: Column, coef: float = 0.97) -> Column:
 
 
 def decode_wav(data: bytes | None) -> tuple[np.ndarray, int]:
-    """Mono samples in [-1, 1] and the rate of PCM WAV bytes; empty and unreadable bytes give none."""
+    """Mono samples in [-1, 1] and the rate of PCM WAV bytes of 8, 16, 24 or 32 bits; empty and
+    unreadable bytes and other widths give none."""
     if not data:
         return np.zeros(0, np.float32), 0
     try:
@@ -82,37 +83,66 @@ def decode_wav(data: bytes | None) -> tuple[np.ndarray, int]:
         return np.zeros(0, np.float32), 0
     if width == 1:
         x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
-    else:
+    elif width in (2, 3, 4):
+        raw = raw[: len(raw) - len(raw) % width]
+        if width == 3:  # as the upper bytes of 32 bits
+            b = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+            raw, width = np.concatenate([np.zeros((len(b), 1), np.uint8), b], 1).tobytes(), 4
         x = np.frombuffer(raw, {2: "<i2", 4: "<i4"}[width]).astype(np.float32) / float(1 << (8 * width - 1))
+    else:
+        return np.zeros(0, np.float32), 0
+    x = x[: len(x) - len(x) % channels]
     return x.reshape(-1, channels).mean(1).astype(np.float32), rate
 
 
-def encode_wav(samples: np.ndarray, rate: int) -> bytes:
-    """16-bit mono PCM."""
+def encode_wav(samples: np.ndarray, rate: int, channels: int = 1) -> bytes:
+    """16-bit PCM; samples of several channels are interleaved."""
     out = io.BytesIO()
     with wave.open(out, "wb") as w:
-        w.setnchannels(1), w.setsampwidth(2), w.setframerate(rate)
+        w.setnchannels(channels), w.setsampwidth(2), w.setframerate(rate)
         w.writeframes((np.clip(samples, -1, 32767 / 32768) * 32768).round().astype("<i2").tobytes())
     return out.getvalue()
 
 
-def resample(x: np.ndarray, rate: int, target: int) -> np.ndarray:
-    """Linear interpolation after a moving average where the rate falls (an approximation of a polyphase filter)."""
+def cut_wav(data: bytes | None, start_s: float | None, end_s: float | None) -> bytes | None:
+    """WAV bytes of the samples from ``start_s`` up to ``end_s``; null for null or unreadable
+    bytes and null bounds."""
+    x, rate = decode_wav(data)
+    if not rate or start_s is None or end_s is None or start_s != start_s or end_s != end_s:
+        return None
+    first = min(max(int(start_s * rate), 0), len(x))
+    return encode_wav(x[first : max(first, min(int(end_s * rate), len(x)))], rate)
+
+
+def resample(x: np.ndarray, rate: int, target: int, taps: int = 32) -> np.ndarray:
+    """Band-limited resampling: each new sample is the sum of the samples around its place,
+    weighted by a sinc below both Nyquist frequencies under a Kaiser window of ``taps`` zero
+    crossings on either side. The ends are padded by their own samples."""
     if rate == target or not len(x) or rate <= 0:
         return x
-    if target < rate:
-        k = max(1, round(rate / target))
-        x = np.convolve(x, np.ones(k) / k, "same")
+    cut = min(1.0, target / rate)
+    half = int(np.ceil(taps / cut))
+    padded = np.pad(x.astype(np.float64), half, mode="edge")
     n = max(1, round(len(x) * target / rate))
-    return np.interp(np.arange(n) * rate / target, np.arange(len(x)), x).astype(np.float32)
+    out = np.empty(n, np.float32)
+    around = np.arange(-half + 1, half + 1)
+    for lo in range(0, n, 8192):
+        at = np.arange(lo, min(n, lo + 8192)) * (rate / target)
+        base = np.floor(at).astype(np.int64)
+        d = at[:, None] - (base[:, None] + around)
+        w = np.sinc(d * cut) * np.i0(8.6 * np.sqrt(np.clip(1 - (d / half) ** 2, 0, None)))
+        w /= w.sum(1, keepdims=True)
+        out[lo : lo + len(at)] = (padded[np.clip(base[:, None] + around + half, 0, len(padded) - 1)] * w).sum(1)
+    return out
 
 
 def trim_silence(x: np.ndarray, top_db: float = 30, frame: int = 512, hop: int = 128, least: int = 100) -> np.ndarray:
     """Without the outer frames that lie ``top_db`` below the loudest; as it was if fewer than ``least`` samples stay."""
     if len(x) < frame:
         return x
-    padded = np.pad(x.astype(np.float64), frame // 2)
-    power = np.array([np.mean(padded[i : i + frame] ** 2) for i in range(0, len(padded) - frame + 1, hop)])
+    upto = np.concatenate([[0.0], np.cumsum(np.pad(x.astype(np.float64), frame // 2) ** 2)])
+    first = np.arange(0, len(upto) - frame, hop)
+    power = np.maximum(upto[first + frame] - upto[first], 0) / frame
     loud = np.flatnonzero(10 * np.log10(np.maximum(power, 1e-10) / max(power.max(), 1e-10)) > -top_db)
     if not len(loud):
         return x
@@ -129,9 +159,15 @@ def decoded(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 @F.pandas_udf(T.BinaryType())
-def encoded(samples: pd.Series, rates: pd.Series) -> pd.Series:
-    """16-bit mono WAV bytes of samples; null for null."""
-    return pd.Series([None if x is None else encode_wav(np.asarray(x, np.float32), int(r)) for x, r in zip(samples, rates, strict=True)], dtype=object)
+def encoded(samples: pd.Series, rates: pd.Series, channels: pd.Series) -> pd.Series:
+    """16-bit WAV bytes of (interleaved) samples; null for null."""
+    return pd.Series([None if x is None else encode_wav(np.asarray(x, np.float32), int(r), int(c)) for x, r, c in zip(samples, rates, channels, strict=True)], dtype=object)
+
+
+@F.pandas_udf(T.BinaryType())
+def sliced(data: pd.Series, start_s: pd.Series, end_s: pd.Series) -> pd.Series:
+    """WAV bytes between two seconds of WAV bytes; see ``cut_wav``."""
+    return pd.Series([cut_wav(None if b is None else bytes(b), s, e) for b, s, e in zip(data, start_s, end_s, strict=True)], dtype=object)
 
 
 def preprocess(rate: int = 16_000, trim: bool = True, normalize: bool = True, emphasis: bool = True):

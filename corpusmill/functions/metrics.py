@@ -4,33 +4,21 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .text import tokens
 
 
-def word_edits(ref: Column, hyp: Column) -> Column:
-    """Edits between two arrays of words, inside the JVM; for texts of up to some fifty words."""
-    first = F.sequence(F.lit(0), F.size(ref))
-    return F.element_at(
-        F.aggregate(
-            hyp,
-            first,
-            lambda prev, h: F.when(F.size(ref) == 0, F.array(prev[0] + 1)).otherwise(
-                F.aggregate(F.sequence(F.lit(1), F.size(ref)), F.array(prev[0] + 1), lambda cur, i: F.array_append(cur, F.least(F.get(cur, i - 1) + 1, F.get(prev, i) + 1, F.get(prev, i - 1) + F.when(F.get(ref, i - 1) == h, 0).otherwise(1))))
-            ),
-        ),
-        -1,
-    )
-
-
 @F.pandas_udf(T.IntegerType())
-def word_edits_long(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    """The same for texts of any length, a row of the matrix at a time."""
+def word_edits(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    """Edits between two arrays of words of any length, a row of the matrix at a time; null with a null."""
     out = []
     for a, b in zip(ref, hyp, strict=True):
+        if a is None or b is None:
+            out.append(None)
+            continue
         ids: dict[str, int] = {}
         x = np.array([ids.setdefault(w, len(ids)) for w in a], np.int64)
         row, steps = np.arange(len(x) + 1), np.arange(len(x) + 1)
@@ -38,7 +26,7 @@ def word_edits_long(ref: pd.Series, hyp: pd.Series) -> pd.Series:
             new = np.append(j, np.minimum(row[1:] + 1, row[:-1] + (x != ids.get(w, -1))))
             row = np.minimum.accumulate(new - steps) + steps
         out.append(int(row[-1]))
-    return pd.Series(out, dtype="int32")
+    return pd.Series(out, dtype="Int32")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -59,7 +47,12 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def error_rates(ref: Column, hyp: Column) -> dict[str, Column]:
-    """Aggregates: corpus word and character error rates (null without reference units)."""
-    r, h = tokens(ref), tokens(hyp)
-    return {"wer": F.sum(word_edits(r, h)) / F.nullif(F.sum(F.size(r)), F.lit(0)), "cer": F.sum(F.levenshtein(ref, hyp)) / F.nullif(F.sum(F.length(ref)), F.lit(0))}
+def corpus_error_rate(pairs: DataFrame, ref: str, hyp: str, unit: str = "word") -> DataFrame:
+    """``(n, edits, units, rate)`` of the pairs of texts: edits of words or characters over the
+    reference's; pairs with a null count as nothing, no unit at all gives a null rate."""
+    d = pairs.where(F.col(ref).isNotNull() & F.col(hyp).isNotNull())
+    if unit == "word":
+        d = d.select(F.size(tokens(ref)).alias("u"), word_edits(tokens(ref), tokens(hyp)).alias("e"))
+    else:
+        d = d.select(F.length(ref).alias("u"), F.levenshtein(ref, hyp).alias("e"))
+    return d.agg(F.count("*").alias("n"), F.sum("e").cast("bigint").alias("edits"), F.sum("u").cast("bigint").alias("units")).withColumn("rate", F.round(F.col("edits") / F.nullif("units", F.lit(0)), 6))

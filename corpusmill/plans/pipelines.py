@@ -23,8 +23,9 @@ def text_pipeline(segments: DataFrame, text: str = "transcript", policy: str = "
 def corpus_pipeline(df: DataFrame, order: str = "doc_id", script: str = "arabic", min_chars: int = 3, min_words: int = 3, dominant: float = 0.5, symbols: bool = True, blocked: tuple[str, ...] = (), dedup: bool = True) -> DataFrame:
     """``df (text, ...)`` cleaned, filtered to one script and de-duplicated by the canonical key.
 
-    Row rules come first, so the one shuffle (near-duplicates also cover exact ones) gets
-    the fewest rows. Rows of null text drop out."""
+    Script and noise rules come before the one shuffle (near-duplicates also cover exact
+    ones), length rules after it: a text that is too short still stands for its near copies.
+    Rows of null text drop out."""
     t: Column = F.col("text")
     d = df.withColumn("text", corpus.remove_special_patterns(corpus.remove_emojis(t)))
     if script == "arabic":
@@ -33,8 +34,8 @@ def corpus_pipeline(df: DataFrame, order: str = "doc_id", script: str = "arabic"
     d = d.where(corpus.script_type(t) == script).where(~corpus.has_numbers(t)).where(~corpus.has_repeated_chars(t)).where(~corpus.has_repeated_word(t)).where(corpus.dominant_word_share(t) <= dominant)
     for word in blocked:
         d = d.where(~F.contains(t, F.lit(word)))
-    d = d.where((t != "") & (F.length(t) >= min_chars) & (F.size(tx.tokens(t)) >= min_words))
     d = near_dedup(d, "text", order) if dedup else d
+    d = d.where((t != "") & (F.length(t) >= min_chars) & (F.size(tx.tokens(t)) >= min_words))
     return d.withColumn("char_length", F.length("text")).withColumn("word_count", F.size(tx.tokens("text"))).withColumn("has_french", corpus.has_latin_letters(F.col("text"))).withColumn("type", corpus.script_type(F.col("text")))
 
 

@@ -89,15 +89,30 @@ def test_dominant_share(spark):
 def test_nota_layers(spark):
     d = spark.createDataFrame([(1, "موش مشاو أنا"), (2, "  "), (3, None), (4, "مانحبوش على هذا"), (5, "")], "id int, t string")
     r = {x["id"]: x for x in nota.with_nota(d, "t", "n", log=True).collect()}
-    assert r[1]["n"] == "مش مشاوا انا"
-    assert (r[1]["variant_applied"], r[1]["waw_applied"], r[1]["hamza_applied"], r[1]["override_applied"]) == (True, True, True, False)
-    assert r[2]["n"] == "  " and not r[2]["variant_applied"]
-    assert r[3]["n"] is None and r[3]["variant_applied"] is None
-    assert r[4]["n"] == "ما نحبوا ش علي هاذا" and r[4]["negation_applied"] and r[4]["alef_applied"]
+    assert r[1]["n"] == "مش مشاو انا"
+    assert (r[1]["variant_applied"], r[1]["waw_applied"], r[1]["hamza_applied"], r[1]["override_applied"]) == (True, False, True, False)
+    assert r[2]["n"] == "  " and r[2]["variant_applied"] is False and r[2]["n_log"] == []
+    assert r[3]["n"] is None and r[3]["variant_applied"] is None and r[3]["n_log"] is None
+    assert r[4]["n"] == "ما نحبو ش على هاذا" and r[4]["negation_applied"] and not r[4]["alef_applied"]
     assert r[5]["n"] == ""
-    assert [(x["word"], x["before"], x["after"]) for x in r[1]["n_log"]] == [(0, "موش", "مش"), (1, "مشاو", "مشاوا"), (2, "أنا", "انا")]
-    kept = nota.with_nota(d.where("id = 4"), "t", "n", nota.Nota(keep_alef=["على"], taa={"هاذا": "x"}, waw_exceptions=["نحبو"])).first()
-    assert kept["n"] == "ما نحبو ش على x" and kept["taa_applied"]
+    assert [tuple(x) for x in r[1]["n_log"]] == [(9, "variant_map", "موش", "مش"), (7, "hamza_drop", "أنا", "انا")]
+    assert [tuple(x) for x in r[4]["n_log"]] == [(8, "negation_separation", "مانحبوش على هذا", "ما نحبو ش على هذا"), (9, "variant_map", "هذا", "هاذا")]
+    every = nota.with_nota(d.where("id in (1, 4)"), "t", "n", nota.Nota(off=frozenset()), log=True).orderBy("id").collect()
+    assert every[0]["n"] == "مش مشاوا انا" and every[1]["n"] == "ما نحبوا ش علي هاذا" and every[1]["alef_applied"]
+    kept = nota.with_nota(d.where("id = 4"), "t", "n", nota.Nota(keep_alef=["على"], taa={"هاذا": "x"}, waw_exceptions=["نحبو"], off=frozenset()), log=True).first()
+    assert kept["n"] == "ما نحبو ش على x" and kept["taa_applied"] and [x["layer"] for x in kept["n_log"]] == [8, 9, 5]
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.text(alphabet="ماشوىةهأإ نح\t", max_size=24), min_size=1, max_size=6))
+def test_log_explains_the_text(spark, texts):
+    """With the log replayed word by word the text comes out, and flags name its layers."""
+    n = nota.Nota(taa={"حه": "حة"}, keep_alef=["حى"], waw_exceptions=["نحو"], off=frozenset())
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in nota.with_nota(d, "t", "n", n, log=True).collect():
+        steps = {x["layer"] for x in r["n_log"]}
+        flags = {number for name, number, _ in nota.WORD_LAYERS if r[f"{name}_applied"]} | ({8} if r["negation_applied"] else set())
+        assert steps == flags and (r["n"].split() == r["t"].split() or steps)
 
 
 def test_code_switch_detection(spark):
@@ -141,6 +156,21 @@ def test_wav_round_trip_and_preprocess(spark):
     y, rate = audio.decode_wav(data)
     assert rate == 8000 and np.abs(x - y).max() < 1e-4
     assert audio.decode_wav(b"")[1] == 0 and audio.decode_wav(b"junk")[1] == 0
+    import io
+    import wave
+
+    buf = io.BytesIO()
+    with wave.open(buf, "wb") as w:
+        w.setnchannels(2), w.setsampwidth(3), w.setframerate(8000)
+        w.writeframes(b"".join(int(v).to_bytes(3, "little", signed=True) * 2 for v in (np.clip(x, -1, 1) * 8388607).astype(int)))
+    z, rate = audio.decode_wav(buf.getvalue())
+    assert rate == 8000 and len(z) == len(x) and np.abs(x - z).max() < 1e-6
+    assert len(audio.decode_wav(audio.cut_wav(data, 0.25, 0.5))[0]) == 2000 and audio.cut_wav(data, None, 1.0) is None and audio.cut_wav(b"junk", 0.0, 1.0) is None
+    tone = np.sin(2 * np.pi * 440 * np.arange(8000) / 8000).astype(np.float32)
+    up = audio.resample(tone, 8000, 16000)
+    assert np.abs(up[200:-200] - np.sin(2 * np.pi * 440 * np.arange(16000) / 16000)[200:-200]).max() < 1e-3
+    high = np.sin(2 * np.pi * 3500 * np.arange(8000) / 8000).astype(np.float32)
+    assert np.abs(audio.resample(high, 8000, 4000)[100:-100]).max() < 0.02  # above the new band
     quiet = np.concatenate([np.zeros(4000, np.float32), x, np.zeros(4000, np.float32)])
     assert 7500 < len(audio.trim_silence(quiet)) < 9500
     assert len(audio.resample(x, 8000, 16000)) == 16000
@@ -150,10 +180,12 @@ def test_wav_round_trip_and_preprocess(spark):
 
 
 def test_error_rates(spark):
-    d = spark.createDataFrame([("a b c", "a x c d"), ("q", ""), ("", "z")], "r string, h string")
-    got = d.agg(*[c.alias(k) for k, c in metrics.error_rates(F.col("r"), F.col("h")).items()]).first()
-    assert got["wer"] == pytest.approx(4 / 4)
-    e = d.select(metrics.word_edits_long(tx.tokens("r"), tx.tokens("h")).alias("e"), metrics.word_edits(tx.tokens("r"), tx.tokens("h")).alias("f"), metrics.indel_ratio("r", "h").alias("i")).collect()
-    assert [x["e"] for x in e] == [x["f"] for x in e] == [2, 1, 1]
+    d = spark.createDataFrame([("a b c", "a x c d"), ("q", ""), ("", "z"), (None, "x"), ("x", None)], "r string, h string")
+    got = metrics.corpus_error_rate(d, "r", "h").first()
+    assert tuple(got) == (3, 4, 4, 1.0)
+    assert metrics.corpus_error_rate(d, "r", "h", "character").first()["edits"] == 5
+    assert metrics.corpus_error_rate(d.limit(0), "r", "h").first()["rate"] is None
+    e = d.select(metrics.word_edits(tx.tokens("r"), tx.tokens("h")).alias("e"), metrics.indel_ratio("r", "h").alias("i")).collect()
+    assert [x["e"] for x in e] == [2, 1, 1, None, None]
     assert e[1]["i"] == 0.0
     assert one(spark, "abcd", lambda c: metrics.indel_ratio(c, F.lit("abed"))) == pytest.approx(75.0)
