@@ -30,26 +30,20 @@ def _stars(edges: DataFrame) -> DataFrame:
     return small.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of the nodes of ``edges (u, v)``; a component is named by
     its smallest node. Loops and repeated edges are harmless, null ends are left out.
-    Each round is written to the shared folder, so a lost executor costs one round;
-    the driver sees one row of sums a round. Raises if ``max_rounds`` don't suffice
-    (the number of rounds grows with the logarithm of the nodes squared at most)."""
+
+    Rounds go on until the edges stay the same, which they do after a number of rounds that
+    grows with the squared logarithm of the nodes at most. Each round is written to the shared
+    folder, so a lost executor costs one round; the driver sees one row of sums a round."""
     clean = edges.where("u is not null and v is not null")
     nodes = clean.select(F.col("u").alias("node")).union(clean.select(F.col("v").alias("node"))).distinct()
     now = materialize(clean.where("u <> v").select("u", "v").distinct(), "stars-0")
-    state = _state(now)
-    for i in range(1, max_rounds + 1):
-        if not state[0]:
-            break
-        now = materialize(_stars(now), f"stars-{i}")
-        after = _state(now)
-        if after == state:
-            break
-        state = after
-    else:
-        raise RuntimeError(f"components not stable after {max_rounds} rounds")
+    state, last = _state(now), None
+    while state[0] and state != last:
+        now = materialize(_stars(now), "stars")
+        state, last = _state(now), state
     star = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.join(star, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
 
@@ -99,12 +93,18 @@ def assigned(manifest: DataFrame, recordings: DataFrame, proportions: dict[str,
 
 def spread_groups(manifest: DataFrame, recordings: DataFrame) -> DataFrame:
     """``(group_kind, group_id, component, splits)``: the recordings and speakers whose
-    segments bear two or more different splits, with the component that joins them."""
-    pairs = manifest_records(manifest, recordings).where("split is not null").select("recording", "speaker", "split").distinct()
-    placed = keep_together(materialize(pairs, "split-labels"), ["recording", "speaker"])
-    kinds = placed.select("component", "split", F.explode(F.array(*[F.struct(F.lit(k).alias("group_kind"), F.col(k).alias("group_id")) for k in ("recording", "speaker")])).alias("g"))
-    of = kinds.select("component", "split", "g.*").where("group_id is not null")
-    return of.groupBy("group_kind", "group_id").agg(F.min("component").alias("component"), F.array_sort(F.collect_set("split")).alias("splits")).where(F.size("splits") > 1)
+    segments bear two or more different splits, with the component that joins them.
+
+    A group lies within one component, so only components that bear two splits can hold one: the
+    distinct labels of each entity are summed up by component first, and the entities of
+    the components that are left are then looked at one by one."""
+    pairs = materialize(manifest_records(manifest, recordings).where("split is not null").select("recording", "speaker", "split").distinct(), "split-labels")
+    comp = materialize(components(entity_edges(pairs, ["recording", "speaker"])), "spread-components")
+    own = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("group_kind"), F.col(c).alias("group_id"))) for c in ("recording", "speaker")]))
+    labels = pairs.select("split", F.explode(own).alias("g")).select("split", "g.*").distinct()
+    placed = labels.withColumn("node", F.concat_ws(":", "group_kind", "group_id")).join(comp, "node").drop("node")
+    mixed = placed.groupBy("component").agg(F.min("split").alias("a"), F.max("split").alias("b")).where("a <> b").select("component")
+    return placed.join(mixed, "component").groupBy("component", "group_kind", "group_id").agg(F.array_sort(F.collect_set("split")).alias("splits")).where(F.size("splits") > 1).select("group_kind", "group_id", "component", "splits")
 
 
 def found(manifest: DataFrame, recordings: DataFrame) -> DataFrame:
