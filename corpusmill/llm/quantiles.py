@@ -7,13 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import norm_key, norm_split
+from ..operators.ranks import exact_percentiles
+from ..tables import materialize, norm_key, norm_split
 
 #: Levels of the dyadic tree (2**BITS leaves) and the rank error as a share of the values.
 BITS, EPS = 24, 0.005
+#: Groups in which the tasks' digests are merged first.
+FAN = 256
 PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
@@ -86,29 +90,46 @@ def _digester(eps: float, bits: int):
                 held = 0
         flush(parts, digests)
         for (measure, grp), (nodes, counts, _) in digests.items():
-            yield pd.DataFrame({"measure": measure, "grp": None if grp is None or grp != grp else grp, "node": nodes, "n": counts})
+            yield pd.DataFrame({"measure": measure, "grp": None if grp is None or grp != grp else grp, "part": TaskContext.get().partitionId(), "node": nodes, "n": counts})
 
     return run
 
 
+def _merger(eps: float, bits: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = pdf["n"].to_numpy(np.int64)
+        nodes, counts = compress(pdf["node"].to_numpy(np.int64), n, int(n.sum()), eps, bits)
+        return pd.DataFrame({"measure": pdf["measure"].iloc[0], "grp": pdf["grp"].iloc[0], "part": pdf["part"].iloc[0], "node": nodes, "n": counts})
+
+    return run
+
+
+def _merged(parts: DataFrame, eps: float, bits: int) -> DataFrame:
+    """Digests ``(measure, grp, part, node, n)`` with their nodes added and compressed, part by part."""
+    return parts.groupBy("measure", "grp", "part").applyInPandas(_merger(eps, bits), "measure string, grp string, part bigint, node bigint, n bigint")
+
+
 def digest(values: DataFrame, eps: float = EPS, bits: int = BITS) -> DataFrame:
     """``(measure, grp, node, n)``: the digests of ``values (measure, grp, x)``.
 
-    Each task compresses its own part; ``merge`` adds the nodes of all parts, or of
-    digests of other days, up. Null and NaN are left out; -0.0 counts as 0.0;
-    infinities are values. A digest of one task has some ``3 * bits / eps`` nodes
-    a group, whatever the number of rows."""
+    Each task compresses its own part; the parts are merged and compressed again in ``FAN``
+    groups of them, then these. A digest has some ``3 * bits / eps`` nodes a group at most, so
+    no merge reads more than its share of parts times that, whatever the number of
+    rows. Null and NaN are left out; -0.0 counts as 0.0; infinities are values."""
     clean = values.where("measure is not null and x is not null and not isnan(x)").select("measure", "grp", F.col("x").cast("double").alias("x"))
-    return merge(clean.mapInPandas(_digester(eps, bits), "measure string, grp string, node bigint, n bigint"))
+    parts = clean.mapInPandas(_digester(eps, bits), "measure string, grp string, part bigint, node bigint, n bigint")
+    some = _merged(parts.withColumn("part", F.col("part") % FAN), eps, bits)
+    return _merged(some.withColumn("part", F.lit(0).cast("bigint")), eps, bits).drop("part")
 
 
-def merge(*digests: DataFrame) -> DataFrame:
-    """Digests of separate portions joined by node addition. Their rank errors add up
-    to ``eps`` of all values. There are at most 2**(bits+1) nodes a group."""
+def merge(*digests: DataFrame, eps: float = EPS, bits: int = BITS) -> DataFrame:
+    """Digests of separate portions or days joined: nodes are added, and compressed for the new
+    total. A node below the root counts at most ``eps / bits`` of the values before and after, so the rank
+    error stays within ``eps`` of all values, however often digests are merged."""
     all_ = digests[0]
     for d in digests[1:]:
         all_ = all_.unionByName(d)
-    return all_.groupBy("measure", "grp", "node").agg(F.sum("n").alias("n"))
+    return _merged(all_.withColumn("part", F.lit(0).cast("bigint")), eps, bits).drop("part")
 
 
 def _reader(percentiles: tuple[float, ...], eps: float, bits: int):
@@ -149,13 +170,23 @@ def manifest_percentiles(manifest: DataFrame) -> DataFrame:
 
 
 def within_bound(manifest: DataFrame) -> DataFrame:
-    """``(measure, split, percentile, n, within)``: whether each value keeps its stated
-    error, by an exact count of the values below and above its leaf."""
-    est = manifest_percentiles(manifest)
-    v = manifest_values(manifest).select("measure", F.col("grp").alias("s"), "x")
-    slack = F.abs(F.col("value")) / F.lit(float(1 << (BITS - 12)))
-    j = v.join(F.broadcast(est), (v["measure"] == est["measure"]) & v["s"].eqNullSafe(est["split"])).select(est["*"], "x")
-    counted = j.groupBy("measure", "split", "percentile", "value", "n", "max_rank_error").agg(F.count_if(F.col("x") <= F.col("value") + slack).alias("le"), F.count_if(F.col("x") < F.col("value") - slack).alias("lt"))
+    """``(measure, split, n, median, within)``: the exact median, and whether every value of the
+    digest keeps its stated error, by an exact count of the values below and above its leaf.
+    The digest's few rows are a table, which Spark broadcasts or joins by its size."""
+    v = materialize(manifest_values(manifest), "percentile-values")
+    est = materialize(percentiles(digest(v)), "percentiles").select(F.col("measure").alias("_m"), F.col("grp").alias("_g"), "percentile", "value", F.col("n").alias("_n"), "max_rank_error")
+    slack = F.abs("value") / F.lit(float(1 << (BITS - 12)))
+    j = v.join(est, (F.col("measure") == F.col("_m")) & F.col("grp").eqNullSafe(F.col("_g")))
+    counted = j.groupBy("measure", "grp", "percentile", "_n", "max_rank_error").agg(F.count("*").alias("n"), F.count_if(F.col("x") <= F.col("value") + slack).alias("le"), F.count_if(F.col("x") < F.col("value") - slack).alias("lt"))
     rank = F.ceil(F.col("percentile") * F.col("n"))
-    ok = (F.col("le") + F.col("max_rank_error") >= rank) & (F.col("lt") - F.col("max_rank_error") <= rank)
-    return counted.select("measure", "split", "percentile", "n", ok.alias("within"))
+    ok = (F.col("le") + F.col("max_rank_error") >= rank) & (F.col("lt") - F.col("max_rank_error") <= rank) & (F.col("n") == F.col("_n"))
+    kept = counted.groupBy("measure", "grp").agg(F.max("n").alias("n"), F.every(ok).alias("within"))
+    exact = exact_percentiles(v.withColumnRenamed("measure", "_of"), {"x": F.col("x")}, {"median": 0.5}, ["_of", "grp"]).select("_of", F.col("grp").alias("_g"), "median")
+    both = kept.join(exact, (F.col("measure") == F.col("_of")) & F.col("grp").eqNullSafe(F.col("_g")))
+    return both.select("measure", F.col("grp").alias("split"), "n", F.round("median", 6).alias("median"), "within")
+
+
+def leaf_percentiles(manifest: DataFrame) -> DataFrame:
+    """``(measure, split, percentile, value, n)`` of a digest without error: with ``eps`` 0 nothing is
+    compressed, and each value is the leaf of the exact one, its first 12 bits of mantissa."""
+    return percentiles(digest(manifest_values(manifest), 0.0), eps=0.0).select("measure", F.col("grp").alias("split"), "percentile", F.round("value", 9).alias("value"), "n")

@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_assigned": _on(splits.assigned, "manifest", "recordings"),
         "p6_percentiles": _on(quantiles.manifest_percentiles, "manifest"),
         "p6_within_bound": _on(quantiles.within_bound, "manifest"),
+        "p6_leaf_percentiles": _on(quantiles.leaf_percentiles, "manifest"),
         "p7_found": _on(langid.found, "df_train_clean", "code_switching"),
         "p7_stretches": _on(langid.segments, "df_train_clean", "code_switching"),
         "p8_ids": _on(tokenize.ids, "documents"),
@@ -63,12 +64,17 @@ union all
 select 'speaker', speaker from m join k using (rec) where s is not null and speaker is not null group by speaker having count(distinct s) > 1
 """
 
-_BOUND = f"""
+_VALUES = f"""
 with one as (select {_key('audio_id')} as id, max({_split('split')}) as split, max(case when isnan(duration_s) then null else duration_s end) as d, max(case when isnan(rms) then null else rms end) as r from manifest group by 1),
-v as (select 'duration_s' as measure, split, d as x from one where id is not null union all select 'rms', split, r from one where id is not null)
-select measure, split, p.percentile, count(*)::bigint as n, true as within
-from v, (select unnest([{', '.join(f'{p}::double' for p in quantiles.PERCENTILES)}]) as percentile) p where x is not null group by all
+v as (select 'duration_s' as measure, split, d as x from one where id is not null and d is not null union all select 'rms', split, r from one where id is not null and r is not null)
 """
+_BOUND = _VALUES + "select measure, split, count(*) as n, round(quantile_cont(x, 0.5), 6) as median, true as within from v group by 1, 2"
+# The leaf of a value: its first twelve bits of mantissa.
+_LEAVES = (
+    _VALUES
+    + f", q as (select measure, split, unnest([{', '.join(f'{p}::double' for p in quantiles.PERCENTILES)}]) as percentile, unnest(quantile_disc(x, [{', '.join(f'{p}::double' for p in quantiles.PERCENTILES)}])) as x, count(*) as n from v group by 1, 2)"
+    + " select measure, split, percentile, case when x = 0 then 0.0::double else round(sign(x) * floor(abs(x) / pow(2, floor(log2(abs(x)))) * 4096) / 4096 * pow(2, floor(log2(abs(x)))), 9) end as value, n from q"
+)
 
 
 def oracle_sql() -> dict[str, str]:
@@ -77,4 +83,5 @@ def oracle_sql() -> dict[str, str]:
         "p3_counts": _TERMS + "select term, occurrences, records from freq",
         "p5_found": _SPREAD,
         "p6_within_bound": _BOUND,
+        "p6_leaf_percentiles": _LEAVES,
     }
