@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import norm_key
@@ -19,6 +19,8 @@ LANGS = ("aeb", "aeb_latn", "en", "fr")
 #: Longest n-gram, labelled texts per language to fit on (the bound of the sample), words to fit on,
 #: landmarks, ridge, cost of a change of language between words, words that a worker remembers.
 NGRAM, SAMPLE_TEXTS, FIT_WORDS, LANDMARKS, RIDGE, SWITCH, CACHE = 4, 3000, 6000, 500, 0.3, 0.9, 300_000
+#: Words whose kernels with the landmarks are computed at a time.
+BATCH = 512
 #: Successive words from which on a language counts; words of a text from which on it is judged.
 RUN, MIN_WORDS = 3, 4
 
@@ -54,15 +56,17 @@ def arabic(word: str) -> bool:
 
 
 class Model:
-    """Scores of words per language: ``k(x, landmarks) @ alpha`` with the normalised
-    presence kernel ``|G(x) & G(l)| / sqrt(|G(x)| |G(l)|)``. As the kernel is a product of
-    presence rows, landmarks and alpha are folded into one matrix (n-gram, language)."""
+    """Scores of words per language: ``k(x, landmarks) @ alpha`` with the normalised presence
+    kernel ``|G(x) & G(l)| / sqrt(|G(x)| |G(l)|)``. Words come in batches: their n-grams pick rows of
+    the landmarks' presence matrix, whose sums are the batch's kernel matrix, and one product with
+    ``alpha`` gives all scores."""
 
-    def __init__(self, index: dict[str, int], weights: np.ndarray):
-        self.index, self.weights, self.cache = index, weights, {}
+    def __init__(self, index: dict[str, int], land: np.ndarray, alpha: np.ndarray):
+        self.index, self.land, self.alpha, self.cache = index, land, alpha, {}
 
-    def score(self, words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), len(LANGS)), np.float32)
+    def kernel(self, words: list[str]) -> np.ndarray:
+        """The kernel of each word with each landmark (words, landmarks)."""
+        out = np.zeros((len(words), self.land.shape[1]), np.float32)
         flat, lens, sizes = [], [], []
         for w in words:
             g = grams(w)
@@ -73,11 +77,13 @@ class Model:
         n = np.array(lens)
         some = np.flatnonzero(n)
         if len(some):
-            begin = (np.cumsum(n) - n)[some]
-            out[some] = np.add.reduceat(self.weights[np.array(flat)], begin, axis=0)
+            out[some] = np.add.reduceat(self.land[np.array(flat)], (np.cumsum(n) - n)[some], axis=0)
             out[some] /= np.sqrt(np.array(sizes, np.float32)[some])[:, None]
         return out
 
+    def score(self, words: list[str]) -> np.ndarray:
+        return np.concatenate([self.kernel(words[i : i + BATCH]) @ self.alpha for i in range(0, len(words), BATCH)]) if words else np.zeros((0, len(LANGS)), np.float32)
+
     def of(self, words: set[str]) -> dict[str, np.ndarray]:
         new = [w for w in words if w not in self.cache]
         if new:
@@ -88,7 +94,7 @@ class Model:
         return self.cache
 
     def __reduce__(self):
-        return Model, (self.index, self.weights)
+        return Model, (self.index, self.land, self.alpha)
 
 
 def fit(texts: list[tuple[str, str]]) -> Model:
@@ -112,7 +118,7 @@ def fit(texts: list[tuple[str, str]]) -> Model:
         own = sorted(((c, w) for w, c in by[k].items() if max(share[w], key=lambda x: (share[w][x], x)) == k), key=lambda x: (-x[0], x[1]))
         picked += [(w, i, float(np.sqrt(c))) for c, w in own[:per]]
     if not picked:
-        return Model({}, np.zeros((0, len(LANGS)), np.float32))
+        return Model({}, np.zeros((0, 0), np.float32), np.zeros((0, len(LANGS)), np.float32))
     words = [w for w, _, _ in picked]
     index: dict[str, int] = {}
     spectra = [[index.setdefault(g, len(index)) for g in sorted(grams(w))] for w in words]
@@ -134,7 +140,7 @@ def fit(texts: list[tuple[str, str]]) -> Model:
             weight[mine] /= weight[mine].mean() * mine.mean() * len(LANGS)
     weighted = phi * weight[:, None]
     alpha = root @ np.linalg.solve(phi.T @ weighted + RIDGE * np.eye(phi.shape[1]), weighted.T @ y)
-    return Model(index, (land.T.astype(np.float64) @ alpha).astype(np.float32))
+    return Model(index, np.ascontiguousarray(land.T), alpha.astype(np.float32))
 
 
 def stretches(scores: np.ndarray) -> list[tuple[int, int, int, float]]:
@@ -205,18 +211,16 @@ def _tagger(model: Model, segments: bool):
 
 def training_rows(labelled: DataFrame, sample: int = SAMPLE_TEXTS) -> DataFrame:
     """At most ``sample`` texts of each language of ``labelled (label, text)``, by the
-    smallest hashes: the same rows for the same table, whatever its partitioning."""
-    parts = [labelled.where(F.col("label") == k).orderBy(F.xxhash64("text"), "text").limit(sample) for k in LANGS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    smallest hashes: the same rows for the same table, whatever its partitioning. One pass: each
+    task keeps its own smallest of each language before they meet."""
+    w = Window.partitionBy("label").orderBy(F.xxhash64("text"), "text")
+    return labelled.where(F.col("label").isin(*LANGS)).select("label", "text", F.row_number().over(w).alias("_r")).where(F.col("_r") <= sample).drop("_r")
 
 
 def trained(labelled: DataFrame, sample: int = SAMPLE_TEXTS) -> Model:
     """The model fitted on the driver to the bounded sample of ``training_rows``."""
     own = labelled.where("label is not null and text is not null")
-    return fit([(r["label"], r["text"]) for r in training_rows(own.select("label", "text"), sample).collect()])
+    return fit(sorted((r["label"], r["text"]) for r in training_rows(own.select("label", "text"), sample).collect()))
 
 
 def texts_of(train_clean: DataFrame, code_switching: DataFrame) -> DataFrame:
