@@ -14,11 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import materialize
+from .sieve import BITS, Sieve, sieve_of
 
 #: Words of a window, repetitions of the embedding, embedded positions each samples, edits (in words) a match may have.
-WINDOW, REPEATS, SAMPLES, EDITS = 12, 4, 8, 0
-#: Up to so many distinct item keys go to the mappers as a filter (8 bytes each); beyond, the join alone decides.
-FILTER_KEYS = 4_000_000
+WINDOW, REPEATS, SAMPLES, EDITS = 12, 4, 8, 2
+#: Words of the shortest item: it and longer ones below ``WINDOW`` words have one window, the whole item, and an
+#: edit for every ``WORDS_AN_EDIT`` words at most.
+SHORTEST, WORDS_AN_EDIT = 5, 6
+#: Bits of a document's position in a pair of positions.
+PLACE = 31
 _U = np.uint64
 MARKS = [*range(0x0610, 0x061B), *range(0x064B, 0x0660), 0x0670, *range(0x06D6, 0x06DD), *range(0x06DF, 0x06E5), 0x06E7, 0x06E8, *range(0x06EA, 0x06EE), 0x0640]
 
@@ -59,7 +63,7 @@ def cgk_keys(symbols: np.ndarray, first: np.ndarray, window: int = WINDOW, repea
     out = np.zeros((len(first), repeats), _U)
     padded = np.append(symbols, _U(0))
     for r, (seed, steps) in enumerate(_walks(repeats, samples, window)):
-        at, key, wanted = np.zeros(len(first), np.int64), np.full(len(first), r + 1, _U), set(steps.tolist())
+        at, key, wanted = np.zeros(len(first), np.int64), np.full(len(first), r + 1 + 1_000 * window, _U), set(steps.tolist())
         for j in range(int(steps[-1]) + 1):
             sym = padded[np.where(at < window, first + at, len(symbols))]
             if j in wanted:
@@ -82,7 +86,7 @@ def part_keys(symbols: np.ndarray, first: np.ndarray, window: int, edits: int, s
     out = []
     for j, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
         for s in range(max(-shifts, -lo), min(shifts, window - hi) + 1):
-            key = np.full(len(first), 1_000_003 + j, _U)
+            key = np.full(len(first), 1_000_003 + j + 1_000 * window, _U)
             for i in range(lo + s, hi + s):
                 key = (key ^ symbols[first + i]) * _U(0x9E3779B97F4A7C15)
                 key ^= key >> _U(32)
@@ -102,91 +106,127 @@ def _windows(words_per_text: list[list[str]], window: int) -> tuple[np.ndarray,
     return sym, begin[text] + pos, text, pos
 
 
-def _keyer(window: int, repeats: int, samples: int, known: np.ndarray | None, edits: int = 0, shifts: int = 0):
+def _edits(length: int, edits: int) -> int:
+    """Edits that a window of ``length`` words may have."""
+    return min(edits, length // WORDS_AN_EDIT)
+
+
+def _keyer(lengths: list[int] | None, window: int, edits: int, repeats: int, samples: int, parts: bool, sieve: Sieve | None):
+    """The windows of texts with their keys: of items (``lengths`` is None) those of their own size;
+    of documents those of all ``lengths``, with the keys that the sieve lets through."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lo in range(0, len(pdf), 500):
-                part = pdf.iloc[lo : lo + 500]
-                words = [words_of(t) for t in part["text"]]
-                sym, first, text, pos = _windows(words, window)
-                if not len(first):
-                    continue
-                keys = cgk_keys(sym, first, window, repeats, samples)
-                if edits:
-                    keys = np.concatenate([keys, part_keys(sym, first, window, edits, shifts)], 1)
-                hit = np.ones(keys.shape, bool)
-                if known is not None:
-                    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                    hit = known[at] == keys if len(known) else np.zeros(keys.shape, bool)
-                w, r = np.nonzero(hit)
-                if len(w):
-                    content = [" ".join(words[text[i]][pos[i] : pos[i] + window]) for i in w]
-                    yield pd.DataFrame({"id": part["id"].to_numpy()[text[w]], "pos": pos[w].astype(np.int32), "key": keys[w, r].view(np.int64), "content": content})
+                ids, words = pdf["id"].to_numpy()[lo : lo + 500], [words_of(t) for t in pdf["text"].iloc[lo : lo + 500]]
+                own = np.array([min(len(w), window) for w in words])
+                for n in sorted({int(x) for x in own if x >= SHORTEST}) if lengths is None else lengths:
+                    mine = np.flatnonzero(own == n) if lengths is None else np.arange(len(words))
+                    sym, first, text, pos = _windows([words[i] for i in mine], n)
+                    if not len(first):
+                        continue
+                    k = _edits(n, edits)
+                    keys = cgk_keys(sym, first, n, repeats, samples)
+                    if parts and k:
+                        keys = np.concatenate([keys, part_keys(sym, first, n, k, 0 if lengths is None else k // 2)], 1)
+                    hit = np.ones(keys.shape, bool) if sieve is None else sieve.has(keys)
+                    some = np.flatnonzero(hit.any(1))
+                    if len(some):
+                        yield pd.DataFrame({"id": ids[mine[text[some]]], "pos": pos[some].astype(np.int32), "length": np.int32(n), "keys": [keys[i][hit[i]].view(np.int64) for i in some]})
 
     return run
 
 
-def edit_distance(a: list[str], b: list[str]) -> int:
-    """Insertions, deletions and replacements of words between two windows."""
-    prev = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        cur = [i]
-        for j, y in enumerate(b, 1):
-            cur.append(min(cur[-1] + 1, prev[j] + 1, prev[j - 1] + (x != y)))
+def window_edits(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Insertions, deletions and replacements between the rows of ``a`` and ``b`` (pairs, words),
+    all pairs at once; what exceeds ``most`` is ``most + 1``."""
+    n = a.shape[1]
+    far = np.full(len(a), most + 1, np.int32)
+    prev = {j: np.full(len(a), j, np.int32) for j in range(min(most, n) + 1)}
+    for i in range(1, n + 1):
+        cur: dict[int, np.ndarray] = {}
+        for j in range(max(0, i - most), min(n, i + most) + 1):
+            if j == 0:
+                cur[j] = np.full(len(a), i, np.int32)
+                continue
+            best = prev.get(j - 1, far) + (a[:, i - 1] != b[:, j - 1])
+            best = np.minimum(best, np.minimum(prev.get(j, far), cur.get(j - 1, far)) + 1)
+            cur[j] = np.minimum(best, far)
         prev = cur
-    return prev[-1]
+    return prev[n]
 
 
-def _verifier(edits: int):
+def _verifier(edits: int, at_once: int = 200_000):
+    """The exact edit distance of all candidate windows of pairs of an item and a document, whole
+    batches of pairs at once."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            d = [0 if a == b else edit_distance(a.split(" "), b.split(" ")) for a, b in zip(pdf["a"], pdf["b"], strict=True)]
-            out = pd.DataFrame({"item_id": pdf["item_id"], "doc_id": pdf["doc_id"], "item_pos": pdf["item_pos"], "doc_pos": pdf["doc_pos"], "edits": np.array(d, np.int32)})
-            out = out[out["edits"] <= edits]
-            if len(out):
-                yield out
+            codes: dict[str, int] = {}
+            begins: dict[str, int] = {}
+            flat: list[int] = []
+
+            def begin(t: str) -> int:
+                at = begins.get(t)  # noqa: B023
+                if at is None:
+                    at = begins[t] = len(flat)  # noqa: B023
+                    flat.extend(codes.setdefault(w, len(codes)) for w in words_of(t))  # noqa: B023
+                return at
+
+            first_a, first_b = np.array([begin(t) for t in pdf["item"]], np.int64), np.array([begin(t) for t in pdf["doc"]], np.int64)
+            word = np.array(flat, np.int32)
+            pair = np.repeat(np.arange(len(pdf)), pdf["places"].map(len))
+            if not len(pair):
+                continue
+            place = np.concatenate(pdf["places"].to_list())
+            length, item_pos, doc_pos = pdf["length"].to_numpy()[pair], place >> PLACE, place & ((1 << PLACE) - 1)
+            for n in np.unique(length):
+                most, step, mine = _edits(int(n), edits), np.arange(n), np.flatnonzero(length == n)
+                for lo in range(0, len(mine), at_once):
+                    q = mine[lo : lo + at_once]
+                    d = window_edits(word[(first_a[pair[q]] + item_pos[q])[:, None] + step], word[(first_b[pair[q]] + doc_pos[q])[:, None] + step], most)
+                    q, d = q[d <= most], d[d <= most]
+                    if len(q):
+                        yield pd.DataFrame({"item_id": pdf["item_id"].to_numpy()[pair[q]], "doc_id": pdf["doc_id"].to_numpy()[pair[q]], "length": np.int32(n), "item_pos": item_pos[q].astype(np.int32), "doc_pos": doc_pos[q].astype(np.int32), "edits": d.astype(np.int32)})
 
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, edits: int = EDITS, repeats: int = REPEATS, samples: int = SAMPLES) -> DataFrame:
-    """``(item_id, doc_id, item_pos, doc_pos, edits)``: windows of ``window`` words of
-    ``items (item_id, text)`` and of ``documents (doc_id, text)`` within ``edits`` edits.
+def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, edits: int = EDITS, repeats: int = REPEATS, samples: int = SAMPLES, parts: bool = True, bits: int = BITS) -> DataFrame:
+    """``(item_id, doc_id, length, item_pos, doc_pos, edits)``: windows of ``items (item_id, text)`` and of
+    ``documents (doc_id, text)`` within ``edits`` edits of words, by the exact edit distance.
+
+    A window has ``window`` words or, of a shorter item, the item's own (``SHORTEST`` at least), and an
+    edit for every ``WORDS_AN_EDIT`` words. Equal windows share every key of the embedding, so
+    windows without edits are found at any number of repetitions; with ``parts`` the parts of the
+    windows are keys too, of which one is left whole, so that all within ``edits`` edits are found.
 
-    The recall is 1: with no edits, equal windows share every key of the embedding; with
-    edits, the parts of the windows are keys too, of which one is left whole (``part_keys``).
-    Fewer edits than words of a window are allowed.
+    Documents' windows pass a sieve of the items' keys, which has ``2**bits`` bits however many
+    keys there are; what passes is joined by the keys themselves, as numbers, and only for
+    pairs of an item and a document with a common key are texts fetched and compared.
     Texts are used whole; null texts and texts of fewer words than a window have no
-    window. Repeated rows of one id and position count once. Item keys go to the
-    mappers as a filter only while there are at most ``FILTER_KEYS`` of them; beyond
-    that document windows are joined with item windows by key alone."""
+    window. Repeated rows of one id count once."""
     side = lambda df, k: df.select(df[k].alias("id"), df["text"].alias("text")).where("id is not null and text is not null")
     kind = dict(items.dtypes)["item_id"], dict(documents.dtypes)["doc_id"]
-    schema = "id {}, pos int, key bigint, content string"
-    it = materialize(side(items, "item_id").mapInPandas(_keyer(window, repeats, samples, None, edits), schema.format(kind[0])), "leak-items")
-    keys = it.select("key").distinct()
-    known = None
-    if keys.limit(FILTER_KEYS + 1).count() <= FILTER_KEYS:
-        known = np.sort(np.array([r[0] for r in keys.collect()], np.int64).view(_U))
-    docs = side(documents, "doc_id").mapInPandas(_keyer(window, repeats, samples, known, edits, edits // 2), schema.format(kind[1]))
-    a = it.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "key", F.col("content").alias("a"))
-    b = docs.select(F.col("id").alias("doc_id"), F.col("pos").alias("doc_pos"), "key", F.col("content").alias("b"))
-    cand = b.join(a, "key")
-    if edits:  # an edit takes one word away at most, so this loses nothing
-        cand = cand.where(F.size(F.array_except(F.split("a", " "), F.split("b", " "))) <= edits)
-    cand = cand.select("item_id", "doc_id", "item_pos", "doc_pos", "a", "b").distinct()
-    if edits == 0:
-        return cand.where("a = b").select("item_id", "doc_id", "item_pos", "doc_pos", F.lit(0).alias("edits"))
-    return cand.mapInPandas(_verifier(edits), f"item_id {kind[0]}, doc_id {kind[1]}, item_pos int, doc_pos int, edits int")
+    schema = "id {}, pos int, length int, keys array<bigint>"
+    texts = side(items, "item_id")
+    it = materialize(texts.mapInPandas(_keyer(None, window, edits, repeats, samples, parts, None), schema.format(kind[0])).select("id", "pos", "length", F.explode("keys").alias("key")), "leak-items")
+    lengths = sorted(r[0] for r in it.select("length").distinct().collect())  # at most as many as words in a window
+    docs = side(documents, "doc_id")
+    seen = docs.mapInPandas(_keyer(lengths, window, edits, repeats, samples, parts, sieve_of(it, "key", bits)), schema.format(kind[1])).select(F.col("id").alias("doc_id"), F.col("pos").alias("doc_pos"), F.explode("keys").alias("key"))
+    place = F.shiftleft(F.col("pos").cast("bigint"), PLACE) + F.col("doc_pos")
+    cand = seen.join(it.withColumnRenamed("id", "item_id"), "key").groupBy("item_id", "doc_id", "length").agg(F.collect_set(place).alias("places"))
+    both = cand.join(texts.select(F.col("id").alias("item_id"), F.col("text").alias("item")), "item_id").join(docs.select(F.col("id").alias("doc_id"), F.col("text").alias("doc")), "doc_id")
+    return both.mapInPandas(_verifier(edits), f"item_id {kind[0]}, doc_id {kind[1]}, length int, item_pos int, doc_pos int, edits int").distinct()
 
 
 def found(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """``(item_id, doc_id)``: documents that hold 12 or more successive words of an item."""
-    return leaks(documents, items).select("item_id", "doc_id").distinct()
+    """``(item_id, doc_id)``: documents that hold 12 or more successive words of an item. They are
+    the matches of whole windows without an edit, which need no keys of parts."""
+    return leaks(documents, items, parts=False).where((F.col("edits") == 0) & (F.col("length") == WINDOW)).select("item_id", "doc_id").distinct()
 
 
 def near(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """``(item_id, doc_id, edits)``: the same with up to two edits of words in a window, the
-    fewest over the windows."""
-    r = leaks(documents, items, edits=2, repeats=16, samples=5)
-    return r.groupBy("item_id", "doc_id").agg(F.min("edits").alias("edits"))
+    """``(item_id, doc_id, edits)``: documents that hold a window of an item with up to two edits of
+    words, or a short item, with the fewest edits over the windows."""
+    return leaks(documents, items, repeats=16, samples=5).groupBy("item_id", "doc_id").agg(F.min("edits").alias("edits"))

@@ -300,11 +300,11 @@ def test_leaks(spark):
     dd, ii = extra(spark.createDataFrame(docs, "doc_id bigint, text string")), extra(spark.createDataFrame(items, "item_id bigint, text string"))
     got = [tuple(r) for r in leak.found(dd, ii).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
-    old, leak.FILTER_KEYS = leak.FILTER_KEYS, 1
-    try:
-        assert {tuple(r) for r in leak.found(dd, ii).collect()} == want
-    finally:
-        leak.FILTER_KEYS = old
+    full = leak.leaks(dd, ii, parts=False, bits=7)  # a sieve that lets everything through
+    assert {(r["item_id"], r["doc_id"]) for r in full.where("edits = 0 and length = 12").collect()} == want
+    short = spark.createDataFrame([(200, " ".join(items[3][1].split()[:7])), (201, "a b c d")], "item_id bigint, text string")
+    hold = {d for d, t in docs if any(leak.words_of(t or "")[i : i + 7] == leak.words_of(items[3][1])[:7] for i in range(len(leak.words_of(t or ""))))}
+    assert {r["doc_id"] for r in leak.near(dd, short).where("edits = 0").collect()} == hold
     w = items[2][1].split()[:8] + words(rnd, 14)
     for cut in range(3, 12, 2):
         near.add(tuple(w[:cut] + ["بدل"] + w[cut + 1 :]))

@@ -4,6 +4,8 @@ import random
 import sys
 from pathlib import Path
 
+import numpy as np
+
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent.parent))
 from corpusmill.llm import crosssplit, langid, leak, pii  # noqa: E402
 
@@ -40,7 +42,7 @@ def test_leaks_with_two_edits_brute_force(spark):
     for i, a in items:
         for d, b in docs:
             if len(set(a) & set(b)) >= 6:
-                e = min((leak.edit_distance(x, y) for x in windows(a) for y in windows(b)), default=9)
+                e = min((edit(x, y) for x in windows(a) for y in windows(b)), default=9)
                 if e <= 2:
                     want[i, d] = e
     dd = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id bigint, text string")
@@ -49,6 +51,26 @@ def test_leaks_with_two_edits_brute_force(spark):
     assert got == want and len(want) > 500
 
 
+def test_window_edits_brute_force():
+    rnd = random.Random(2)
+    a = np.array([[rnd.randrange(4) for _ in range(9)] for _ in range(300)], np.int32)
+    b = np.array([[x if rnd.random() < 0.8 else rnd.randrange(4) for x in row[rnd.randrange(2) :]] + [1] * 2 for row in a.tolist()], dtype=object)
+    b = np.array([(row + [0] * 9)[:9] for row in b], np.int32)
+    for most in (0, 1, 2, 4):
+        got = leak.window_edits(a, b, most)
+        assert got.tolist() == [min(edit(x, y), most + 1) for x, y in zip(a.tolist(), b.tolist())]
+
+
+def edit(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
 def test_grams_of_long_words():
     g = langid.grams("a" * 100 + "xyz")
     assert {"xyz", "yz$", "axyz"} <= g and "aaa$" not in g
