@@ -13,14 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import materialize
+from .sieve import WordSieve, word_sieve
 
 #: Share of a pattern's instances that must be of a kind for the pattern to announce it; its least
 #: instances (more for identity numbers, whose leading digits orders share by chance); rounds of scoring; least share of seed pairs after a name pattern and its least seeds.
 PATTERN_SHARE, PATTERN_LEAST, ID_LEAST, ROUNDS, NAME_SHARE, NAME_LEAST = 0.9, 5, 8, 3, 0.12, 3
 #: Share of all its occurrences that a discovered name must have inside names.
 OWN_SHARE = 0.3
-#: Patterns and names go to the mappers in sets of so many; more take more passes. A name list may have so many names.
-DICTIONARY = 500_000
+#: Rows that a mapper holds back so as to emit each once.
+HELD = 200_000
 
 # Words that announce identity numbers and telephones (seed patterns), numbering plans, currencies, street words, spelled signs.
 ID_WORDS = ("cin", "id card", "carte d'identité", "carte d'identité n°", "passport", "passeport", "passeport n°", "cnss", "sécurité sociale", "بطاقة تعريف عدد", "بطاقة التعريف الوطنية", "بطاقة تعريف", "جواز سفر عدد", "الجواز", "جواز السفر", "ب.ت.و", "الضمان الاجتماعي عدد")
@@ -78,9 +79,20 @@ def _blank(text: str, spans: list[tuple[int, int]]) -> str:
 
 def before(text: str, at: int, most: int = 3) -> list[str]:
     """The announcing patterns of position ``at``: the one, two and three tokens before it
-    in its line, in lower case, without outer colons, commas, brackets and quotes."""
-    tokens = [t for t in (x.strip(_OUTER) for x in text[max(0, at - 80) : at].rpartition("\n")[2].lower().split()) if t]
-    return [" ".join(tokens[-n:]) for n in range(1, min(most, len(tokens)) + 1)] or ["^"]
+    in its line, in lower case, without outer colons, commas, brackets and quotes. Only as much of the
+    line is read as these tokens take, however far away they stand."""
+    reach = 80
+    while True:
+        part = text[max(0, at - reach) : at]
+        line = part.rpartition("\n")[2]
+        whole = len(line) < len(part) or reach >= at
+        words = line.lower().split()
+        if not whole and line and not line[0].isspace():
+            words = words[1:]  # may be cut
+        tokens = [t for t in (x.strip(_OUTER) for x in words) if t]
+        if whole or len(tokens) >= most:
+            return [" ".join(tokens[-n:]) for n in range(1, min(most, len(tokens)) + 1)] or ["^"]
+        reach *= 4
 
 
 AT_HINT = re.compile(rf"@|[\[({{]\s?at|\s{AT_WORD}\s", re.IGNORECASE)
@@ -144,67 +156,81 @@ def _spots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": pdf["doc_id"], "masked": [t for t, _ in got], "spots": [x for _, x in got]})
 
 
-def _seed_contexts(given: set[str], family: set[str]):
+def _seed_contexts(given: WordSieve, family: WordSieve):
+    """Patterns before pairs of words that may be listed names."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[tuple[str, str]] = set()
+        seen: set[tuple[str, str, str]] = set()
         for pdf in batches:
             for t in pdf["masked"]:
-                if given.isdisjoint(WORD.findall(t.lower())):
+                if not given.among(WORD.findall(t.lower())):
                     continue
-                for g, f, a, _ in names_in(t, lambda x, _: x in given):
-                    if f.lower() in family:
-                        seen.update((p, f"{g} {f}".lower()) for p in before(t, a))
+                for g, f, a, _ in names_in(t, lambda x, _: given.limit(x)):
+                    if family.limit(f.lower()):
+                        seen.update((p, g.lower(), f.lower()) for p in before(t, a))
+            if len(seen) >= HELD:
+                yield pd.DataFrame(sorted(seen), columns=["pattern", "g", "f"])
+                seen.clear()
         if seen:
-            yield pd.DataFrame(sorted(seen), columns=["pattern", "instance"])
+            yield pd.DataFrame(sorted(seen), columns=["pattern", "g", "f"])
 
     return run
 
 
-def _followers(limits: dict[str, int]):
+def _followers(patterns: WordSieve, last: WordSieve):
     """The different word pairs that follow a pattern. A mapper stops collecting beyond the
     pattern's limit, as so many rule it out whatever the other mappers find."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[str, set[str]] = {}
         full: set[str] = set()
-        last = Counter(p.split(" ")[-1] for p in limits)
+        held = 0
+
+        def out() -> pd.DataFrame:
+            return pd.DataFrame([(p, x) for p, own in found.items() for x in own], columns=["pattern", "instance"])
+
         for pdf in batches:
             for t in pdf["masked"]:
                 for line in t.lower().split("\n"):
                     w = [x for y in line.split() if (x := y.strip(_OUTER))]
+                    if not last.among(w):
+                        continue
                     for i, x in enumerate(w):
-                        if x not in last:
+                        if x not in last.hits:
                             continue
                         for k in range(1, min(3, i + 1) + 1):
                             p = " ".join(w[i - k + 1 : i + 1])
-                            if p in limits and p not in full:
-                                own = found.setdefault(p, set())
-                                own.add(" ".join(w[i + 1 : i + 3]))
-                                if len(own) > limits[p]:
-                                    full.add(p)
-                                    last[x] -= 1
-                        if not last[x]:
-                            del last[x]
+                            if p in full or not (most := patterns.limit(p)):
+                                continue
+                            own = found.setdefault(p, set())
+                            n = len(own)
+                            own.add(" ".join(w[i + 1 : i + 3]))
+                            held += len(own) - n
+                            if len(own) > most:
+                                full.add(p)
+            if held >= HELD:
+                yield out()
+                found.clear()
+                held = 0
         if found:
-            yield pd.DataFrame([(p, x) for p, own in found.items() for x in own], columns=["pattern", "instance"])
+            yield out()
 
     return run
 
 
-def _slots(patterns: dict[str, int]):
-    last = {x[-1] for p in patterns if (x := WORD.findall(p))}
+def _slots(patterns: WordSieve, last: WordSieve):
+    """Pairs of words after what may be a pattern."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for d, t in zip(pdf["doc_id"], pdf["masked"], strict=True):
-                if last.isdisjoint(WORD.findall(t.lower())):
+                if not last.among(WORD.findall(t.lower())):
                     continue
-                for g, f, a, _ in names_in(t, lambda _, y: y in last):
-                    if any(x in patterns for x in before(t, a)):
-                        rows.append((d, a, g.lower(), f.lower()))
+                for g, f, a, _ in names_in(t, lambda _, y: last.limit(y)):
+                    rows += [(d, a, g.lower(), f.lower(), x) for x in before(t, a) if patterns.limit(x)]
             if rows:
-                yield pd.DataFrame(rows, columns=["doc_id", "start_pos", "g", "f"])
+                yield pd.DataFrame(rows, columns=["doc_id", "start_pos", "g", "f", "pattern"])
 
     return run
 
@@ -213,26 +239,30 @@ def _capital(word: str) -> bool:
     return word.isascii() and all(x[:1].isupper() for x in word.split())
 
 
-def _totals(counted: dict[str, int]):
+def _totals(counted: WordSieve):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for h, t in zip(pdf["h"], pdf["masked"], strict=True):
-                rows += [(w, h, n) for w, n in Counter(w for w in WORD.findall(t.lower()) if w in counted).items()]
+                w = WORD.findall(t.lower())
+                if counted.among(w):
+                    rows += [(x, h, n) for x, n in Counter(x for x in w if x in counted.hits).items()]
             if rows:
                 yield pd.DataFrame(rows, columns=["f", "h", "total"])
 
     return run
 
 
-def _pairs(given: dict[str, int]):
+def _pairs(given: WordSieve):
+    """Pairs of words of which the first may be a given name."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for d, h, t in zip(pdf["doc_id"], pdf["h"], pdf["masked"], strict=True):
-                if given.keys().isdisjoint(WORD.findall(t.lower())):
+                if not given.among(WORD.findall(t.lower())):
                     continue
-                for g, f, a, b in names_in(t, lambda x, _: x in given):
+                for g, f, a, b in names_in(t, lambda x, _: given.limit(x)):
                     sure = (" " in f and f.split(" ")[0].lower() in BEN) or (_capital(g) and _capital(f) and len(f) > 2)
                     rows.append((d, h, a, b, g.lower(), f.lower(), sure))
             if rows:
@@ -241,21 +271,7 @@ def _pairs(given: dict[str, int]):
     return run
 
 
-def _each(words: DataFrame, column: str, run: Callable[[dict[str, int]], DataFrame], value: str | None = None) -> DataFrame:
-    """The union of ``run`` over the distinct values of a column, as dictionaries of some
-    ``DICTIONARY`` values at most that go to the mappers; each value is in one of them,
-    with the greatest ``value`` of its rows."""
-    own = words.groupBy(column).agg(F.max(value or F.lit(0)).alias("_v"))
-    blocks = max(1, -(-own.count() // DICTIONARY))
-    block = F.pmod(F.xxhash64(column), F.lit(blocks))
-    parts = [run({r[0]: r[1] for r in (own if blocks == 1 else own.where(block == i)).collect()}) for i in range(blocks)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def number_kinds(numbers: DataFrame) -> DataFrame:
+def number_kinds(numbers: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``(doc_id, start_pos, end_pos, kind)`` of numbers announced as, or shaped like, a
     phone or an identity number.
 
@@ -274,18 +290,18 @@ def number_kinds(numbers: DataFrame) -> DataFrame:
     seeds = numbers.sparkSession.createDataFrame([(w, "id_number") for w in ID_WORDS] + [(w, "phone") for w in PHONE_WORDS], "pattern string, kind string")
     edges = numbers.select("doc_id", "start_pos", "value", "shape", F.posexplode("patterns").alias("k", "pattern"))
     edges = materialize(edges.withColumn("id_like", (strong_id | (eight & lead)).cast("int")).withColumn("phone_like", (strong_phone | (eight & ~lead)).cast("int")).withColumn("strong", strong_phone.cast("int")), "pii-edges")
+    flat = edges.groupBy("pattern", "value").agg(*[F.max(c).alias(c) for c in ("id_like", "phone_like", "strong")], F.max(F.when(F.col("shape") == "amount", 0).otherwise(F.col("phone_like"))).alias("phone"))
+    flat = materialize(flat, "pii-pattern-values")  # copies count once
     known = seeds
-    for i in range(ROUNDS):
+    for i in range(rounds):
         flags = [F.max((F.col("kind") == k).cast("int")).alias(c) for k, c in (("id_number", "b_id"), ("phone", "b_phone"))]
-        believed = edges.join(known, "pattern").groupBy("value").agg(*flags)
-        e = edges.join(believed, "value", "left").fillna(0, ["b_id", "b_phone"])
-        e = e.groupBy("pattern", "value").agg(*[F.max(c).alias(c) for c in ("id_like", "phone_like", "strong", "b_id", "b_phone")])  # copies count once
+        believed = flat.join(known, "pattern").groupBy("value").agg(*flags)
+        e = flat.join(believed, "value", "left").fillna(0, ["b_id", "b_phone"])
         s = e.groupBy("pattern").agg(F.count("*").alias("n"), F.avg(F.greatest("id_like", "b_id")).alias("id"), F.avg(F.greatest("phone_like", "b_phone")).alias("phone"), F.avg(F.greatest("strong", "b_phone")).alias("strong"))
         kind = F.when((F.col("id") >= PATTERN_SHARE) & (F.col("strong") < 0.1) & (F.col("n") >= ID_LEAST), F.lit("id_number")).when((F.col("phone") >= PATTERN_SHARE) & (F.col("strong") >= 0.1), F.lit("phone"))
         found = s.where(F.col("n") >= PATTERN_LEAST).select("pattern", kind.alias("kind")).where("kind is not null and pattern <> '^'")
         known = materialize(seeds.unionByName(found.join(seeds.select("pattern"), "pattern", "left_anti")), f"pii-patterns-{i}")
-    values = edges.groupBy("pattern", "value").agg(F.max(F.when(F.col("shape") == "amount", 0).otherwise(F.col("phone_like"))).alias("phone"))  # copies count once
-    others = values.groupBy("pattern").agg(F.count("*").alias("n"), F.avg("phone").alias("phone")).where((F.col("n") >= PATTERN_LEAST) & (F.col("phone") < PATTERN_SHARE) & (F.col("pattern") != "^"))
+    others = flat.groupBy("pattern").agg(F.count("*").alias("n"), F.avg("phone").alias("phone")).where((F.col("n") >= PATTERN_LEAST) & (F.col("phone") < PATTERN_SHARE) & (F.col("pattern") != "^"))
     others = others.join(known, "pattern", "left_anti").select("pattern", F.lit("other").alias("kind"))
     judged = edges.join(known.unionByName(others), "pattern", "left").groupBy("doc_id", "start_pos").agg(F.max(F.when(F.col("kind") != "other", F.struct("k", "kind"))).alias("best"), F.max((F.col("kind") == "other") & (F.col("k") == 0)).alias("other"))
     r = numbers.join(judged, ["doc_id", "start_pos"])
@@ -294,47 +310,49 @@ def number_kinds(numbers: DataFrame) -> DataFrame:
     return r.select("doc_id", "start_pos", "end_pos", out.alias("kind")).where("kind is not null")
 
 
-def name_spans(texts: DataFrame, name_list: DataFrame) -> DataFrame:
+def name_spans(texts: DataFrame, name_list: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``(doc_id, start_pos, end_pos)`` of given names followed by family names in
     ``texts (doc_id, masked)``.
 
     Seeds are pairs of listed names. The words before them are patterns; one is accepted
     if its share of seeds among the different word pairs after it is high (copies count once). The pairs that accepted
     patterns announce form the graph: a word after a known given name becomes a family
-    name, a word before known family names a given name, over ``ROUNDS`` rounds. Pairs of
+    name, a word before known family names a given name, over ``rounds`` rounds. Pairs of
     known names count anywhere, if a discovered name mostly stands in names; so does a
-    known given name before ``ben`` and a word, or, in Latin letters, before a capital."""
-    spark = texts.sparkSession
+    known given name before ``ben`` and a word, or, in Latin letters, before a capital.
+
+    Mappers look for names and patterns by sieves of a fixed size, and what they find is joined
+    with the tables of names and patterns; these may have any size."""
     names = name_list.where("name is not null").select(F.lower(F.trim("name")).alias("name"), "name_kind").distinct()
-    rows = [(r[0], r[1]) for r in names.limit(DICTIONARY + 1).collect()]
-    if len(rows) > DICTIONARY:
-        raise ValueError(f"a name list of more than {DICTIONARY} names")
-    given, family = {n for n, k in rows if k == "given"}, {n for n, k in rows if k == "family"}
-    seeds = materialize(texts.select("masked").mapInPandas(_seed_contexts(given, family), "pattern string, instance string").groupBy("pattern").agg(F.count_distinct("instance").alias("seeds")).where(F.col("seeds") >= NAME_LEAST), "pii-seeds")
-    totals = _each(seeds.withColumn("limit", F.ceil(F.col("seeds") / NAME_SHARE)), "pattern", lambda w: texts.select("masked").mapInPandas(_followers(w), "pattern string, instance string"), "limit").groupBy("pattern").agg(F.count_distinct("instance").alias("total"))
+    given, family = (names.where(F.col("name_kind") == k).select(F.col("name").alias(c)) for k, c in (("given", "g"), ("family", "f")))
+    found = texts.select("masked").mapInPandas(_seed_contexts(word_sieve(given, "g"), word_sieve(family, "f")), "pattern string, g string, f string")
+    seeds = found.distinct().join(given, "g").join(family, "f").groupBy("pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= NAME_LEAST)
+    last = lambda d: word_sieve(d.select(F.element_at(F.split("pattern", " "), -1).alias("w")), "w")
+    seeds = materialize(seeds.withColumn("most", F.ceil(F.col("seeds") / NAME_SHARE)), "pii-seeds")
+    totals = texts.select("masked").mapInPandas(_followers(word_sieve(seeds, "pattern", "most"), last(seeds)), "pattern string, instance string").distinct().groupBy("pattern").agg(F.count("*").alias("total"))
     good = materialize(seeds.join(totals, "pattern").where((F.col("seeds") >= NAME_SHARE * F.col("total")) & (F.col("pattern") != "^")), "pii-name-patterns")
     kind = dict(texts.dtypes)["doc_id"]
-    slots = _each(good, "pattern", lambda w: texts.mapInPandas(_slots(w), f"doc_id {kind}, start_pos int, g string, f string")).distinct()
-    slots = materialize(slots, "pii-slots")
-    gs = spark.createDataFrame([(n,) for n in sorted(given)], "g string")
-    fs = spark.createDataFrame([(n,) for n in sorted(family)], "f string")
-    for i in range(ROUNDS):
-        seen = slots.select("g", "f").distinct().join(gs.withColumn("kg", F.lit(1)), "g", "left").join(fs.withColumn("kf", F.lit(1)), "f", "left").fillna(0, ["kg", "kf"])
+    ends = word_sieve(good.select(F.regexp_extract("pattern", r"([\p{L}]+(?:['’][\p{L}]+)*)[^\p{L}]*$", 1).alias("w")).where("w <> ''"), "w")
+    slots = texts.mapInPandas(_slots(word_sieve(good, "pattern"), ends), f"doc_id {kind}, start_pos int, g string, f string, pattern string")
+    slots = materialize(slots.join(good.select("pattern"), "pattern").select("g", "f").distinct(), "pii-slots")
+    gs, fs = given, family
+    for i in range(rounds):
+        seen = slots.join(gs.withColumn("kg", F.lit(1)), "g", "left").join(fs.withColumn("kf", F.lit(1)), "f", "left").fillna(0, ["kg", "kf"])
         ben = F.col("f").rlike(r"^(?:ben|بن)\s")
         new_f = seen.groupBy("f").agg(F.avg("kg").alias("share")).where("share >= 0.5").select("f")
         new_g = seen.groupBy("g").agg(F.avg(F.greatest("kf", ben.cast("int"))).alias("share"), F.sum(F.greatest("kf", ben.cast("int"))).alias("n")).where("share >= 0.3 and n >= 2").select("g")
         gs, fs = materialize(gs.union(new_g).distinct(), f"pii-given-{i}"), materialize(fs.union(new_f).distinct(), f"pii-family-{i}")
     new = materialize(fs.join(names.select(F.col("name").alias("f")), "f", "left_anti").where("f not like '% %'"), "pii-new-names")
     hashed = texts.select("doc_id", "masked", F.xxhash64("masked").alias("h"))  # copies count once
-    pairs = _each(gs, "g", lambda w: hashed.mapInPandas(_pairs(w), f"doc_id {kind}, h bigint, start_pos int, end_pos int, g string, f string, sure boolean"))
-    totals = _each(new, "f", lambda w: hashed.select("h", "masked").mapInPandas(_totals(w), "f string, h bigint, total bigint")).distinct().groupBy("f").agg(F.sum("total").alias("total"))
+    pairs = hashed.mapInPandas(_pairs(word_sieve(gs, "g")), f"doc_id {kind}, h bigint, start_pos int, end_pos int, g string, f string, sure boolean").join(gs, "g")
+    totals = hashed.select("h", "masked").mapInPandas(_totals(word_sieve(new, "f")), "f string, h bigint, total bigint").join(new, "f").distinct().groupBy("f").agg(F.sum("total").alias("total"))
     real = materialize(pairs.join(fs.withColumn("kf", F.lit(True)), "f", "left").where(F.col("sure") | F.col("kf")), "pii-pairs")
     inside = real.select("f", "h", "start_pos").distinct().groupBy("f").agg(F.count("*").alias("inside"))
     doubtful = totals.join(inside, "f").where(F.col("inside") < OWN_SHARE * F.col("total")).select("f")
     return real.join(doubtful, "f", "left_anti").select("doc_id", "start_pos", "end_pos")
 
 
-def entities(documents: DataFrame, name_list: DataFrame) -> DataFrame:
+def entities(documents: DataFrame, name_list: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``(doc_id, kind, start_pos, end_pos)`` of the personal data in ``documents``, in code
     points from 0, the announcing words not included.
 
@@ -345,8 +363,8 @@ def entities(documents: DataFrame, name_list: DataFrame) -> DataFrame:
     read = materialize(texts.mapInPandas(_spots, f"doc_id {dict(documents.dtypes)['doc_id']}, masked string, spots array<{spot}>"), "pii-masked")
     spots = read.select("doc_id", F.explode("spots").alias("x")).select("doc_id", "x.*").distinct()
     plain = spots.where("shape in ('email', 'address')").select("doc_id", F.col("shape").alias("kind"), "start_pos", "end_pos")
-    numbers = number_kinds(spots.where("shape not in ('email', 'address')")).select("doc_id", "kind", "start_pos", "end_pos")
-    names = name_spans(read.select("doc_id", "masked"), name_list).select("doc_id", F.lit("name").alias("kind"), "start_pos", "end_pos")
+    numbers = number_kinds(spots.where("shape not in ('email', 'address')"), rounds).select("doc_id", "kind", "start_pos", "end_pos")
+    names = name_spans(read.select("doc_id", "masked"), name_list, rounds).select("doc_id", F.lit("name").alias("kind"), "start_pos", "end_pos")
     return plain.unionByName(numbers).unionByName(names).distinct()
 
 
@@ -355,25 +373,36 @@ def found(documents: DataFrame, name_list: DataFrame) -> DataFrame:
     return entities(documents, name_list).select("doc_id", "kind", F.col("start_pos").cast("bigint").alias("start_pos"))
 
 
+def placeholders(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Spans that overlap as one, of the kind of the one that begins first (ties: the longer one),
+    so that nothing found is left in the text."""
+    out: list[tuple[int, int, str]] = []
+    for a, b, kind in sorted(spans, key=lambda s: (s[0], -s[1], s[2])):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]), out[-1][2])
+        else:
+            out.append((a, b, kind))
+    return out
+
+
 def replace_spans(text: str, spans: list[tuple[int, int, str]]) -> str:
-    """The text with ``[KIND]`` in the stead of each span; of overlapping spans the earlier, longer one counts."""
+    """The text with ``[KIND]`` in the stead of each span; overlapping ones share one placeholder."""
     out, at = [], 0
-    for a, b, kind in sorted(spans, key=lambda s: (s[0], -s[1], s[2])):
-        if a >= at:
-            out += [text[at:a], f"[{kind.upper()}]"]
-            at = b
+    for a, b, kind in placeholders(spans):
+        out += [text[at:a], f"[{kind.upper()}]"]
+        at = b
     return "".join([*out, text[at:]])
 
 
 def _replacer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        text = [t if s is None or t is None else replace_spans(t, [(x["start_pos"], x["end_pos"], x["kind"]) for x in s]) for t, s in zip(pdf["text"], pdf["spans"], strict=True)]
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": text, "replaced": [0 if s is None else len(s) for s in pdf["spans"]]})
+        spans = [[] if s is None else [(x["start_pos"], x["end_pos"], x["kind"]) for x in s] for s in pdf["spans"]]
+        text = [t if t is None or not s else replace_spans(t, s) for t, s in zip(pdf["text"], spans, strict=True)]
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": text, "replaced": [len(placeholders(s)) for s in spans]})
 
 
 def redacted(documents: DataFrame, name_list: DataFrame) -> DataFrame:
-    """``(doc_id, text, replaced)``: every document with typed placeholders and the number of
-    places found. The spans of one document, bounded by its length, meet in one row."""
+    """``(doc_id, text, replaced)``: every document with typed placeholders and their number. The spans of one document, bounded by its length, meet in one row."""
     spans = entities(documents, name_list).groupBy("doc_id").agg(F.collect_list(F.struct("start_pos", "end_pos", "kind")).alias("spans"))
     own = documents.select("doc_id", "text").join(spans, "doc_id", "left")
     return own.mapInPandas(_replacer, f"doc_id {dict(documents.dtypes)['doc_id']}, text string, replaced int")
