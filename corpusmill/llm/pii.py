@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -109,18 +109,22 @@ def masked(text: str) -> tuple[str, list[tuple[int, int]]]:
     return (_blank(t, [m.span() for m in URL.finditer(t)]) if "://" in t or "ww." in t.lower() else t), emails
 
 
-def names_in(text: str, first: Callable[[str, str], bool]) -> Iterator[tuple[str, str, int, int]]:
+def names_in(text: str, sieve: WordSieve, back: int = 0) -> Iterator[tuple[str, str, int, int]]:
     """Adjacent words ``(first, second, from, to)`` that could be a given and a family name;
-    ``ben`` and its Arabic form belong to the word after them. ``first`` says of a word and
-    the one before it, both in lower case, whether a pair may begin with it."""
+    ``ben`` and its Arabic form belong to the word after them. A pair may begin with a word that is in
+    the sieve or, with ``back`` 1, that comes after one."""
+    if not sieve.among(WORD.findall(text.lower())):
+        return
     w = [(m.group(), m.start(), m.end()) for m in WORD.finditer(text)]
     low = [x[0].lower() for x in w]
+    sieve.among(low)
+    hits = sieve.hits
 
     def near(i: int) -> bool:
         return i + 1 < len(w) and 0 < w[i + 1][1] - w[i][2] <= 2 and not text[w[i][2] : w[i + 1][1]].strip(" \t\xa0")
 
-    for i in range(len(w) - 1):
-        if first(low[i], low[i - 1] if i else "") and near(i):
+    for i in range(back, len(w) - 1):
+        if low[i - back] in hits and near(i):
             second, end = w[i + 1][0], w[i + 1][2]
             if low[i + 1] in BEN:
                 if not near(i + 1):
@@ -163,9 +167,7 @@ def _seed_contexts(given: WordSieve, family: WordSieve):
         seen: set[tuple[str, str, str]] = set()
         for pdf in batches:
             for t in pdf["masked"]:
-                if not given.among(WORD.findall(t.lower())):
-                    continue
-                for g, f, a, _ in names_in(t, lambda x, _: given.limit(x)):
+                for g, f, a, _ in names_in(t, given):
                     if family.limit(f.lower()):
                         seen.update((p, g.lower(), f.lower()) for p in before(t, a))
             if len(seen) >= HELD:
@@ -225,9 +227,7 @@ def _slots(patterns: WordSieve, last: WordSieve):
         for pdf in batches:
             rows = []
             for d, t in zip(pdf["doc_id"], pdf["masked"], strict=True):
-                if not last.among(WORD.findall(t.lower())):
-                    continue
-                for g, f, a, _ in names_in(t, lambda _, y: last.limit(y)):
+                for g, f, a, _ in names_in(t, last, 1):
                     rows += [(d, a, g.lower(), f.lower(), x) for x in before(t, a) if patterns.limit(x)]
             if rows:
                 yield pd.DataFrame(rows, columns=["doc_id", "start_pos", "g", "f", "pattern"])
@@ -260,9 +260,7 @@ def _pairs(given: WordSieve):
         for pdf in batches:
             rows = []
             for d, h, t in zip(pdf["doc_id"], pdf["h"], pdf["masked"], strict=True):
-                if not given.among(WORD.findall(t.lower())):
-                    continue
-                for g, f, a, b in names_in(t, lambda x, _: given.limit(x)):
+                for g, f, a, b in names_in(t, given):
                     sure = (" " in f and f.split(" ")[0].lower() in BEN) or (_capital(g) and _capital(f) and len(f) > 2)
                     rows.append((d, h, a, b, g.lower(), f.lower(), sure))
             if rows:

@@ -50,30 +50,30 @@ def word_key(c: Column | str) -> Column:
 
 class WordSieve:
     """Membership of words, with the greatest limit of the members of a word's slot (1 where
-    there are no limits, 0 for words that are surely no members); answers are remembered."""
+    there are no limits, 0 for words that are surely no members). Answers are remembered; ``hits`` are
+    the words of the last ``among``, and some before it, that may be members."""
 
     def __init__(self, limits: np.ndarray):
-        self.limits, self.known, self.hits = limits, set(), {}
+        self.limits, self.known, self.hits = limits, {}, set()
 
     def __reduce__(self):
         return WordSieve, (self.limits,)
 
     def limit(self, word: str) -> int:
-        if word not in self.known:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear(), self.hits.clear()
-            self.known.add(word)
+        n = self.known.get(word)
+        if n is None:
             n = int(self.limits[word_hash(word) & (len(self.limits) - 1)])
-            if n:
-                self.hits[word] = n
-        return self.hits.get(word, 0)
+            if len(self.known) < REMEMBERED:
+                self.known[word] = n
+        return n
 
     def among(self, words: list[str]) -> bool:
         """Whether any of the words may be a member."""
+        if len(self.known) >= REMEMBERED:
+            self.known, self.hits = {}, set()
         own = set(words)
-        for w in own - self.known:
-            self.limit(w)
-        return not self.hits.keys().isdisjoint(own)
+        self.hits.update(w for w in own.difference(self.known) if self.limit(w))
+        return not self.hits.isdisjoint(own)
 
 
 def word_sieve(words: DataFrame, column: str, limit: str | None = None, slots: int = SLOTS) -> WordSieve:
