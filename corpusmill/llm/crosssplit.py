@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import materialize, norm_key, norm_split, strip_ws
+from .sieve import Sieve, sieve_of
 
 #: Characters per shingle, bands, and minwise hashes per band. A pair of Jaccard
-#: similarity s shares a bucket with probability 1-(1-s^ROWS)^BANDS: 0.95 at 0.5, 0.99 at 0.55.
-SHINGLE, BANDS, ROWS = 3, 48, 4
+#: similarity s shares a bucket with probability 1-(1-s^ROWS)^BANDS: 0.94 at 0.4, 0.999 at 0.5.
+SHINGLE, BANDS, ROWS = 3, 112, 4
 _U = np.uint64
 
 
@@ -79,13 +80,24 @@ def sketches(texts: list[str], q: int = 2, words: int = 4) -> np.ndarray:
     return out
 
 
-def _bander(q: int, bands: int, rows: int):
+def _sketcher(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for lo in range(0, len(pdf), 2000):
+            part = pdf.iloc[lo : lo + 2000].reset_index(drop=True)
+            texts = part["text"].tolist()
+            yield part.assign(n=[len(t) for t in texts], sketch=list(sketches(texts).view(np.int64)))
+
+
+def _bander(q: int, bands: int, rows: int, sieve: Sieve | None):
+    """The buckets of each text that the sieve lets through."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lo in range(0, len(pdf), 2000):
                 part = pdf.iloc[lo : lo + 2000].reset_index(drop=True)
-                texts = part["text"].tolist()
-                yield part.assign(sketch=list(sketches(texts).view(np.int64)), buckets=list(band_keys(texts, q, bands, rows)))
+                keys = band_keys(part["text"].tolist(), q, bands, rows)
+                hit = np.ones(keys.shape, bool) if sieve is None else sieve.has(keys.view(_U))
+                yield part[["text_id", "n"]].assign(buckets=[k[h] for k, h in zip(keys, hit, strict=True)])
 
     return run
 
@@ -108,43 +120,53 @@ def overlapping_texts(
 
     ``rows``: ``(id, split, text)``. Returns ``(members, pairs)``: ``members`` is
     ``(id, split, text, text_id)`` of all rows of either side, written to the
-    shared folder; ``pairs`` is ``(train_text, eval_text, jaccard, edits)`` by
-    ``text_id``, each confirmed by the exact edit distance in code points or, if
+    shared folder; ``pairs`` is ``(train_text, eval_text, tt, et, jaccard, edits)``, the
+    ``text_id`` and the text of both, each confirmed by the exact edit distance in code points or, if
     ``max_edit_share`` is None, by the exact Jaccard similarity of the shingle sets
     (``min_jaccard``). Edits can leave repetitive texts less than 0.2 of it, and a
     bucket seldom holds such a pair.
 
     Copies are collapsed before hashing, so a text that holds a third of all rows
     is one entry; buckets join train with evaluation entries only, and AQE splits
-    a hot bucket. Rows with a null id, split or text are left out; an empty table
-    gives no pair; repeated rows count once; texts are used whole.
+    a hot bucket. Train buckets pass a sieve of the evaluation buckets first, of a fixed size,
+    which drops most that have no partner while the evaluation side is small. Lengths and
+    sketches rule most candidates out without loss before any text is fetched. Texts are
+    told apart by themselves, not by their numbers. Rows with a null id, split or text are
+    left out; an empty table gives no pair; repeated rows count once; texts are used whole.
     """
     sides = rows.where(F.col("split").isin(*train, *evaluation) & F.col("id").isNotNull() & F.col("text").isNotNull())
     members = materialize(sides.select("id", "split", "text", F.xxhash64("text").alias("text_id")).distinct(), "crosssplit-members")
     texts = members.groupBy("text_id", "text").agg(F.max(F.col("split").isin(*train)).alias("in_train"), F.max(F.col("split").isin(*evaluation)).alias("in_eval"))
-    texts = materialize(texts.mapInPandas(_bander(q, bands, band_rows), "text_id bigint, text string, in_train boolean, in_eval boolean, sketch array<bigint>, buckets array<bigint>"), "crosssplit-texts")
-    left = texts.where("in_train").select(F.col("text_id").alias("train_text"), F.explode("buckets").alias("bucket"))
-    right = texts.where("in_eval").select(F.col("text_id").alias("eval_text"), F.explode("buckets").alias("bucket"))
-    cand = left.join(right, "bucket").select("train_text", "eval_text").distinct()  # a bucket's number holds its band
-    n = F.length("text")
-    t = texts.where("in_train").select(F.col("text_id").alias("train_text"), F.col("text").alias("tt"), n.alias("tn"), F.col("sketch").alias("ts"))
-    e = texts.where("in_eval").select(F.col("text_id").alias("eval_text"), F.col("text").alias("et"), n.alias("en"), F.col("sketch").alias("es"))
-    if max_edit_share is not None:  # lengths and sketches rule most candidates out without loss, before any text is fetched
-        most = F.floor(F.greatest("tn", "en") * max_edit_share)
+    texts = materialize(texts.mapInPandas(_sketcher, "text_id bigint, text string, in_train boolean, in_eval boolean, n int, sketch array<bigint>"), "crosssplit-texts")
+
+    def keys(side: str, of: str, size: str, sieve: Sieve | None) -> DataFrame:
+        d = texts.where(side).select("text_id", "n", "text").mapInPandas(_bander(q, bands, band_rows, sieve), "text_id bigint, n int, buckets array<bigint>")
+        return d.select(F.col("text_id").alias(of), F.col("n").alias(size), F.explode("buckets").alias("bucket"))
+
+    right = keys("in_eval", "eval_text", "en", None)
+    left = keys("in_train", "train_text", "tn", sieve_of(right, "bucket"))
+    cand = left.join(right, "bucket")  # a bucket's number holds its band
+    most = F.floor(F.greatest("tn", "en") * max_edit_share) if max_edit_share is not None else None
+    if most is not None:
+        cand = cand.where(F.abs(F.col("tn") - F.col("en")) <= most)
+    cand = cand.select("train_text", "eval_text").distinct()
+    t = texts.where("in_train").select(F.col("text_id").alias("train_text"), F.col("text").alias("tt"), F.col("n").alias("tn"), F.col("sketch").alias("ts"))
+    e = texts.where("in_eval").select(F.col("text_id").alias("eval_text"), F.col("text").alias("et"), F.col("n").alias("en"), F.col("sketch").alias("es"))
+    if most is not None:
         differ = sum((F.bit_count(F.col("ts")[i].bitwiseXOR(F.col("es")[i])) for i in range(4)), F.lit(0))
-        cand = cand.join(t.drop("tt"), "train_text").join(e.drop("et"), "eval_text").where(F.abs(F.col("tn") - F.col("en")) <= most)
-        cand = cand.where((differ <= 4 * most) | (F.least("tn", "en") < 2)).select("train_text", "eval_text")
+        cand = cand.join(t.drop("tt"), "train_text").join(e.drop("et"), "eval_text")
+        cand = cand.where((differ <= 4 * most) | (F.least("tn", "en") < 2)).select("train_text", "eval_text").distinct()
     both = cand.join(t.drop("ts"), "train_text").join(e.drop("es"), "eval_text")
     distance = F.levenshtein("tt", "et")
-    if max_edit_share is not None:
-        both = both.where(distance <= F.floor(F.greatest("tn", "en") * max_edit_share))
+    if most is not None:
+        both = both.where(distance <= most)
     both = materialize(both.select("train_text", "eval_text", "tt", "et", distance.alias("edits")), "crosssplit-verified")
     both = both.withColumn("tg", _grams(F.col("tt"), q)).withColumn("eg", _grams(F.col("et"), q))
     common = F.size(F.array_intersect("tg", "eg"))
     both = both.withColumn("jaccard", common / (F.size("tg") + F.size("eg") - common))
-    if max_edit_share is None:  # a confirmed edit distance stands at any similarity: repetitive texts have few shingles
+    if most is None:  # a confirmed edit distance stands at any similarity: repetitive texts have few shingles
         both = both.where(F.col("jaccard") >= min_jaccard)
-    return members, both.select("train_text", "eval_text", "jaccard", "edits")
+    return members, both.select("train_text", "eval_text", "tt", "et", "jaccard", "edits")
 
 
 def segments(df: DataFrame, min_words: int = 8) -> DataFrame:
@@ -155,22 +177,26 @@ def segments(df: DataFrame, min_words: int = 8) -> DataFrame:
     return s.where(F.size(F.split("text", " ")) >= min_words)
 
 
-def found(df: DataFrame) -> DataFrame:
+def _side(members: DataFrame, splits: tuple[str, ...], text_id: str, text: str, key: str, *more: str) -> DataFrame:
+    return members.where(F.col("split").isin(*splits)).select(F.col("text_id").alias(text_id), F.col("text").alias(text), F.col("id").alias(key), *more)
+
+
+def found(df: DataFrame, train: tuple[str, ...] = ("train",), evaluation: tuple[str, ...] = ("validation", "test")) -> DataFrame:
     """``(audio_id_a, audio_id_b)``: the overlapping segment pairs, smaller id first."""
-    members, pairs = overlapping_texts(segments(df))
-    a = members.where(F.col("split") == "train").select(F.col("text_id").alias("train_text"), F.col("id").alias("ta"))
-    b = members.where(F.col("split") != "train").select(F.col("text_id").alias("eval_text"), F.col("id").alias("eb"))
-    out = pairs.select("train_text", "eval_text").join(b, "eval_text").join(a, "train_text").where(F.col("ta") != F.col("eb"))
+    members, pairs = overlapping_texts(segments(df), train=train, evaluation=evaluation)
+    a, b = _side(members, train, "train_text", "tt", "ta"), _side(members, evaluation, "eval_text", "et", "eb")
+    out = pairs.join(b, ["eval_text", "et"]).join(a, ["train_text", "tt"]).where(F.col("ta") != F.col("eb"))
     return out.select(F.least("ta", "eb").alias("audio_id_a"), F.greatest("ta", "eb").alias("audio_id_b")).distinct()
 
 
-def by_split_and_source(df: DataFrame) -> DataFrame:
+def by_split_and_source(df: DataFrame, train: tuple[str, ...] = ("train",), evaluation: tuple[str, ...] = ("validation", "test")) -> DataFrame:
     """``(split, source, n_pairs, n_segments)``: confirmed pairs and the evaluation
-    segments in them, per evaluation split and source (null is a source of its own).
+    segments in them, per evaluation split and source (null is a source of its own; of a segment
+    delivered with several sources the smallest counts).
     Copies are not expanded: pairs of texts are weighed by their numbers of segments."""
-    members, pairs = overlapping_texts(segments(df))
+    members, pairs = overlapping_texts(segments(df), train=train, evaluation=evaluation)
     source = df.select(norm_key("audio_id").alias("id"), "source").groupBy("id").agg(F.min("source").alias("source"))
-    n_train = members.where(F.col("split") == "train").groupBy(F.col("text_id").alias("train_text")).agg(F.countDistinct("id").alias("n"))
-    per_eval = pairs.join(n_train, "train_text").groupBy("eval_text").agg(F.sum("n").alias("n"))
-    ev = members.where(F.col("split") != "train").select(F.col("text_id").alias("eval_text"), "id", "split").join(source, "id")
-    return ev.join(per_eval, "eval_text").groupBy("split", "source").agg(F.sum("n").alias("n_pairs"), F.countDistinct("id").alias("n_segments"))
+    n_train = _side(members, train, "train_text", "tt", "id").groupBy("train_text", "tt").agg(F.countDistinct("id").alias("n"))
+    per_eval = pairs.join(n_train, ["train_text", "tt"]).groupBy("eval_text", "et").agg(F.sum("n").alias("n"))
+    ev = _side(members, evaluation, "eval_text", "et", "id", "split").join(source, "id")
+    return ev.join(per_eval, ["eval_text", "et"]).groupBy("split", "source").agg(F.sum("n").alias("n_pairs"), F.countDistinct("id").alias("n_segments"))
