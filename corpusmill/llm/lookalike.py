@@ -4,11 +4,12 @@ mapping, grouping under an accent-sensitive Unicode collation, canonical members
 from __future__ import annotations
 
 import functools
+import string
 import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,9 +29,35 @@ BLANKS = "­͏ᅟᅠ឴឵⠀ㅤﾠ"
 # End of fixed values.
 
 
+#: Blocks whose letters are held against the Latin ones: phonetic, Greek to Armenian, Georgian, Cherokee,
+#: letterlike, Coptic, Lisu, extended Cyrillic.
+OTHER_ALPHABETS = (range(0x250, 0x2B0), range(0x370, 0x590), range(0x10A0, 0x1100), range(0x13A0, 0x1400), range(0x1D00, 0x1DC0), range(0x2100, 0x2190), range(0x2C60, 0x2D30), range(0xA4D0, 0xA500), range(0xA640, 0xA6A0), range(0xAB30, 0xABC0))
+_confusable: dict[str, tuple[tuple[int, str], ...]] = {}
+
+
+def confusables(spark: SparkSession) -> tuple[tuple[int, str], ...]:
+    """Letters of ``OTHER_ALPHABETS`` beside the fixed ones, and the Latin letter of the same case that the
+    Unicode data of confusable characters, which the JVM's collation library has, gives the same skeleton."""
+    app = spark.sparkContext.applicationId
+    if app not in _confusable:
+        icu = spark.sparkContext._jvm.com.ibm.icu.text
+        skeleton = getattr(icu, "SpoofChecker$Builder")().build().getSkeleton
+        homes: dict[tuple[str, str], list[str]] = {}
+        for ch in string.ascii_letters + string.digits:
+            homes.setdefault((skeleton(ch), unicodedata.category(ch)), []).append(ch)
+        known, found = _table(), []
+        for c in (c for r in OTHER_ALPHABETS for c in r if c not in known):
+            kind = unicodedata.category(chr(c))
+            home = homes.get((skeleton(chr(c)), {"Lo": "Ll", "Lm": "Ll"}.get(kind, kind)), []) if kind[0] in "LN" else []
+            if len(home) == 1:
+                found.append((c, home[0]))
+        _confusable[app] = tuple(found)
+    return _confusable[app]
+
+
 @functools.cache
-def _table() -> dict[int, str]:
-    """Code point to what it becomes: ranges by rule, then the fixed values."""
+def _table(more: tuple[tuple[int, str], ...] = ()) -> dict[int, str]:
+    """Code point to what it becomes: ranges by rule, then the fixed values, then ``more``."""
     t: dict[int, str] = {}
     folded = [range(0xFF01, 0xFFEF), range(0xFB50, 0xFDFC), range(0xFE70, 0xFEFD), range(0x1D400, 0x1D800), range(0xFB00, 0xFB07)]
     for r in folded:
@@ -51,15 +78,15 @@ def _table() -> dict[int, str]:
         elif k == "Cc":
             t[c] = ""
     t |= {ord(c): "" for c in BLANKS} | {c: "" for c in range(0xE0000, 0xE01F0)}
-    return t
+    return dict(more) | t
 
 
-def canonical_look(text: str) -> str:
+def canonical_look(text: str, table: dict[int, str] | None = None) -> str:
     """The one consistent form of ``text``: equal for texts that look alike.
 
     Vowel marks, dots, hamza, stretching, punctuation and case are kept. White
     space of any kind and width becomes one blank; outer white space goes."""
-    s = unicodedata.normalize("NFC", text).translate(_table())
+    s = unicodedata.normalize("NFC", text).translate(table or _table())
     if YEH in s:  # dotted inside a word, dotless at its end
         out = list(s)
         for i, ch in enumerate(out):
@@ -80,12 +107,17 @@ def _key_table() -> dict[int, int]:
     return {c: 0xF0000 + i for i, c in enumerate(apart)}
 
 
-@F.pandas_udf(T.StructType([T.StructField("look", T.StringType()), T.StructField("key", T.StringType())]))
-def look_of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """``canonical_look`` of each text and its key for grouping."""
-    for s in parts:
-        look = s.map(canonical_look, na_action="ignore")
-        yield pd.DataFrame({"look": look, "key": look.map(lambda t: t.translate(_key_table()), na_action="ignore")})
+def looks(more: tuple[tuple[int, str], ...] = ()):
+    """An Arrow function: ``canonical_look`` of each text and its key for grouping."""
+
+    @F.pandas_udf(T.StructType([T.StructField("look", T.StringType()), T.StructField("key", T.StringType())]))
+    def look_of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        table = _table(more)
+        for s in parts:
+            look = s.map(lambda t: canonical_look(t, table), na_action="ignore")
+            yield pd.DataFrame({"look": look, "key": look.map(lambda t: t.translate(_key_table()), na_action="ignore")})
+
+    return look_of
 
 
 def equivalence_classes(rows: DataFrame) -> DataFrame:
@@ -101,7 +133,7 @@ def equivalence_classes(rows: DataFrame) -> DataFrame:
     aggregate before grouping, so no class is ordered or collected in one task."""
     spark = rows.sparkSession
     one = materialize(rows.select("id", "text").where("id is not null and text is not null").distinct(), "lookalike-rows")
-    texts = materialize(one.select("text").distinct().select("text", look_of("text").alias("x")).select("text", "x.*"), "lookalike-texts")
+    texts = materialize(one.select("text").distinct().select("text", looks(confusables(spark))("text").alias("x")).select("text", "x.*"), "lookalike-texts")
     view = f"lookalike_{id(texts)}"
     texts.createOrReplaceTempView(view)
     classes = spark.sql(
@@ -115,9 +147,9 @@ def equivalence_classes(rows: DataFrame) -> DataFrame:
 
 
 def _pairs(rows: DataFrame, table: str) -> DataFrame:
-    """Pairs of ids whose texts look alike but differ. Only classes with two or more
-    spellings are joined; a class is split by spelling and by a salt of the id, so
-    that a hot class is spread over tasks."""
+    """Pairs of ids whose texts look alike but differ. Only classes with two or more spellings are
+    joined, first spelling with spelling, then each pair of spellings with the ids of either: what is shuffled by
+    one key are the ids of one spelling, of which AQE splits a hot one, as every id of it gives rows of the result."""
     several = materialize(equivalence_classes(rows).where("spellings > 1").select("id", "text", "canonical"), "lookalike-classes")
     spellings = several.select("canonical", "text").distinct()
     a, b = spellings.select("canonical", F.col("text").alias("ta")), spellings.select("canonical", F.col("text").alias("tb"))

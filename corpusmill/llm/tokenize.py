@@ -6,12 +6,14 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 import sys
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 #: Pieces a worker remembers, and characters scanned at a time.
@@ -175,8 +177,8 @@ class Encoder:
             self.cache.clear()
         return ids
 
-    def encode(self, texts: list[str | None]) -> list[tuple[list[int], list[int]]]:
-        """Per text the ids and the offsets: for each id the code point at which its piece begins."""
+    def encode(self, texts: list[str | None], offsets: bool = True) -> list[tuple[list[int], list[int]]]:
+        """Per text the ids and, with ``offsets``, for each id the code point in which its bytes begin."""
         out: list[tuple[list[int], list[int]]] = [([], [])] * len(texts)
         todo, held = [], 0
         for i, t in enumerate(texts):
@@ -184,13 +186,24 @@ class Encoder:
                 todo.append(i)
                 held += len(t)
             if todo and (held >= CHUNK or i == len(texts) - 1):
-                self._chunk([texts[k] for k in todo], todo, out)
+                self._chunk([texts[k] for k in todo], todo, out, offsets)
                 todo, held = [], 0
         if todo:
-            self._chunk([texts[k] for k in todo], todo, out)
+            self._chunk([texts[k] for k in todo], todo, out, offsets)
         return out
 
-    def _chunk(self, texts: list[str], where: list[int], out: list) -> None:
+    def _inside(self, ids: list[int]) -> list[int]:
+        """For the ids of a piece, the code points before each one's first byte that begins one."""
+        if len(ids) == 1:
+            return [0]
+        seen, out = 0, []
+        for i in ids:
+            b = self.back[i]
+            out.append(seen - (b[0] & 0xC0 == 0x80))
+            seen += sum(x & 0xC0 != 0x80 for x in b)
+        return out
+
+    def _chunk(self, texts: list[str], where: list[int], out: list, offsets: bool) -> None:
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
         begin = np.concatenate([[0], np.cumsum(lens)])
         joined = "".join(texts)
@@ -201,16 +214,29 @@ class Encoder:
         for k, i in enumerate(where):
             ids: list[int] = []
             at: list[int] = []
-            for j in range(cut[k], cut[k + 1]):
-                piece = joined[starts_[j] : ends[j]]
+            for a, b in zip(starts_[cut[k] : cut[k + 1]], ends[cut[k] : cut[k + 1]], strict=True):
+                piece = joined[a:b]
                 got = cache.get(piece) or self._ids(piece)
                 ids += got
-                at += [starts_[j] - int(begin[k])] * len(got)
+                if offsets:
+                    first = a - int(begin[k])
+                    at += [first + x for x in self._inside(got)]
             out[i] = (ids, at)
 
+    @functools.cached_property
+    def back(self) -> dict[int, bytes]:
+        return {v: k for k, v in self.ranks.items()}
+
     def decode(self, ids: list[int]) -> str:
-        back = {v: k for k, v in self.ranks.items()}
-        return b"".join(back[i] for i in ids).decode("utf-8", "replace")
+        return b"".join(map(self.back.__getitem__, ids)).decode("utf-8", "replace")
+
+    def decode_between(self, ids: list[int], offsets: list[int], first: int, last: int) -> str:
+        """The code points from ``first`` up to ``last`` of the encoded text, from the ids that
+        hold them; a code point whose bytes are spread over ids is whole if it lies between."""
+        some = [i for i, o in enumerate(offsets) if o < last]
+        lo = max((i for i in some if offsets[i] <= first and self.back[ids[i]][0] & 0xC0 != 0x80), default=0)  # not within a code point
+        text = self.decode(ids[lo : some[-1] + 1]) if some else ""
+        return text[first - offsets[lo] : last - offsets[lo]] if some else ""
 
 
 @functools.cache
@@ -219,7 +245,7 @@ def encoder(path: str) -> Encoder:
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken", folder: str = "/opt/tokenizers") -> str:
-    """The place of a public vocabulary; it must be the same on all executors."""
+    """The place of a public vocabulary on the driver, which gives it to the executors."""
     return f"{folder}/{name}"
 
 
@@ -232,11 +258,13 @@ def encode_column(df: DataFrame, key: str = "doc_id", text: str = "text", path:
     surrogates become U+003F. Repeated rows are encoded each; other columns of
     ``df``, whatever their names, are not read."""
     path = path or vocabulary_path()
+    df.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = encoder(path)
+        e = encoder(SparkFiles.get(name))
         for pdf in batches:
-            got = e.encode(pdf["text"].where(pdf["text"].notna(), None).tolist())
+            got = e.encode(pdf["text"].where(pdf["text"].notna(), None).tolist(), offsets)
             out = {"key": pdf["key"], "ids": pd.Series([a for a, _ in got], index=pdf.index, dtype=object)}
             if offsets:
                 out["offsets"] = pd.Series([b for _, b in got], index=pdf.index, dtype=object)

@@ -113,6 +113,13 @@ def test_lookalike(spark):
     assert lookalike.found(t.limit(0), e.limit(0)).count() == 0
 
 
+def test_confusable_letters(spark):
+    more = dict(lookalike.confusables(spark))
+    assert len(more) > 50 and not set(more) & set(lookalike._table()) and all(v.isascii() and v.isalpha() for v in more.values())
+    d = spark.createDataFrame([("a", "RC \u04ae"), ("b", "\u13a1\u13df Y"), ("c", "rc y")], "id string, text string")
+    assert {r["id"]: r["look"] for r in lookalike.equivalence_classes(d).collect()} == {"a": "RC Y", "b": "RC Y", "c": "rc y"}
+
+
 def test_term_counts(spark):
     rnd = random.Random(1)
     rows = [(f"s{i}", " ".join(rnd.choice("abcdefghij") * rnd.randint(1, 3) for _ in range(rnd.randint(0, 6)))) for i in range(200)]
@@ -269,6 +276,10 @@ def test_tokenizer(spark):
         assert ids == t.encode_ordinary(text)
         assert len(at) == len(ids) and at == sorted(at)
     assert e.decode(e.encode(["مرحبا don't 😀"])[0][0]) == "مرحبا don't 😀"
+    for text in (*texts[:150], "مرحبا don't 😀 ɣ", "😀😀x"):
+        ids, at = e.encode([text])[0]
+        for a in range(0, len(text), 3):
+            assert e.decode_between(ids, at, a, a + 4) == text[a : a + 4]
     d = extra(spark.createDataFrame([(1, "a b"), (2, ""), (3, None), (1, "a b")], "doc_id bigint, text string").withColumnRenamed("ids", "ids_")).drop("ids")
     got = sorted((r["doc_id"], r["ids"]) for r in tokenize.ids(d).collect())
     assert got == [(1, t.encode_ordinary("a b"))] * 2 + [(2, []), (3, [])]
