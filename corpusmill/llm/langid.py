@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import norm_key
@@ -209,18 +209,32 @@ def _tagger(model: Model, segments: bool):
     return run
 
 
-def training_rows(labelled: DataFrame, sample: int = SAMPLE_TEXTS) -> DataFrame:
-    """At most ``sample`` texts of each language of ``labelled (label, text)``, by the
-    smallest hashes: the same rows for the same table, whatever its partitioning. One pass: each
-    task keeps its own smallest of each language before they meet."""
-    w = Window.partitionBy("label").orderBy(F.xxhash64("text"), "text")
-    return labelled.where(F.col("label").isin(*LANGS)).select("label", "text", F.row_number().over(w).alias("_r")).where(F.col("_r") <= sample).drop("_r")
+def training_rows(labelled: DataFrame, sample: int = SAMPLE_TEXTS) -> list[tuple[str, str]]:
+    """At most ``sample`` ``(label, text)`` rows of each language, by the smallest hashes of the texts: the
+    same rows for the same table, whatever its partitioning.
+
+    One pass counts the labels; one more reads the texts whose hash lies below the share of the hashes that should
+    hold the sample with some to spare, copies as one row with their number, so that what reaches the
+    driver is bounded by the sample. Only where copies leave too few is the share raised."""
+    own = labelled.where(F.col("label").isin(*LANGS) & F.col("text").isNotNull()).select("label", "text")
+    n = {r["label"]: r["count"] for r in own.groupBy("label").count().collect()}
+    share, kept = {k: min(1.0, (1.3 * sample + 200) / c) for k, c in n.items()}, {}
+    while share:
+        low = F.lit(False)
+        for k, s in share.items():
+            low = low | ((F.col("label") == k) & (F.col("h") <= F.lit(min((1 << 63) - 1, round(s * (1 << 64)) - (1 << 63)))))
+        got: dict[str, list] = {k: [] for k in share}
+        for r in own.withColumn("h", F.xxhash64("text")).where(low).groupBy("label", "h", "text").count().collect():
+            got[r["label"]].append((r["h"], r["text"], r["count"]))
+        enough = {k for k, rows in got.items() if share[k] >= 1 or sum(c for *_, c in rows) >= sample}
+        kept |= {k: got[k] for k in enough}
+        share = {k: min(1.0, 4 * s) for k, s in share.items() if k not in enough}
+    return [(k, t) for k in sorted(kept) for t in [t for _, t, c in sorted(kept[k]) for _ in range(min(c, sample))][:sample]]
 
 
 def trained(labelled: DataFrame, sample: int = SAMPLE_TEXTS) -> Model:
     """The model fitted on the driver to the bounded sample of ``training_rows``."""
-    own = labelled.where("label is not null and text is not null")
-    return fit(sorted((r["label"], r["text"]) for r in training_rows(own.select("label", "text"), sample).collect()))
+    return fit(training_rows(labelled, sample))
 
 
 def texts_of(train_clean: DataFrame, code_switching: DataFrame) -> DataFrame:

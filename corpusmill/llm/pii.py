@@ -113,11 +113,13 @@ def names_in(text: str, sieve: WordSieve, back: int = 0) -> Iterator[tuple[str,
     """Adjacent words ``(first, second, from, to)`` that could be a given and a family name;
     ``ben`` and its Arabic form belong to the word after them. A pair may begin with a word that is in
     the sieve or, with ``back`` 1, that comes after one."""
-    if not sieve.among(WORD.findall(text.lower())):
+    lower = text.lower()
+    if not sieve.among(WORD.findall(lower)):
         return
     w = [(m.group(), m.start(), m.end()) for m in WORD.finditer(text)]
     low = [x[0].lower() for x in w]
-    sieve.among(low)
+    if len(lower) != len(text):  # letters that change their number in lower case part words otherwise
+        sieve.among(low)
     hits = sieve.hits
 
     def near(i: int) -> bool:
@@ -186,7 +188,7 @@ def _followers(patterns: WordSieve, last: WordSieve):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[str, set[str]] = {}
         full: set[str] = set()
-        held = 0
+        held, known = 0, patterns.known
 
         def out() -> pd.DataFrame:
             return pd.DataFrame([(p, x) for p, own in found.items() for x in own], columns=["pattern", "instance"])
@@ -202,7 +204,10 @@ def _followers(patterns: WordSieve, last: WordSieve):
                             continue
                         for k in range(1, min(3, i + 1) + 1):
                             p = " ".join(w[i - k + 1 : i + 1])
-                            if p in full or not (most := patterns.limit(p)):
+                            most = known.get(p)
+                            if most is None:
+                                most = patterns.limit(p)
+                            if not most or p in full:
                                 continue
                             own = found.setdefault(p, set())
                             n = len(own)
