@@ -3,19 +3,27 @@ cross-split candidates, exact Jaccard similarity and exact edit distance."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import materialize, norm_key, norm_split, strip_ws
-from .sieve import Sieve, sieve_of
+from ..tables import drop_shuffles, materialize, norm_key, norm_split, strip_ws
+from .sieve import BITS, Sieve, sieve_of
 
 #: Characters per shingle, bands, and minwise hashes per band. A pair of Jaccard
 #: similarity s shares a bucket with probability 1-(1-s^ROWS)^BANDS: 0.94 at 0.4, 0.999 at 0.5.
 SHINGLE, BANDS, ROWS = 3, 112, 4
+#: Characters per gram of a sketch, and its 64-bit words.
+GRAM, SKETCH = 2, 8
+_WORDS = [f"s{i}" for i in range(SKETCH)]
+#: Keys a text that a pass over some bands shuffles at most, and keys that are few enough for one pass.
+KEYS, FEW_KEYS = 10, 500_000
 _U = np.uint64
 
 
@@ -48,33 +56,42 @@ def shingle_hashes(texts: list[str], q: int) -> tuple[np.ndarray, np.ndarray]:
     return h[keep], at
 
 
-def band_keys(texts: list[str], q: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """int64 array (texts, bands): each band's bucket of each text."""
-    out = np.empty((len(texts), bands), np.int64)
+def band_keys(texts: list[str], q: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, first: int = 0, last: int | None = None) -> np.ndarray:
+    """int64 array (texts, bands): each band's bucket of each text; ``first`` and ``last``
+    take some of the bands."""
+    last = bands if last is None else last
+    out = np.empty((len(texts), last - first), np.int64)
     if not texts:
         return out
     h, at = shingle_hashes(texts, q)
     a, b = _hash_params(bands * rows)
     with np.errstate(over="ignore"):
-        for j in range(bands):
+        for j in range(first, last):
             key = np.full(len(texts), j + 1, _U)
             for r in range(rows):
                 i = j * rows + r
                 v = h * a[i] + b[i]
                 key = (key ^ np.minimum.reduceat(v >> _U(20), at)) * _U(0xBF58476D1CE4E5B9)
                 key ^= key >> _U(31)
-            out[:, j] = key.view(np.int64)
+            out[:, j - first] = key.view(np.int64)
     return out
 
 
-def sketches(texts: list[str], q: int = 2, words: int = 4) -> np.ndarray:
+def sketches(texts: list[str], q: int = GRAM, words: int = SKETCH) -> np.ndarray:
     """uint64 array (texts, words): which of ``64 * words`` hash values the ``q``-grams of a
-    text take. One edit changes at most ``2 * q`` of the bits, so sketches that differ in
-    more than ``2 * q * k`` bits belong to texts of more than ``k`` edits."""
+    text take; the second, third, ... occurrence of one has values of its own. One edit takes at most ``q``
+    bits away and adds as many, so where one of two sketches has more than ``q * k`` bits that the other
+    lacks, the texts are more than ``k`` edits apart."""
     out = np.zeros((len(texts), words), _U)
     if texts:
         h, at = shingle_hashes(texts, q)
         which = np.repeat(np.arange(len(texts)), np.diff(np.append(at, len(h))))
+        order = np.lexsort((h, which))
+        h, which = h[order], which[order]
+        begins = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (which[1:] != which[:-1])))
+        nth = np.arange(len(h)) - np.repeat(begins, np.diff(np.append(begins, len(h))))
+        with np.errstate(over="ignore"):
+            h = (h ^ nth.astype(_U)) * _U(0x9E3779B97F4A7C15)
         bit = (h >> _U(32)) % _U(64 * words)
         np.bitwise_or.at(out, (which, (bit >> _U(6)).astype(np.int64)), _U(1) << (bit & _U(63)))
     return out
@@ -85,23 +102,36 @@ def _sketcher(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lo in range(0, len(pdf), 2000):
             part = pdf.iloc[lo : lo + 2000].reset_index(drop=True)
             texts = part["text"].tolist()
-            yield part.assign(n=[len(t) for t in texts], sketch=list(sketches(texts).view(np.int64)))
+            s = sketches(texts).view(np.int64)
+            yield part.assign(n=[len(t) for t in texts], **{c: s[:, i] for i, c in enumerate(_WORDS)})
 
 
-def _bander(q: int, bands: int, rows: int, sieve: Sieve | None):
-    """The buckets of each text that the sieve lets through."""
+def _bander(q: int, bands: int, rows: int, first: int, last: int, sieve: Sieve | None):
+    """The columns but the text, and the buckets of each text in some of the bands that the sieve lets through."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lo in range(0, len(pdf), 2000):
-                part = pdf.iloc[lo : lo + 2000].reset_index(drop=True)
-                keys = band_keys(part["text"].tolist(), q, bands, rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                keys = band_keys(part.column("text").to_pylist(), q, bands, rows, first, last)
                 hit = np.ones(keys.shape, bool) if sieve is None else sieve.has(keys.view(_U))
-                yield part[["text_id", "n"]].assign(buckets=[k[h] for k, h in zip(keys, hit, strict=True)])
+                ends = np.append(0, np.cumsum(hit.sum(1))).astype(np.int32)
+                kept = [c for c in part.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[hit]))], [*kept, "buckets"])
 
     return run
 
 
+def bands_a_pass(n_train: int, n_eval: int, bands: int) -> int:
+    """How many bands are joined at once: as many as have at most ``KEYS`` keys a text, if a quarter of
+    the train keys and what else the sieve can't hold back pass it."""
+    most = max(FEW_KEYS, KEYS * (n_train + n_eval))
+    b = bands
+    while b > 1 and b * (n_eval + n_train * min(1.0, 1.25 - math.exp(-b * n_eval / (1 << BITS)))) > most:
+        b -= 1
+    return -(-bands // -(-bands // b))
+
+
 def _grams(c: Column, q: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (q - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(q))))
 
@@ -128,43 +158,56 @@ def overlapping_texts(
 
     Copies are collapsed before hashing, so a text that holds a third of all rows
     is one entry; buckets join train with evaluation entries only, and AQE splits
-    a hot bucket. Train buckets pass a sieve of the evaluation buckets first, of a fixed size,
+    a hot bucket. The bands are joined in passes, each of which leaves nothing but the pairs it
+    was the first to confirm on the disk, so at most some ``KEYS`` keys a text are there at once, of any number of texts.
+    Train buckets pass a sieve of the pass's evaluation buckets first, of a fixed size,
     which drops most that have no partner while the evaluation side is small. Lengths and
-    sketches rule most candidates out without loss before any text is fetched. Texts are
+    sketches, which go with the keys, rule most candidates out without loss inside the join, before
+    any is shuffled or any text is fetched. Texts are
     told apart by themselves, not by their numbers. Rows with a null id, split or text are
     left out; an empty table gives no pair; repeated rows count once; texts are used whole.
     """
     sides = rows.where(F.col("split").isin(*train, *evaluation) & F.col("id").isNotNull() & F.col("text").isNotNull())
     members = materialize(sides.select("id", "split", "text", F.xxhash64("text").alias("text_id")).distinct(), "crosssplit-members")
     texts = members.groupBy("text_id", "text").agg(F.max(F.col("split").isin(*train)).alias("in_train"), F.max(F.col("split").isin(*evaluation)).alias("in_eval"))
-    texts = materialize(texts.mapInPandas(_sketcher, "text_id bigint, text string, in_train boolean, in_eval boolean, n int, sketch array<bigint>"), "crosssplit-texts")
-
-    def keys(side: str, of: str, size: str, sieve: Sieve | None) -> DataFrame:
-        d = texts.where(side).select("text_id", "n", "text").mapInPandas(_bander(q, bands, band_rows, sieve), "text_id bigint, n int, buckets array<bigint>")
-        return d.select(F.col("text_id").alias(of), F.col("n").alias(size), F.explode("buckets").alias("bucket"))
-
-    right = keys("in_eval", "eval_text", "en", None)
-    left = keys("in_train", "train_text", "tn", sieve_of(right, "bucket"))
-    cand = left.join(right, "bucket")  # a bucket's number holds its band
-    most = F.floor(F.greatest("tn", "en") * max_edit_share) if max_edit_share is not None else None
-    if most is not None:
-        cand = cand.where(F.abs(F.col("tn") - F.col("en")) <= most)
-    cand = cand.select("train_text", "eval_text").distinct()
-    t = texts.where("in_train").select(F.col("text_id").alias("train_text"), F.col("text").alias("tt"), F.col("n").alias("tn"), F.col("sketch").alias("ts"))
-    e = texts.where("in_eval").select(F.col("text_id").alias("eval_text"), F.col("text").alias("et"), F.col("n").alias("en"), F.col("sketch").alias("es"))
-    if most is not None:
-        differ = sum((F.bit_count(F.col("ts")[i].bitwiseXOR(F.col("es")[i])) for i in range(4)), F.lit(0))
-        cand = cand.join(t.drop("tt"), "train_text").join(e.drop("et"), "eval_text")
-        cand = cand.where((differ <= 4 * most) | (F.least("tn", "en") < 2)).select("train_text", "eval_text").distinct()
-    both = cand.join(t.drop("ts"), "train_text").join(e.drop("es"), "eval_text")
-    distance = F.levenshtein("tt", "et")
-    if most is not None:
-        both = both.where(distance <= most)
-    both = materialize(both.select("train_text", "eval_text", "tt", "et", distance.alias("edits")), "crosssplit-verified")
+    texts = materialize(texts.mapInPandas(_sketcher, f"text_id bigint, text string, in_train boolean, in_eval boolean, n int, {', '.join(f'{c} bigint' for c in _WORDS)}"), "crosssplit-texts")
+    step = bands_a_pass(*texts.agg(F.count_if("in_train"), F.count_if("in_eval")).first(), bands)
+
+    def keys(side: str, p: str, first: int, sieve: Sieve | None) -> DataFrame:
+        own = ["text_id", "n", *(_WORDS if max_edit_share is not None else [])]
+        schema = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in own)
+        d = texts.where(side).select(*own, "text").mapInArrow(_bander(q, bands, band_rows, first, min(first + step, bands), sieve), f"{schema}, buckets array<bigint>")
+        return d.select(*[F.col(c).alias(p + c) for c in own], F.explode("buckets").alias("bucket"))
+
+    t = texts.where("in_train").select(F.col("text_id").alias("train_text"), F.col("text").alias("tt"), F.col("n").alias("tn"))
+    e = texts.where("in_eval").select(F.col("text_id").alias("eval_text"), F.col("text").alias("et"), F.col("n").alias("en"))
+
+    def confirmed(first: int, before: list[DataFrame]) -> DataFrame:
+        right = keys("in_eval", "e_", first, None)
+        cand = keys("in_train", "t_", first, sieve_of(right, "bucket")).join(right, "bucket")  # a bucket's number holds its band
+        if max_edit_share is not None:
+            most = F.floor(F.greatest("t_n", "e_n") * max_edit_share)
+            lacks = lambda a, b: sum((F.bit_count(F.col(a + c).bitwiseAND(F.bitwise_not(F.col(b + c)))) for c in _WORDS), F.lit(0)) <= GRAM * most
+            cand = cand.where((F.abs(F.col("t_n") - F.col("e_n")) <= most) & ((F.least("t_n", "e_n") < GRAM) | lacks("t_", "e_") & lacks("e_", "t_")))
+        cand = cand.select(F.col("t_text_id").alias("train_text"), F.col("e_text_id").alias("eval_text")).distinct()
+        if before:
+            cand = cand.join(reduce(DataFrame.unionByName, before).select("train_text", "eval_text"), ["train_text", "eval_text"], "left_anti")
+        both = cand.join(t, "train_text").join(e, "eval_text")
+        distance = F.levenshtein("tt", "et")
+        if max_edit_share is not None:
+            both = both.where(distance <= F.floor(F.greatest("tn", "en") * max_edit_share))
+        return materialize(both.select("train_text", "eval_text", "tt", "et", distance.alias("edits")), "crosssplit-verified")
+
+    passes: list[DataFrame] = []
+    for first in range(0, bands, step):
+        drop_shuffles(rows.sparkSession)
+        passes.append(confirmed(first, passes))
+    drop_shuffles(rows.sparkSession)
+    both = reduce(DataFrame.unionByName, passes)
     both = both.withColumn("tg", _grams(F.col("tt"), q)).withColumn("eg", _grams(F.col("et"), q))
     common = F.size(F.array_intersect("tg", "eg"))
     both = both.withColumn("jaccard", common / (F.size("tg") + F.size("eg") - common))
-    if most is None:  # a confirmed edit distance stands at any similarity: repetitive texts have few shingles
+    if max_edit_share is None:  # a confirmed edit distance stands at any similarity: repetitive texts have few shingles
         both = both.where(F.col("jaccard") >= min_jaccard)
     return members, both.select("train_text", "eval_text", "tt", "et", "jaccard", "edits")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -97,6 +98,13 @@ def drop_intermediates(spark: SparkSession) -> int:
     return n
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Removes the shuffle files of the queries that have ended. Spark does so once the driver's JVM
+    finds them unused, which can be long after a disk is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def strip_ws(c: Column) -> Column:
     """``c`` without white space of any kind at either end."""
     return F.regexp_replace(c, r"^[\s\x{1C}-\x{1F}\x{85}\p{Z}]+|[\s\x{1C}-\x{1F}\x{85}\p{Z}]+$", "")
