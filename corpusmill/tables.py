@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -101,8 +102,10 @@ def drop_intermediates(spark: SparkSession) -> int:
 def drop_shuffles(spark: SparkSession) -> None:
     """Removes the shuffle files of the queries that have ended. Spark does so once the driver's JVM
     finds them unused, which can be long after a disk is full."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first finds unused can hold others; files go in a thread of their own
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def strip_ws(c: Column) -> Column:
